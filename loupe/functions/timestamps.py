@@ -35,9 +35,15 @@ PARTIAL = r"(?i)^([a-z]{3,9}\.? \d{4}|\d{4}|\d{4}-\d{2}|\d{1,2}:\d{2}(:\d{2})?|\
 _PARTS = ("year", "month", "day", "hour", "minute", "second", "fraction", "half", "zone", "weekday")
 
 
-def known_zones(spark: SparkSession) -> list[str]:
-    """The zone names that the JVM knows: about 600, whatever the data."""
-    return sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
+def known_zones(spark: SparkSession) -> DataFrame:
+    """The zone names that the JVM knows: about 600, whatever the data, so the lookup may be broadcast."""
+    names = sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
+    return F.broadcast(spark.createDataFrame([(n,) for n in names], "__named string"))
+
+
+def _bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with these columns, each computed once a row: the optimizer merges no expression and moves no filter through it."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def _number(c: Column) -> Column:
@@ -96,7 +102,7 @@ def normalise_timestamps(
     for name, pattern, groups in reversed(CASCADE):
         taken = F.concat(F.lit(name + "~"), F.regexp_replace("__v", pattern, "~".join(f"${g}" if g else "" for g in groups)))
         parts = F.when(F.col("__v").rlike(pattern), F.split(taken, "~")).otherwise(parts)
-    x = x.withColumn("__p", parts)
+    x = _bind(x, {"__p": parts})
     part = {n: F.col("__p")[i + 1] for i, n in enumerate(_PARTS)}
     slashed = F.col("__p")[0] == "slashed"
     swap = slashed & (F.col("__order") == "dmy")
@@ -108,7 +114,8 @@ def normalise_timestamps(
     day = F.when(swap, _number(part["month"])).otherwise(_number(part["day"]))
     hour = _number(part["hour"])
     hour = F.when(part["half"] == "", hour).when(hour.between(1, 12), hour % 12 + F.when(F.lower(part["half"]) == "p", 12).otherwise(0))
-    x = x.withColumns(
+    x = _bind(
+        x,
         {
             "__date": F.try_to_date(F.format_string("%s-%02d-%02d", part["year"], month, day), "yyyy-MM-dd"),
             "__clock": F.when(
@@ -121,7 +128,7 @@ def normalise_timestamps(
                 F.col("__v").rlike(EPOCH),
                 F.col("__v").try_cast("long") * F.when(F.length("__v") == 16, 1).when(F.length("__v") == 13, 1_000).otherwise(1_000_000),
             ),
-        }
+        },
     )
     weekday_fits = (part["weekday"] == "") | (F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), F.lower(part["weekday"])) == F.weekday("__date") + 1)
     offset_form = F.col("__zone").rlike(r"^[+-]\d{4}$|^[+-]\d{2}:\d{2}$")
@@ -131,11 +138,11 @@ def normalise_timestamps(
         offset_form & (hours <= 18) & (minutes < 60),
         F.when(F.startswith(digits, F.lit("-")), F.lit(-1)).otherwise(F.lit(1)) * (hours * 60 + minutes) * 60_000_000,
     ).when(F.lower("__zone").isin("z", "utc", "gmt"), F.lit(0).cast("long"))
-    named = F.when(F.col("__zone").isin(*zones), F.col("__zone"))
-    x = x.withColumns({"__local": F.when(weekday_fits, F.unix_date("__date").cast("long") * _DAY + F.col("__clock")), "__fixed": fixed, "__named": F.when(fixed.isNull(), named)})
-    x = x.withColumns({"__before": _offset(F.col("__local") - 26 * _HOUR, F.col("__named")), "__after": _offset(F.col("__local") + 26 * _HOUR, F.col("__named"))})
+    x = _bind(x, {"__local": F.when(weekday_fits, F.unix_date("__date").cast("long") * _DAY + F.col("__clock")), "__fixed": fixed})
+    x = x.join(zones, F.when(F.col("__fixed").isNull(), F.col("__zone")) == F.col("__named"), "left")
+    x = _bind(x, {"__before": _offset(F.col("__local") - 26 * _HOUR, F.col("__named")), "__after": _offset(F.col("__local") + 26 * _HOUR, F.col("__named"))})
     one, two = F.col("__local") - F.col("__before"), F.col("__local") - F.col("__after")
-    x = x.withColumns({"__one": F.when(_offset(one, F.col("__named")) == F.col("__before"), one), "__two": F.when(_offset(two, F.col("__named")) == F.col("__after"), two)})
+    x = _bind(x, {"__one": F.when(_offset(one, F.col("__named")) == F.col("__before"), one), "__two": F.when(_offset(two, F.col("__named")) == F.col("__after"), two)})
     twice = F.col("__one").isNotNull() & F.col("__two").isNotNull() & (F.col("__one") != F.col("__two"))
     never = F.col("__one").isNull() & F.col("__two").isNull()
     status = (
@@ -153,9 +160,6 @@ def normalise_timestamps(
     )
     pick = {"reject": F.coalesce("__one", "__two"), "earlier": F.least("__one", "__two"), "later": F.greatest("__one", "__two")}[ambiguous]
     instant = F.coalesce(F.col("__epoch"), F.col("__local") - F.col("__fixed"), pick, one)
-    x = x.withColumn("__status", status)
-    return x.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.when(F.col("__status") == "ok", iso_utc(instant)).alias(out),
-        F.col("__status").alias(f"{out}_status"),
-    )
+    x = _bind(x, {"__status": status, "__instant": instant})
+    x = _bind(x, {out: F.when(F.col("__status") == "ok", iso_utc(F.col("__instant"))), f"{out}_status": F.col("__status")})
+    return x.select(*[F.col(f"`{c}`") for c in kept], out, f"{out}_status")
