@@ -27,10 +27,8 @@ def entity_key(c: Column) -> Column:
 
 def _plain_value(c: Column, values: tuple[str, ...]) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.lower(c), r"[\s\p{Z}_\-]+", ""), r"\.+$", "")
-    out = F.lit(None).cast("string")
-    for v in reversed(values):
-        out = F.when(bare.isin(*_FORMS[v]), F.lit(v)).otherwise(out)
-    return out
+    forms = F.create_map(*[F.lit(x) for v in values for f in _FORMS[v] for x in (f, v)])
+    return F.try_element_at(forms, bare)
 
 
 def domain(c: Column) -> Column:
