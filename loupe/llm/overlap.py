@@ -4,20 +4,25 @@ Two texts count as near if at most one plain word in five of the longer one is c
 words). Exact copies are collapsed first, so a group of copies costs one comparison and is expanded only in the result.
 
 Candidates come from passages, runs of plain words of the evaluation texts. The passages are sharded by their hash. Aho-Corasick
-automata over each shard's passages scan the training texts; a training text visits the shards of the passages it holds
-(a semi-join on passage hashes says which), so no text is scanned by shards that cannot match. The matched intervals are merged
-into coverage per pair of evaluation and training text, and pairs are settled by the banded edit distance.
-
-Which passages: winnowing picks of every run of WINDOW consecutive windows of SHORT words the one with the least hash, in both
-sides alike, so a pair with SHORT + WINDOW - 1 consecutive plain words in common shares a picked passage. A passage that occurs in
-more than COMMON different training texts says little about a pair; there the passages of LONG words (picked alike) take over,
-and of these again the ones of WHOLE words, which have no such limit. A pair at the limit of one word in five can miss only if its
-edits are spread so evenly that no such run stays; see README for measured recall.
+automata over each shard's passages scan the training texts: of each training text a shard gets the stretches that hold passages of the shard
+(a join on passage hashes says which), so nothing is scanned by shards that cannot match. The matched intervals are merged
+into coverage per pair of evaluation and training text, and pairs are settled by a banded edit distance.
+
+Which passages: of every WINDOW consecutive runs of SHORT words winnowing picks the one with the least hash, in both sides
+alike, so a pair with SHORT + WINDOW - 1 consecutive plain words in common shares a picked passage. A passage in
+more than COMMON different training texts says little about a pair; there the passages of twice as many words take over, and so on by
+doubling. The passages that hold at least a quarter of their text have no such limit, so texts that share most of their words
+always meet, however many share them. Texts of fewer than FEW words meet by deletion variants instead, which is exact. A pair at the limit
+of one word in five can be missed only if its edits are spread so evenly that no such run stays; see README for measured recall.
+
+A shard that gets many texts is divided into a grid: its training stretches and its evaluation passages are cut into
+groups of bounded size, and every pair of groups meets in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,10 +32,11 @@ from pyspark.sql import functions as F
 from loupe.llm.text import MIN_WORDS, plain
 from loupe.session import cut
 
-SHORT, LONG, WHOLE = 8, 14, 28
-WINDOW = 4
+SHORT, WINDOW = 10, 3
+FEW = 14
 COMMON = 40
-SHARDS_PER_PASSAGE = 50_000
+#: Most texts of a side in one task.
+GROUP = 20_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,15 +70,43 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Places of the least hash in every `window` consecutive ones (all of them together if there are fewer)."""
-    n = len(hashes)
-    if n == 0:
-        return np.empty(0, np.int64)
-    if n <= window:
-        return np.array([int(np.argmin(hashes))])
-    rolled = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    return np.unique(np.argmin(rolled, axis=1) + np.arange(n - window + 1))
+def picked(lengths: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Picked passages of many texts at once, by width: (width, number of the text, place in it, hash).
+
+    lengths: words of each text. hashes: the word hashes of all texts, one after the other. Wider passages are picked more
+    sparsely, from windows that grow with the width.
+    """
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    width, window = SHORT, WINDOW
+    while len(lengths) and width <= lengths.max():
+        h = window_hashes(hashes, width)
+        inside = place[: len(h)] + width <= lengths[text[: len(h)]]
+        ranked = np.where(inside, h, np.uint64(2**64 - 1))
+        take = np.zeros(len(h), bool)
+        if len(h) >= window:
+            rolled = np.lib.stride_tricks.sliding_window_view(ranked, window)
+            take[np.argmin(rolled, axis=1) + np.arange(len(rolled))] = True
+        # of each text the least of all, which also serves texts with fewer runs than a window
+        at = np.flatnonzero(inside)
+        if len(at):
+            order = at[np.lexsort((ranked[at], text[at]))]
+            take[order[np.r_[True, text[order][1:] != text[order][:-1]]]] = True
+        at = np.flatnonzero(take & inside)
+        yield width, text[at], place[at], h[at]
+        width, window = width * 2, width
+
+
+def deletion_variants(words: list[str], most: int) -> set[int]:
+    """64-bit hashes of the texts that come from dropping up to `most` words."""
+    from xxhash import xxh3_64_intdigest
+
+    out = set()
+    for k in range(min(most, len(words) - 1) + 1):
+        for gone in combinations(range(len(words)), k):
+            drop = set(gone)
+            out.add(xxh3_64_intdigest("\x00" + " ".join(w for i, w in enumerate(words) if i not in drop)) - 2**63)
+    return out
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -112,80 +146,137 @@ def _texts(rows: DataFrame) -> DataFrame:
     """(row_ord, split, source, words, text_key) of rows with enough words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh3_128_hexdigest
+        from xxhash import xxh3_128_digest
 
         for b in batches:
             b["words"] = [plain(t) for t in b["text"]]
             b = b[b["words"].str.count(" ") >= MIN_WORDS - 1].copy()
-            b["text_key"] = [xxh3_128_hexdigest(w.encode()) for w in b["words"]]
+            b["text_key"] = [xxh3_128_digest(w.encode()) for w in b["words"]]
             yield b[["row_ord", "split", "source", "words", "text_key"]]
 
-    return rows.mapInPandas(run, "row_ord long, split string, source string, words string, text_key string")
+    return rows.mapInPandas(run, "row_ord long, split string, source string, words string, text_key binary")
 
 
 def _passages(texts: DataFrame) -> DataFrame:
-    """(text_key, side, level, hash) of the picked passages of distinct texts."""
+    """(id, in_train, in_eval, hash, free) of the picked passages; free: the passage has no limit of texts that hold it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, int] = {}
         for b in batches:
-            keys, sides, levels, found = [], [], [], []
-            for key, side, words in zip(b["text_key"], b["side"], b["words"]):
-                hashes = word_hashes(words.split(" "), memo)
-                for level, width in enumerate((min(SHORT, len(hashes)), LONG, WHOLE)):
-                    h = window_hashes(hashes, width)
-                    h = np.unique(h[winnow(h)])
-                    keys += [key] * len(h)
-                    sides += [side] * len(h)
-                    levels += [level] * len(h)
-                    found.append(h.view(np.int64))
-            yield pd.DataFrame({"text_key": keys, "side": sides, "level": np.array(levels, np.int8), "hash": np.concatenate(found) if found else np.empty(0, np.int64)})
+            split = [w.split(" ") for w in b["words"]]
+            lengths = np.array([len(w) for w in split], np.int64)
+            hashes = word_hashes([w for words in split for w in words], memo)
+            ids, train, evaluation = (b[c].to_numpy() for c in ("id", "in_train", "in_eval"))
+            for width, text, _, h in picked(lengths, hashes):
+                yield pd.DataFrame(
+                    {"id": ids[text], "in_train": train[text], "in_eval": evaluation[text], "hash": h.view(np.int64), "free": width * 4 >= lengths[text]}
+                )
 
-    return texts.select("text_key", "side", "words").mapInPandas(run, "text_key string, side int, level byte, hash long")
+    return texts.select("id", "in_train", "in_eval", "words").mapInPandas(run, "id long, in_train boolean, in_eval boolean, hash long, free boolean")
 
 
-def _scan(shards: DataFrame) -> DataFrame:
-    """For each shard, an automaton over its evaluation texts' passages scans the training texts sent there.
+def _short_pairs(texts: DataFrame) -> DataFrame:
+    """Candidates (a_id, b_id) with a text of fewer than FEW words on either side, by equal deletion variants.
 
-    Gives (a_key, b_key, covered): words of the evaluation text a that lie in passages found in the training text b.
+    Texts within k edits of each other share a variant with at most k words dropped from either.
     """
+    longest = (FEW - 1) * 5 // 4
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
-        import ahocorasick
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, train, evaluation, variants = [], [], [], []
+            for i, t, e, words in zip(b["id"], b["in_train"], b["in_eval"], b["words"]):
+                words = words.split(" ")
+                v = deletion_variants(words, min(len(words) * 5 // 4, longest) // 5)
+                ids += [i] * len(v)
+                train += [t] * len(v)
+                evaluation += [e] * len(v)
+                variants += v
+            yield pd.DataFrame({"id": ids, "in_train": train, "in_eval": evaluation, "variant": variants})
+
+    few = texts.where(F.size(F.split("words", " ")) <= longest)
+    found = few.select("id", "in_train", "in_eval", "words").mapInPandas(run, "id long, in_train boolean, in_eval boolean, variant long")
+    a = found.where("in_eval").select("variant", F.col("id").alias("a_id"))
+    b = found.where("in_train").select("variant", F.col("id").alias("b_id"))
+    return a.join(b, "variant").where("a_id <> b_id").select("a_id", "b_id").distinct()
+
+
+def _stretches(texts: DataFrame, shards: int) -> DataFrame:
+    """(shard, in_train, in_eval, id, passages, places): of each text the wanted passages of each shard, with their places."""
 
-        ev, tr = g[g["side"] == 1], g[g["side"] == 0]
-        machine = ahocorasick.Automaton()
-        held: dict[str, list[tuple[str, int, int]]] = {}
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, int] = {}
-        for k, words, wanted in zip(ev["text_key"], ev["words"], ev["hashes"]):
-            split = words.split(" ")
-            hashes = word_hashes(split, memo)
-            wanted = np.asarray(wanted, np.int64).view(np.uint64)
-            for width in {min(SHORT, len(split)), LONG, WHOLE}:
-                h = window_hashes(hashes, width)
-                for i in np.flatnonzero(np.isin(h, wanted)):
-                    passage = " " + " ".join(split[i : i + width]) + " "
-                    held.setdefault(passage, []).append((k, int(i), int(i) + width))
+        for b in batches:
+            split = [w.split(" ") for w in b["words"]]
+            lengths = np.array([len(w) for w in split], np.int64)
+            hashes = word_hashes([w for words in split for w in words], memo)
+            wanted = [set(np.asarray(h, np.int64).tolist()) for h in b["hashes"]]
+            found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for width, text, place, h in picked(lengths, hashes):
+                for t, p, x in zip(text.tolist(), place.tolist(), h.view(np.int64).tolist()):
+                    if x in wanted[t]:
+                        found.setdefault((t, x % shards), []).append((p, p + width))
+            ids, train, evaluation = (b[c].tolist() for c in ("id", "in_train", "in_eval"))
+            out = [(s, train[t], evaluation[t], ids[t], [" ".join(split[t][lo:hi]) for lo, hi in spans], [lo for lo, _ in spans]) for (t, s), spans in found.items()]
+            yield pd.DataFrame(out, columns=["shard", "in_train", "in_eval", "id", "passages", "places"])
+
+    return texts.mapInPandas(run, "shard int, in_train boolean, in_eval boolean, id long, passages array<string>, places array<int>")
+
+
+def _scan(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    """An automaton over the group's evaluation passages scans its training stretches.
+
+    Gives (a_id, b_id, covered): words of the evaluation text a that lie in passages found in the training text b.
+    """
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    held: dict[str, list[tuple[int, int]]] = {}
+    for k, passages, places in g.loc[g["of_eval"], ["id", "passages", "places"]].itertuples(index=False):
+        for passage, lo in zip(passages, places):
+            held.setdefault(f" {passage} ", []).append((k, int(lo)))
+    cover: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    if held:
         for passage in held:
             machine.add_word(passage, passage)
-        cover: dict[tuple[str, str], list[tuple[int, int]]] = {}
-        if held:
-            machine.make_automaton()
-            for k, words in zip(tr["text_key"], tr["words"]):
-                for _, passage in machine.iter(" " + words + " "):
-                    for a, lo, hi in held[passage]:
-                        cover.setdefault((a, k), []).append((lo, hi))
-        out = []
-        for (a, b), spans in cover.items():
-            spans.sort()
-            covered, end = 0, 0
-            for lo, hi in spans:
-                covered += max(0, hi - max(lo, end))
-                end = max(end, hi)
-            out.append((a, b, covered))
-        return pd.DataFrame(out, columns=["a_key", "b_key", "covered"])
-
-    return shards.groupBy("shard").applyInPandas(run, "a_key string, b_key string, covered int")
+        machine.make_automaton()
+        for k, passages in g.loc[~g["of_eval"], ["id", "passages"]].itertuples(index=False):
+            # stretches are scanned as one line; the sign between them is in no passage
+            for _, passage in machine.iter(" " + " | ".join(passages) + " "):
+                width = passage.count(" ") - 1
+                for a, lo in held[passage]:
+                    if a != k:
+                        cover.setdefault((a, k), []).append((lo, lo + width))
+    out = []
+    for (a, b), spans in cover.items():
+        spans.sort()
+        covered, end = 0, 0
+        for lo, hi in spans:
+            covered += max(0, hi - max(lo, end))
+            end = max(end, hi)
+        out.append((a, b, covered))
+    return pd.DataFrame(out, columns=["a_id", "b_id", "covered"])
+
+
+def _candidates(texts: DataFrame, parts: int) -> DataFrame:
+    """(a_id, b_id, covered) of an evaluation and a training text that share a passage."""
+    passages = _passages(texts)
+    # how many different texts of each side hold a passage; summed before the shuffle
+    held = passages.groupBy("hash").agg(F.sum(F.col("in_train").cast("int")).alias("n_train"), F.sum(F.col("in_eval").cast("int")).alias("n_eval"))
+    # a text in both sides alone meets nobody by this passage
+    used = held.where("n_train > 0 AND n_eval > 0 AND n_train + n_eval > 1").select("hash", (F.col("n_train") <= COMMON).alias("rare"))
+    hits = passages.join(used, "hash").where("(rare OR free)")
+    by_text = hits.groupBy("id").agg(F.collect_set("hash").alias("hashes"))
+    stretches = cut(_stretches(texts.join(by_text, "id").select("id", "in_train", "in_eval", "words", "hashes"), parts))
+    # a row per shard: how many groups its sides are cut into
+    size = lambda c: F.ceil(F.sum(F.col(c).cast("int")) / GROUP).cast("int")
+    grid = F.broadcast(stretches.groupBy("shard").agg(size("in_train").alias("rows"), size("in_eval").alias("columns")).where("rows > 0 AND columns > 0"))
+    placed = stretches.join(grid, "shard")
+    own = F.xxhash64("id")
+    train = placed.where("in_train").select("shard", F.pmod(own, F.col("rows")).cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), "id", "passages", "places", F.lit(False).alias("of_eval"))
+    evaluation = placed.where("in_eval").select("shard", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(own, F.col("columns")).cast("int").alias("column"), "id", "passages", "places", F.lit(True).alias("of_eval"))
+    found = train.unionByName(evaluation).groupBy("shard", "row", "column").applyInPandas(_scan, "a_id long, b_id long, covered int")
+    return found.groupBy("a_id", "b_id").agg(F.sum("covered").alias("covered"))
 
 
 def _near(pairs: DataFrame) -> DataFrame:
@@ -195,12 +286,28 @@ def _near(pairs: DataFrame) -> DataFrame:
             for x, y in zip(b["a_words"], b["b_words"]):
                 x, y = x.split(" "), y.split(" ")
                 longer.append(max(len(x), len(y)))
-                edits.append(edit_distance(x, y, longer[-1] // 5))
+                edits.append(_settle(x, y, longer[-1] // 5))
             b["edits"], b["longer"] = edits, longer
             b = b[b["edits"] <= b["longer"] // 5]
-            yield b[["a_key", "b_key", "edits", "longer"]]
+            yield b[["a_id", "b_id", "edits", "longer"]]
 
-    return pairs.mapInPandas(run, "a_key string, b_key string, edits int, longer int")
+    return pairs.mapInPandas(run, "a_id long, b_id long, edits int, longer int")
+
+
+def _settle(a: list[str], b: list[str], most: int) -> int:
+    """edit_distance(), but texts whose words alone differ too much are not compared in order."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    count: dict[str, int] = {}
+    for w in a:
+        count[w] = count.get(w, 0) + 1
+    common = 0
+    for w in b:
+        n = count.get(w, 0)
+        if n:
+            count[w] = n - 1
+            common += 1
+    return most + 1 if max(len(a), len(b)) - common > most else edit_distance(a, b, most)
 
 
 def cross_split_overlaps(rows: DataFrame) -> DataFrame:
@@ -210,30 +317,26 @@ def cross_split_overlaps(rows: DataFrame) -> DataFrame:
     longer text). Null texts and texts of fewer than four words never count; null splits are in no split; extra columns are
     left out; a row listed twice in the same split counts once; empty tables give no rows.
     """
-    picked = rows.select(F.col("row_ord").cast("long"), "split", "source", F.col("text").cast("string").alias("text"))
-    texts = cut(_texts(picked.where(F.col("text").isNotNull() & F.col("split").isNotNull())))
-    side = F.when(F.col("split") == "train", 0).otherwise(1)
-    # one row per different text; a text in both sides is its own exact pair, and still meets near ones
-    sides = texts.groupBy("text_key").agg(F.min(side).alias("lo"), F.max(side).alias("hi"), F.first("words").alias("words"))
-    distinct = sides.select("text_key", "words", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("side"))
-    passages = _passages(distinct)
-    # passages that occur on both sides, with the number of different training texts that hold them
-    held = passages.groupBy("level", "hash").agg(F.sum(1 - F.col("side")).alias("n_train"), F.sum("side").alias("n_eval"))
-    used = held.where((F.col("n_train") > 0) & (F.col("n_eval") > 0) & ((F.col("level") == 2) | (F.col("n_train") <= COMMON)))
-    hits = passages.join(used.select("level", "hash", "n_eval"), ["level", "hash"])
-    n_shards = max(12, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    visits = hits.groupBy("text_key", "side", F.pmod("hash", F.lit(n_shards)).cast("int").alias("shard")).agg(F.collect_set("hash").alias("hashes"))
-    shards = visits.join(sides.select("text_key", "words"), "text_key")
-    scanned = _scan(shards)
-    pairs = scanned.groupBy("a_key", "b_key").agg(F.sum("covered").alias("covered")).where(F.col("a_key") != F.col("b_key"))
-    with_words = pairs.join(sides.select(F.col("text_key").alias("a_key"), F.col("words").alias("a_words")), "a_key").join(
-        sides.select(F.col("text_key").alias("b_key"), F.col("words").alias("b_words")), "b_key"
-    )
-    near = _near(with_words.select("a_key", "b_key", "a_words", "b_words"))
-    exact = sides.where((F.col("lo") == 0) & (F.col("hi") == 1)).select(
-        F.col("text_key").alias("a_key"), F.col("text_key").alias("b_key"), F.lit(0).alias("edits"), F.size(F.split("words", " ")).alias("longer")
+    spark = rows.sparkSession
+    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = rows.select(F.col("row_ord").cast("long"), "split", "source", F.col("text").cast("string").alias("text"))
+    texts = _texts(wanted.where(F.col("text").isNotNull() & F.col("split").isNotNull()))
+    in_train = F.col("split") == "train"
+    # one row per different text, named by its smallest row; the partitioning by id is kept for the later joins
+    kinds = texts.groupBy("text_key").agg(
+        F.min("row_ord").alias("id"), F.bool_or(in_train).alias("in_train"), F.bool_or(~in_train).alias("in_eval"), F.first("words").alias("words")
     )
-    links = near.unionByName(exact)
-    train = texts.where(F.col("split") == "train").select(F.col("row_ord").alias("train_row_ord"), F.col("text_key").alias("b_key"))
-    other = texts.where(F.col("split") != "train").select("row_ord", "split", "source", F.col("text_key").alias("a_key"))
-    return links.join(other, "a_key").join(train, "b_key").select("train_row_ord", "row_ord", "split", "source", "edits", "longer").distinct()
+    distinct = cut(kinds.repartition(parts, "id"))
+    links = _candidates(distinct, parts).select("a_id", "b_id").unionByName(_short_pairs(distinct)).distinct()
+    words = distinct.select("id", "words")
+    paired = links.join(words.select(F.col("id").alias("a_id"), F.col("words").alias("a_words")), "a_id")
+    paired = paired.join(words.select(F.col("id").alias("b_id"), F.col("words").alias("b_words")), "b_id")
+    near = _near(paired.select("a_id", "b_id", "a_words", "b_words"))
+    exact = distinct.where("in_train AND in_eval").select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.lit(0).alias("edits"), F.size(F.split("words", " ")).alias("longer"))
+    linked = cut(near.unionByName(exact))
+    # only texts with a link go back to their rows
+    keys = distinct.select("id", "text_key").join(linked.select(F.col("a_id").alias("id")).union(linked.select("b_id")).distinct(), "id")
+    members = cut(texts.select("row_ord", "split", "source", "text_key").join(keys, "text_key").select("id", "row_ord", "split", "source").distinct())
+    train = members.where(in_train).select(F.col("id").alias("b_id"), F.col("row_ord").alias("train_row_ord"))
+    other = members.where(~in_train).select(F.col("id").alias("a_id"), "row_ord", "split", "source")
+    return linked.join(other, "a_id").join(train, "b_id").select("train_row_ord", "row_ord", "split", "source", "edits", "longer")
