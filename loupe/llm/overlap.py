@@ -6,12 +6,13 @@ words). Exact copies are collapsed first, so a group of copies costs one compari
 Candidates come from passages, runs of plain words of the evaluation texts. The passages are sharded by their hash. Aho-Corasick
 automata over each shard's passages scan the training texts: of each training text a shard gets the stretches that hold passages of the shard
 (a join on passage hashes says which), so nothing is scanned by shards that cannot match. The matched intervals are merged
-into coverage per pair of evaluation and training text, and pairs are settled by a banded edit distance.
+into coverage per pair of evaluation and training text. A pair is dropped where the sets of its words rule it out (each edit changes at
+most two bits of a 256-bit picture of a text's words); the others are settled by a banded edit distance.
 
 Which passages: of every WINDOW consecutive runs of SHORT words winnowing picks the one with the least hash, in both sides
 alike, so a pair with SHORT + WINDOW - 1 consecutive plain words in common shares a picked passage. A passage in
-more than COMMON different training texts says little about a pair; there the passages of twice as many words take over, and so on by
-doubling. The passages that hold at least a quarter of their text have no such limit, so texts that share most of their words
+more than COMMON different training texts says little about a pair; there the passages of four times as many words take over, and so
+on. The passages that hold at least a quarter of their text have no such limit, so texts that share most of their words
 always meet, however many share them. Texts of fewer than FEW words meet by deletion variants instead, which is exact. A pair at the limit
 of one word in five can be missed only if its edits are spread so evenly that no such run stays; see README for measured recall.
 
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from loupe.llm.text import MIN_WORDS, plain
 from loupe.session import cut
 
-SHORT, WINDOW = 10, 3
+SHORT, WINDOW, WIDER = 9, 5, 4
 FEW = 14
-COMMON = 40
+COMMON = 100
 #: Most texts of a side in one task.
 GROUP = 20_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -94,7 +95,7 @@ def picked(lengths: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.nd
             take[order[np.r_[True, text[order][1:] != text[order][:-1]]]] = True
         at = np.flatnonzero(take & inside)
         yield width, text[at], place[at], h[at]
-        width, window = width * 2, width
+        width, window = width * WIDER, width * WIDER // 2
 
 
 def deletion_variants(words: list[str], most: int) -> set[int]:
@@ -142,8 +143,13 @@ def edit_distance(a: list, b: list, most: int) -> int:
     return min(last[m], far)
 
 
-def _texts(rows: DataFrame) -> DataFrame:
-    """(row_ord, split, source, words, text_key) of rows with enough words."""
+#: Flags in the lowest bits of a text's packed number.
+TRAIN, EVAL, FREE = 1, 2, 4
+
+
+def _plain_texts(texts: DataFrame, with_words: bool) -> DataFrame:
+    """(row_ord, source, text_key) or (row_ord, words) of texts with enough words."""
+    columns, schema = (["row_ord", "words"], "row_ord long, words string") if with_words else (["row_ord", "source", "text_key"], "row_ord long, source string, text_key binary")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
@@ -151,14 +157,15 @@ def _texts(rows: DataFrame) -> DataFrame:
         for b in batches:
             b["words"] = [plain(t) for t in b["text"]]
             b = b[b["words"].str.count(" ") >= MIN_WORDS - 1].copy()
-            b["text_key"] = [xxh3_128_digest(w.encode()) for w in b["words"]]
-            yield b[["row_ord", "split", "source", "words", "text_key"]]
+            if not with_words:
+                b["text_key"] = [xxh3_128_digest(w.encode()) for w in b["words"]]
+            yield b[columns]
 
-    return rows.mapInPandas(run, "row_ord long, split string, source string, words string, text_key binary")
+    return texts.mapInPandas(run, schema)
 
 
 def _passages(texts: DataFrame) -> DataFrame:
-    """(id, in_train, in_eval, hash, free) of the picked passages; free: the passage has no limit of texts that hold it."""
+    """(key, hash) of the picked passages; key: the text's id times 8 and the flags TRAIN, EVAL, FREE (no limit of texts that hold it)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, int] = {}
@@ -166,13 +173,11 @@ def _passages(texts: DataFrame) -> DataFrame:
             split = [w.split(" ") for w in b["words"]]
             lengths = np.array([len(w) for w in split], np.int64)
             hashes = word_hashes([w for words in split for w in words], memo)
-            ids, train, evaluation = (b[c].to_numpy() for c in ("id", "in_train", "in_eval"))
+            key = b["id"].to_numpy() * 8 + np.where(b["in_train"], TRAIN, 0) + np.where(b["in_eval"], EVAL, 0)
             for width, text, _, h in picked(lengths, hashes):
-                yield pd.DataFrame(
-                    {"id": ids[text], "in_train": train[text], "in_eval": evaluation[text], "hash": h.view(np.int64), "free": width * 4 >= lengths[text]}
-                )
+                yield pd.DataFrame({"key": key[text] + np.where(width * 4 >= lengths[text], FREE, 0), "hash": h.view(np.int64)})
 
-    return texts.select("id", "in_train", "in_eval", "words").mapInPandas(run, "id long, in_train boolean, in_eval boolean, hash long, free boolean")
+    return texts.select("id", "in_train", "in_eval", "words").mapInPandas(run, "key long, hash long")
 
 
 def _short_pairs(texts: DataFrame) -> DataFrame:
@@ -201,8 +206,15 @@ def _short_pairs(texts: DataFrame) -> DataFrame:
     return a.join(b, "variant").where("a_id <> b_id").select("a_id", "b_id").distinct()
 
 
+def _picture(hashes: np.ndarray) -> bytes:
+    """256 bits: which remainders the hashes of a text's words have."""
+    bits = np.zeros(256, np.uint8)
+    bits[(hashes & np.uint64(255)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def _stretches(texts: DataFrame, shards: int) -> DataFrame:
-    """(shard, in_train, in_eval, id, passages, places): of each text the wanted passages of each shard, with their places."""
+    """(shard, in_train, in_eval, id, n_words, picture, passages, places): of each text the wanted passages of each shard."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, int] = {}
@@ -210,17 +222,25 @@ def _stretches(texts: DataFrame, shards: int) -> DataFrame:
             split = [w.split(" ") for w in b["words"]]
             lengths = np.array([len(w) for w in split], np.int64)
             hashes = word_hashes([w for words in split for w in words], memo)
-            wanted = [set(np.asarray(h, np.int64).tolist()) for h in b["hashes"]]
+            starts = np.r_[0, np.cumsum(lengths)]
+            wanted = [set(h.tolist()) for h in b["hashes"]]
+            every = np.unique(np.concatenate([np.asarray(h, np.int64) for h in b["hashes"]])) if len(b) else np.empty(0, np.int64)
             found: dict[tuple[int, int], list[tuple[int, int]]] = {}
             for width, text, place, h in picked(lengths, hashes):
-                for t, p, x in zip(text.tolist(), place.tolist(), h.view(np.int64).tolist()):
+                h = h.view(np.int64)
+                near = np.flatnonzero(np.isin(h, every))
+                for t, p, x in zip(text[near].tolist(), place[near].tolist(), h[near].tolist()):
                     if x in wanted[t]:
                         found.setdefault((t, x % shards), []).append((p, p + width))
             ids, train, evaluation = (b[c].tolist() for c in ("id", "in_train", "in_eval"))
-            out = [(s, train[t], evaluation[t], ids[t], [" ".join(split[t][lo:hi]) for lo, hi in spans], [lo for lo, _ in spans]) for (t, s), spans in found.items()]
-            yield pd.DataFrame(out, columns=["shard", "in_train", "in_eval", "id", "passages", "places"])
+            out = [
+                (s, train[t], evaluation[t], ids[t], len(split[t]), _picture(hashes[starts[t] : starts[t + 1]]), [" ".join(split[t][lo:hi]) for lo, hi in spans], [lo for lo, _ in spans])
+                for (t, s), spans in found.items()
+            ]
+            yield pd.DataFrame(out, columns=["shard", "in_train", "in_eval", "id", "n_words", "picture", "passages", "places"])
 
-    return texts.mapInPandas(run, "shard int, in_train boolean, in_eval boolean, id long, passages array<string>, places array<int>")
+    schema = "shard int, in_train boolean, in_eval boolean, id long, n_words int, picture binary, passages array<string>, places array<int>"
+    return texts.mapInPandas(run, schema)
 
 
 def _scan(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
@@ -232,7 +252,11 @@ def _scan(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
 
     machine = ahocorasick.Automaton()
     held: dict[str, list[tuple[int, int]]] = {}
-    for k, passages, places in g.loc[g["of_eval"], ["id", "passages", "places"]].itertuples(index=False):
+    pictures: dict[int, tuple[int, int]] = {}
+    sides = g["of_eval"].to_numpy(bool)
+    columns = ["id", "n_words", "picture", "passages", "places"]
+    for k, n, picture, passages, places in g.loc[sides, columns].itertuples(index=False):
+        pictures[k] = (int.from_bytes(picture, "big"), n)
         for passage, lo in zip(passages, places):
             held.setdefault(f" {passage} ", []).append((k, int(lo)))
     cover: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -240,13 +264,24 @@ def _scan(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         for passage in held:
             machine.add_word(passage, passage)
         machine.make_automaton()
-        for k, passages in g.loc[~g["of_eval"], ["id", "passages"]].itertuples(index=False):
+        for k, n, picture, passages, _ in g.loc[~sides, columns].itertuples(index=False):
+            mine = int.from_bytes(picture, "big")
+            ruled_out: set[int] = {k}
             # stretches are scanned as one line; the sign between them is in no passage
             for _, passage in machine.iter(" " + " | ".join(passages) + " "):
                 width = passage.count(" ") - 1
                 for a, lo in held[passage]:
-                    if a != k:
-                        cover.setdefault((a, k), []).append((lo, lo + width))
+                    if a in ruled_out:
+                        continue
+                    spans = cover.get((a, k))
+                    if spans is None:
+                        theirs, m = pictures[a]
+                        most = max(n, m) // 5
+                        if abs(n - m) > most or (mine ^ theirs).bit_count() > 2 * most:
+                            ruled_out.add(a)
+                            continue
+                        spans = cover[(a, k)] = []
+                    spans.append((lo, lo + width))
     out = []
     for (a, b), spans in cover.items():
         spans.sort()
@@ -261,20 +296,24 @@ def _scan(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
 def _candidates(texts: DataFrame, parts: int) -> DataFrame:
     """(a_id, b_id, covered) of an evaluation and a training text that share a passage."""
     passages = _passages(texts)
-    # how many different texts of each side hold a passage; summed before the shuffle
-    held = passages.groupBy("hash").agg(F.sum(F.col("in_train").cast("int")).alias("n_train"), F.sum(F.col("in_eval").cast("int")).alias("n_eval"))
+    flag = lambda f: (F.col("key").bitwiseAND(F.lit(f)) != 0).cast("long")
+    # how many different texts of each side hold a passage, in one number; summed before the shuffle
+    high = 1 << 32
+    held = passages.groupBy("hash").agg(F.sum(flag(TRAIN) + flag(EVAL) * high).alias("n"))
+    n_train, n_eval = F.col("n") % high, F.floor(F.col("n") / high)
     # a text in both sides alone meets nobody by this passage
-    used = held.where("n_train > 0 AND n_eval > 0 AND n_train + n_eval > 1").select("hash", (F.col("n_train") <= COMMON).alias("rare"))
-    hits = passages.join(used, "hash").where("(rare OR free)")
-    by_text = hits.groupBy("id").agg(F.collect_set("hash").alias("hashes"))
+    used = held.where((n_train > 0) & (n_eval > 0) & (n_train + n_eval > 1)).select(F.col("hash"), (n_train <= COMMON).alias("rare"))
+    hits = passages.join(used, "hash").where(F.col("rare") | (flag(FREE) == 1))
+    by_text = hits.groupBy(F.floor(F.col("key") / 8).cast("long").alias("id")).agg(F.collect_set("hash").alias("hashes"))
     stretches = cut(_stretches(texts.join(by_text, "id").select("id", "in_train", "in_eval", "words", "hashes"), parts))
     # a row per shard: how many groups its sides are cut into
     size = lambda c: F.ceil(F.sum(F.col(c).cast("int")) / GROUP).cast("int")
     grid = F.broadcast(stretches.groupBy("shard").agg(size("in_train").alias("rows"), size("in_eval").alias("columns")).where("rows > 0 AND columns > 0"))
     placed = stretches.join(grid, "shard")
-    own = F.xxhash64("id")
-    train = placed.where("in_train").select("shard", F.pmod(own, F.col("rows")).cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), "id", "passages", "places", F.lit(False).alias("of_eval"))
-    evaluation = placed.where("in_eval").select("shard", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(own, F.col("columns")).cast("int").alias("column"), "id", "passages", "places", F.lit(True).alias("of_eval"))
+    own, body = F.xxhash64("id"), ["id", "n_words", "picture", "passages", "places"]
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    train = placed.where("in_train").select("shard", F.pmod(own, F.col("rows")).cast("int").alias("row"), each("columns").alias("column"), *body, F.lit(False).alias("of_eval"))
+    evaluation = placed.where("in_eval").select("shard", each("rows").alias("row"), F.pmod(own, F.col("columns")).cast("int").alias("column"), *body, F.lit(True).alias("of_eval"))
     found = train.unionByName(evaluation).groupBy("shard", "row", "column").applyInPandas(_scan, "a_id long, b_id long, covered int")
     return found.groupBy("a_id", "b_id").agg(F.sum("covered").alias("covered"))
 
@@ -310,33 +349,45 @@ def _settle(a: list[str], b: list[str], most: int) -> int:
     return most + 1 if max(len(a), len(b)) - common > most else edit_distance(a, b, most)
 
 
-def cross_split_overlaps(rows: DataFrame) -> DataFrame:
+def cross_split_overlaps(splits: DataFrame, texts: DataFrame) -> DataFrame:
     """All overlaps between train and the other splits.
 
-    rows: row_ord, split, source, text. Gives a row per pair: train_row_ord, row_ord, split, source, edits, longer (words of the
-    longer text). Null texts and texts of fewer than four words never count; null splits are in no split; extra columns are
-    left out; a row listed twice in the same split counts once; empty tables give no rows.
+    splits: row_ord, split. texts: row_ord, source, text; rows without a split take no part. Gives a row per pair: train_row_ord, row_ord, split,
+    source, edits, longer (words of the longer text). Null texts and texts of fewer than four words never count; null splits
+    are no split; extra columns are left out; a row listed twice in the same split counts once; empty tables give no rows.
     """
-    spark = rows.sparkSession
+    spark = splits.sparkSession
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    wanted = rows.select(F.col("row_ord").cast("long"), "split", "source", F.col("text").cast("string").alias("text"))
-    texts = _texts(wanted.where(F.col("text").isNotNull() & F.col("split").isNotNull()))
+    raw = texts.select(F.col("row_ord").cast("long"), "source", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    listed = splits.select(F.col("row_ord").cast("long"), "split").where(F.col("split").isNotNull())
+    # keys of the texts, small, meet the splits; the texts themselves are shuffled once, below
+    rows = cut(listed.join(_plain_texts(raw, False), "row_ord").distinct())
     in_train = F.col("split") == "train"
     # one row per different text, named by its smallest row; the partitioning by id is kept for the later joins
-    kinds = texts.groupBy("text_key").agg(
-        F.min("row_ord").alias("id"), F.bool_or(in_train).alias("in_train"), F.bool_or(~in_train).alias("in_eval"), F.first("words").alias("words")
-    )
-    distinct = cut(kinds.repartition(parts, "id"))
+    kinds = rows.groupBy("text_key").agg(F.min("row_ord").alias("id"), F.bool_or(in_train).alias("in_train"), F.bool_or(~in_train).alias("in_eval"))
+    named = raw.join(kinds.select(F.col("id").alias("row_ord"), "in_train", "in_eval"), "row_ord")
+    words = _words(named)
+    distinct = cut(words)
     links = _candidates(distinct, parts).select("a_id", "b_id").unionByName(_short_pairs(distinct)).distinct()
-    words = distinct.select("id", "words")
-    paired = links.join(words.select(F.col("id").alias("a_id"), F.col("words").alias("a_words")), "a_id")
-    paired = paired.join(words.select(F.col("id").alias("b_id"), F.col("words").alias("b_words")), "b_id")
+    of = distinct.select("id", "words")
+    paired = links.join(of.select(F.col("id").alias("a_id"), F.col("words").alias("a_words")), "a_id")
+    paired = paired.join(of.select(F.col("id").alias("b_id"), F.col("words").alias("b_words")), "b_id")
     near = _near(paired.select("a_id", "b_id", "a_words", "b_words"))
     exact = distinct.where("in_train AND in_eval").select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.lit(0).alias("edits"), F.size(F.split("words", " ")).alias("longer"))
     linked = cut(near.unionByName(exact))
     # only texts with a link go back to their rows
-    keys = distinct.select("id", "text_key").join(linked.select(F.col("a_id").alias("id")).union(linked.select("b_id")).distinct(), "id")
-    members = cut(texts.select("row_ord", "split", "source", "text_key").join(keys, "text_key").select("id", "row_ord", "split", "source").distinct())
+    ends = linked.select(F.col("a_id").alias("id")).union(linked.select("b_id")).distinct()
+    members = cut(rows.join(kinds.select("text_key", "id").join(ends, "id"), "text_key").select("id", "row_ord", "split", "source").distinct())
     train = members.where(in_train).select(F.col("id").alias("b_id"), F.col("row_ord").alias("train_row_ord"))
     other = members.where(~in_train).select(F.col("id").alias("a_id"), "row_ord", "split", "source")
     return linked.join(other, "a_id").join(train, "b_id").select("train_row_ord", "row_ord", "split", "source", "edits", "longer")
+
+
+def _words(named: DataFrame) -> DataFrame:
+    """(id, in_train, in_eval, words) of rows (row_ord, in_train, in_eval, text), a row per id."""
+
+    @F.pandas_udf("string")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(plain)
+
+    return named.select(F.col("row_ord").alias("id"), "in_train", "in_eval", words("text").alias("words")).dropDuplicates(["id"])
