@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loupe.llm.overlap import window_hashes, word_hashes
+from loupe.llm.overlap import Words, window_hashes, word_hashes
 from loupe.llm.text import plain
 
 WIDTH = 12
@@ -82,7 +82,7 @@ def read_items(rows: list[tuple[int, str | None]]) -> Items:
     for t in texts:
         for w in plain(t).split():
             out.words[w] = UNIT if w in UNITS else NUM if _NUMBER.match(w) else NAME if w in names else w
-    memo: dict[str, int] = {}
+    memo = Words()
     for item, t in rows:
         words = plain(t).split() if t else []
         if len(words) < WIDTH:
@@ -140,7 +140,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
-        memo: dict[str, int] = {}
+        memo = Words()
         templates: dict[str, str] = {}
         for b in batches:
             out = []

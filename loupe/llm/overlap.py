@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from loupe.llm.text import MIN_WORDS, plain
 from loupe.session import cut
 
-SHORT, WINDOW, WIDER = 9, 5, 4
+SHORT, WINDOW, WIDER = 11, 3, 4
 FEW = 14
 COMMON = 100
 #: Most texts of a side in one task.
@@ -41,19 +41,32 @@ GROUP = 20_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
-    """A 64-bit hash for each word; memo is emptied when it has grown large."""
-    from xxhash import xxh3_64_intdigest
+class Words(dict):
+    """Numbers of words, and the words' 64-bit hashes by number. Emptied when it has grown large."""
+
+    MOST = 500_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.table = np.empty(1024, np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        from xxhash import xxh3_64_intdigest
 
-    if len(memo) > 500_000:
+        n = len(self)
+        if n == len(self.table):
+            self.table = np.r_[self.table, np.empty(n, np.uint64)]
+        self.table[n] = xxh3_64_intdigest(word)
+        self[word] = n
+        return n
+
+
+def word_hashes(words: list[str], memo: Words) -> np.ndarray:
+    """A 64-bit hash for each word."""
+    if len(memo) > memo.MOST:
         memo.clear()
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = memo.get(w)
-        if h is None:
-            h = memo[w] = xxh3_64_intdigest(w)
-        out[i] = h
-    return out
+    at = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+    return memo.table[at]
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -168,7 +181,7 @@ def _passages(texts: DataFrame) -> DataFrame:
     """(key, hash) of the picked passages; key: the text's id times 8 and the flags TRAIN, EVAL, FREE (no limit of texts that hold it)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, int] = {}
+        memo = Words()
         for b in batches:
             split = [w.split(" ") for w in b["words"]]
             lengths = np.array([len(w) for w in split], np.int64)
@@ -214,10 +227,10 @@ def _picture(hashes: np.ndarray) -> bytes:
 
 
 def _stretches(texts: DataFrame, shards: int) -> DataFrame:
-    """(shard, in_train, in_eval, id, n_words, picture, passages, places): of each text the wanted passages of each shard."""
+    """(shard, id, n_words, picture, passages, places): of each text (id, words, hashes) the wanted passages of each shard."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, int] = {}
+        memo = Words()
         for b in batches:
             split = [w.split(" ") for w in b["words"]]
             lengths = np.array([len(w) for w in split], np.int64)
@@ -232,14 +245,14 @@ def _stretches(texts: DataFrame, shards: int) -> DataFrame:
                 for t, p, x in zip(text[near].tolist(), place[near].tolist(), h[near].tolist()):
                     if x in wanted[t]:
                         found.setdefault((t, x % shards), []).append((p, p + width))
-            ids, train, evaluation = (b[c].tolist() for c in ("id", "in_train", "in_eval"))
+            ids = b["id"].tolist()
             out = [
-                (s, train[t], evaluation[t], ids[t], len(split[t]), _picture(hashes[starts[t] : starts[t + 1]]), [" ".join(split[t][lo:hi]) for lo, hi in spans], [lo for lo, _ in spans])
+                (s, ids[t], len(split[t]), _picture(hashes[starts[t] : starts[t + 1]]), [" ".join(split[t][lo:hi]) for lo, hi in spans], [lo for lo, _ in spans])
                 for (t, s), spans in found.items()
             ]
-            yield pd.DataFrame(out, columns=["shard", "in_train", "in_eval", "id", "n_words", "picture", "passages", "places"])
+            yield pd.DataFrame(out, columns=["shard", "id", "n_words", "picture", "passages", "places"])
 
-    schema = "shard int, in_train boolean, in_eval boolean, id long, n_words int, picture binary, passages array<string>, places array<int>"
+    schema = "shard int, id long, n_words int, picture binary, passages array<string>, places array<int>"
     return texts.mapInPandas(run, schema)
 
 
@@ -304,16 +317,18 @@ def _candidates(texts: DataFrame, parts: int) -> DataFrame:
     # a text in both sides alone meets nobody by this passage
     used = held.where((n_train > 0) & (n_eval > 0) & (n_train + n_eval > 1)).select(F.col("hash"), (n_train <= COMMON).alias("rare"))
     hits = passages.join(used, "hash").where(F.col("rare") | (flag(FREE) == 1))
-    by_text = hits.groupBy(F.floor(F.col("key") / 8).cast("long").alias("id")).agg(F.collect_set("hash").alias("hashes"))
-    stretches = cut(_stretches(texts.join(by_text, "id").select("id", "in_train", "in_eval", "words", "hashes"), parts))
+    mine = lambda f: F.bool_or(flag(f) == 1)
+    by_text = cut(hits.groupBy(F.floor(F.col("key") / 8).cast("long").alias("id")).agg(mine(TRAIN).alias("in_train"), mine(EVAL).alias("in_eval"), F.collect_set("hash").alias("hashes")))
     # a row per shard: how many groups its sides are cut into
+    visits = by_text.select("in_train", "in_eval", F.explode(F.array_distinct(F.transform("hashes", lambda h: F.pmod(h, F.lit(parts)).cast("int")))).alias("shard"))
     size = lambda c: F.ceil(F.sum(F.col(c).cast("int")) / GROUP).cast("int")
-    grid = F.broadcast(stretches.groupBy("shard").agg(size("in_train").alias("rows"), size("in_eval").alias("columns")).where("rows > 0 AND columns > 0"))
-    placed = stretches.join(grid, "shard")
-    own, body = F.xxhash64("id"), ["id", "n_words", "picture", "passages", "places"]
+    grid = F.broadcast(cut(visits.groupBy("shard").agg(size("in_train").alias("rows"), size("in_eval").alias("columns")).where("rows > 0 AND columns > 0")))
+    own, words = F.xxhash64("id"), texts.select("id", "words")
+    side = lambda c: _stretches(words.join(by_text.where(c).select("id", "hashes"), "id"), parts).join(grid, "shard")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    train = placed.where("in_train").select("shard", F.pmod(own, F.col("rows")).cast("int").alias("row"), each("columns").alias("column"), *body, F.lit(False).alias("of_eval"))
-    evaluation = placed.where("in_eval").select("shard", each("rows").alias("row"), F.pmod(own, F.col("columns")).cast("int").alias("column"), *body, F.lit(True).alias("of_eval"))
+    body = ["id", "n_words", "picture", "passages", "places"]
+    train = side("in_train").select("shard", F.pmod(own, F.col("rows")).cast("int").alias("row"), each("columns").alias("column"), *body, F.lit(False).alias("of_eval"))
+    evaluation = side("in_eval").select("shard", each("rows").alias("row"), F.pmod(own, F.col("columns")).cast("int").alias("column"), *body, F.lit(True).alias("of_eval"))
     found = train.unionByName(evaluation).groupBy("shard", "row", "column").applyInPandas(_scan, "a_id long, b_id long, covered int")
     return found.groupBy("a_id", "b_id").agg(F.sum("covered").alias("covered"))
 
