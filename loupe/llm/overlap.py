@@ -38,6 +38,8 @@ FEW = 14
 COMMON = 100
 #: Most texts of a side in one task.
 GROUP = 20_000
+#: Texts that are worked on at once.
+CHUNK = 2_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,6 +86,20 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _least_places(values: np.ndarray, window: int) -> np.ndarray:
+    """The place of the least value in each run of `window` values; the lowest bits of the values give way to their places."""
+    low = np.uint64((1 << 20) - 1)
+    least = (values & ~low) | (np.arange(len(values), dtype=np.uint64) & low)
+    span = 1
+    while span * 2 <= window:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    n = len(values) - window + 1
+    least = np.minimum(least[:n], least[window - span : window - span + n])
+    at = np.arange(n)
+    return at + (((least & low).astype(np.int64) - at) & int(low))
+
+
 def picked(lengths: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Picked passages of many texts at once, by width: (width, number of the text, place in it, hash).
 
@@ -99,8 +115,7 @@ def picked(lengths: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.nd
         ranked = np.where(inside, h, np.uint64(2**64 - 1))
         take = np.zeros(len(h), bool)
         if len(h) >= window:
-            rolled = np.lib.stride_tricks.sliding_window_view(ranked, window)
-            take[np.argmin(rolled, axis=1) + np.arange(len(rolled))] = True
+            take[_least_places(ranked, window)] = True
         # of each text the least of all, which also serves texts with fewer runs than a window
         at = np.flatnonzero(inside)
         if len(at):
@@ -177,12 +192,18 @@ def _plain_texts(texts: DataFrame, with_words: bool) -> DataFrame:
     return texts.mapInPandas(run, schema)
 
 
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for i in range(0, len(b), CHUNK):
+            yield b.iloc[i : i + CHUNK]
+
+
 def _passages(texts: DataFrame) -> DataFrame:
-    """(key, hash) of the picked passages; key: the text's id times 8 and the flags TRAIN, EVAL, FREE (no limit of texts that hold it)."""
+    """(key, hash) of the picked passages, in batches of CHUNK texts; key: the text's id times 8 and the flags TRAIN, EVAL, FREE (no limit of texts that hold it)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Words()
-        for b in batches:
+        for b in _chunks(batches):
             split = [w.split(" ") for w in b["words"]]
             lengths = np.array([len(w) for w in split], np.int64)
             hashes = word_hashes([w for words in split for w in words], memo)
@@ -231,7 +252,7 @@ def _stretches(texts: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Words()
-        for b in batches:
+        for b in _chunks(batches):
             split = [w.split(" ") for w in b["words"]]
             lengths = np.array([len(w) for w in split], np.int64)
             hashes = word_hashes([w for words in split for w in words], memo)
