@@ -13,14 +13,22 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n == 0:
         return np.empty(0, np.int64)
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64)
-    k = 1
+    # the first sorting takes as many symbols at once as fit into 62 bits
+    width = max(1, int(text.max()).bit_length())
+    k = max(1, 62 // width)
+    padded = np.r_[text.astype(np.int64), np.zeros(k, np.int64)]
+    packed = np.zeros(n, np.int64)
+    for j in range(k):
+        packed = (packed << width) | padded[j : j + n]
+    order = np.argsort(packed)
+    sorted_key = packed[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.r_[0, np.cumsum(sorted_key[1:] != sorted_key[:-1])]
     while True:
         second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
+        second[: max(0, n - k)] = rank[k:] + 1
         key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         fresh = np.r_[0, np.cumsum(sorted_key[1:] != sorted_key[:-1])]
         rank = np.empty(n, np.int64)
@@ -80,44 +88,3 @@ class FMIndex:
         start = self.first[symbol]
         both = self.wave.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
         return start + both[: len(lo)], start + both[len(lo) :]
-
-
-def matching_statistics(index: FMIndex, patterns: list[np.ndarray], least: int) -> list[list[tuple[int, int, int, int]]]:
-    """Of each pattern its maximal stretches that occur in the index and have at least `least` symbols.
-
-    A stretch is (start, end, suffix range). Backward search runs from the right; when it fails, the stretch found so far is reported
-    if it is long enough, and the search starts anew from every right end that could still make a longer stretch: those are
-    found by probing blocks of `least // 2` symbols, one of which any stretch of `least` symbols contains whole.
-    All probes of all patterns run in step. Extending a hit to the left uses backward search; to the right the text under one suffix decides.
-    """
-    block = max(1, least // 2)
-    owner, place = [], []
-    for k, p in enumerate(patterns):
-        ends = np.arange(block, len(p) + 1, block)
-        owner.append(np.full(len(ends), k))
-        place.append(ends)
-    if not owner:
-        return []
-    owner_, end = np.concatenate(owner), np.concatenate(place).astype(np.int64)
-    lengths = np.array([len(p) for p in patterns], np.int64)
-    offset = np.r_[0, np.cumsum(lengths)][:-1]
-    flat = np.concatenate(patterns).astype(np.int64) if len(patterns) else np.empty(0, np.int64)
-    at = end.copy()
-    lo, hi = np.zeros(len(end), np.int64), np.full(len(end), index.n, np.int64)
-    live = np.arange(len(end))
-    while len(live):
-        can = at[live] > 0
-        live = live[can]
-        if not len(live):
-            break
-        symbol = flat[offset[owner_[live]] + at[live] - 1]
-        known = (symbol >= 1) & (symbol <= index.alphabet)
-        new_lo, new_hi = index.step(np.where(known, symbol, 1), lo[live], hi[live])
-        good = known & (new_hi > new_lo)
-        live, new_lo, new_hi = live[good], new_lo[good], new_hi[good]
-        lo[live], hi[live] = new_lo, new_hi
-        at[live] -= 1
-    out: list[list[tuple[int, int, int, int]]] = [[] for _ in patterns]
-    for i in np.flatnonzero(end - at >= block).tolist():
-        out[owner_[i]].append((int(at[i]), int(end[i]), int(lo[i]), int(hi[i])))
-    return out

@@ -401,7 +401,7 @@ def cross_split_overlaps(splits: DataFrame, texts: DataFrame) -> DataFrame:
     in_train = F.col("split") == "train"
     # one row per different text, named by its smallest row; the partitioning by id is kept for the later joins
     kinds = rows.groupBy("text_key").agg(F.min("row_ord").alias("id"), F.bool_or(in_train).alias("in_train"), F.bool_or(~in_train).alias("in_eval"))
-    named = raw.join(kinds.select(F.col("id").alias("row_ord"), "in_train", "in_eval"), "row_ord")
+    named = raw.repartition(parts, "row_ord").join(kinds.select(F.col("id").alias("row_ord"), "in_train", "in_eval"), "row_ord")
     words = _words(named)
     distinct = cut(words)
     links = _candidates(distinct, parts).select("a_id", "b_id").unionByName(_short_pairs(distinct)).distinct()
