@@ -11,8 +11,8 @@ most two bits of a 256-bit picture of a text's words); the others are settled by
 
 Which passages: of every WINDOW consecutive runs of SHORT words winnowing picks the one with the least hash, in both sides
 alike, so a pair with SHORT + WINDOW - 1 consecutive plain words in common shares a picked passage. A passage in
-more than COMMON different training texts says little about a pair; there the passages of four times as many words take over, and so
-on. The passages that hold at least a quarter of their text have no such limit, so texts that share most of their words
+more than COMMON different training texts says little about a pair; there the passages of twice as many words take over, and so
+on. The passages that hold at least a fifth of their text have no such limit, so texts that share most of their words
 always meet, however many share them. Texts of fewer than FEW words meet by deletion variants instead, which is exact. A pair at the limit
 of one word in five can be missed only if its edits are spread so evenly that no such run stays; see README for measured recall.
 
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from loupe.llm.text import MIN_WORDS, plain
 from loupe.session import cut
 
-SHORT, WINDOW, WIDER = 11, 3, 4
+SHORT, WINDOW, WIDER = 11, 3, 2
 FEW = 14
-COMMON = 100
+COMMON = 2_000
 #: Most texts of a side in one task.
 GROUP = 20_000
 #: Texts that are worked on at once.
@@ -209,7 +209,7 @@ def _passages(texts: DataFrame) -> DataFrame:
             hashes = word_hashes([w for words in split for w in words], memo)
             key = b["id"].to_numpy() * 8 + np.where(b["in_train"], TRAIN, 0) + np.where(b["in_eval"], EVAL, 0)
             for width, text, _, h in picked(lengths, hashes):
-                yield pd.DataFrame({"key": key[text] + np.where(width * 4 >= lengths[text], FREE, 0), "hash": h.view(np.int64)})
+                yield pd.DataFrame({"key": key[text] + np.where(width * 5 >= lengths[text], FREE, 0), "hash": h.view(np.int64)})
 
     return texts.select("id", "in_train", "in_eval", "words").mapInPandas(run, "key long, hash long")
 
@@ -277,6 +277,20 @@ def _stretches(texts: DataFrame, shards: int) -> DataFrame:
     return texts.mapInPandas(run, schema)
 
 
+def _possible(owners: list, wide: dict, passage: str, pictures: dict, mine: int, n: int) -> list:
+    """Of the many evaluation texts that hold a passage, those that the pictures don't rule out for a text of n words."""
+    if passage not in wide:
+        seen = [pictures[a] for a, _ in owners]
+        wide[passage] = (
+            np.frombuffer(b"".join(p.to_bytes(32, "big") for p, _ in seen), np.uint64).reshape(-1, 4),
+            np.array([m for _, m in seen], np.int64),
+        )
+    theirs, words = wide[passage]
+    bits = np.bitwise_count(theirs ^ np.frombuffer(mine.to_bytes(32, "big"), np.uint64)).sum(axis=1)
+    most = np.maximum(words, n) // 5
+    return [owners[i] for i in np.flatnonzero((np.abs(words - n) <= most) & (bits <= 2 * most)).tolist()]
+
+
 def _scan(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
     """An automaton over the group's evaluation passages scans its training stretches.
 
@@ -298,13 +312,17 @@ def _scan(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         for passage in held:
             machine.add_word(passage, passage)
         machine.make_automaton()
+        wide: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for k, n, picture, passages, _ in g.loc[~sides, columns].itertuples(index=False):
             mine = int.from_bytes(picture, "big")
             ruled_out: set[int] = {k}
             # stretches are scanned as one line; the sign between them is in no passage
             for _, passage in machine.iter(" " + " | ".join(passages) + " "):
                 width = passage.count(" ") - 1
-                for a, lo in held[passage]:
+                owners = held[passage]
+                if len(owners) > 16:
+                    owners = _possible(owners, wide, passage, pictures, mine, n)
+                for a, lo in owners:
                     if a in ruled_out:
                         continue
                     spans = cover.get((a, k))

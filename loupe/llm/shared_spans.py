@@ -28,6 +28,8 @@ LEAST = 200
 BLOCK = 96
 #: Passages of one shard whose characters go into one index.
 INDEX_CHARS = 1_500_000
+#: Documents that are hashed in one piece.
+CHUNK = 128
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,51 +58,67 @@ def block_hashes(codes: np.ndarray, block: int = BLOCK) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def anchors(codes: np.ndarray, least: int = LEAST, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the picked blocks: any run of `least` characters holds one whole."""
+def anchors(texts: list[str], least: int = LEAST, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, place, hash) of the picked blocks of texts: any run of `least` characters of a text holds one whole.
+
+    The texts are hashed in one piece. Runs that reach from one text into the next may pick a few blocks more.
+    """
     from loupe.llm.overlap import _least_places
 
+    codes = code_points("".join(texts))
+    lengths = np.array([len(t) for t in texts], np.int64)
     h = block_hashes(codes, block)
     window = least - block + 1
     if len(h) < window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    at = np.unique(_least_places(h, window))
-    return at, h[at]
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    ends = np.cumsum(lengths)
+    inside = np.ones(len(h), bool)
+    for e in ends[:-1].tolist():
+        inside[max(0, e - block + 1) : e] = False
+    at = np.unique(_least_places(np.where(inside, h, np.uint64(2**64 - 1)), window))
+    at = at[inside[at]]
+    text = np.searchsorted(ends, at, side="right")
+    return text, at - (ends - lengths)[text], h[at]
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for i in range(0, len(b), CHUNK):
+            yield b.iloc[i : i + CHUNK]
 
 
 def _picked_blocks(docs: DataFrame, least: int) -> DataFrame:
-    """(hash, doc_id): the picked blocks of each document, each once."""
+    """(hash, doc_id): the picked blocks of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ids, found = [], []
-            for doc, text in zip(b["doc_id"].tolist(), b["text"]):
-                h = np.unique(anchors(code_points(text), least)[1])
-                ids.append(np.full(len(h), doc, np.int64))
-                found.append(h.view(np.int64))
-            if ids:
-                yield pd.DataFrame({"hash": np.concatenate(found), "doc_id": np.concatenate(ids)})
+        for b in _chunks(batches):
+            text, _, h = anchors(b["text"].tolist(), least)
+            yield pd.DataFrame({"hash": h.view(np.int64), "doc_id": b["doc_id"].to_numpy()[text]})
 
     return docs.mapInPandas(run, "hash long, doc_id long")
 
 
 def _passages(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, hash, at, passage) around every wanted block of docs (doc_id, text, hashes)."""
+    """(doc_id, hash, at, inner, passage) around every wanted block of docs (doc_id, text, hashes); inner: the block's place in the passage."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _chunks(batches):
+            ids, texts = b["doc_id"].tolist(), b["text"].tolist()
+            wanted = [set(h.tolist()) for h in b["hashes"]]
             out = []
-            for doc, text, wanted in zip(b["doc_id"].tolist(), b["text"], b["hashes"]):
-                at, h = anchors(code_points(text), least)
-                known = np.isin(h.view(np.int64), np.asarray(wanted, np.int64))
-                for p, x in zip(at[known].tolist(), h.view(np.int64)[known].tolist()):
+            for t, p, x in zip(*(a.tolist() for a in _signed(anchors(texts, least)))):
+                if x in wanted[t]:
                     lo = max(0, p + BLOCK - least)
-                    out.append((doc, x, lo, p - lo, text[lo : p + least]))
+                    out.append((ids[t], x, lo, p - lo, texts[t][lo : p + least]))
             yield pd.DataFrame(out, columns=["doc_id", "hash", "at", "inner", "passage"])
 
     return docs.mapInPandas(run, "doc_id long, hash long, at int, inner int, passage string")
 
 
+def _signed(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return found[0], found[1], found[2].view(np.int64)
+
+
 def _search(least: int):
     """All passages of a group against the group's index; (passage_id, start, end) of shared intervals within the passages."""
 
