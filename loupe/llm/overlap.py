@@ -123,7 +123,7 @@ def picked(lengths: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.nd
             take[order[np.r_[True, text[order][1:] != text[order][:-1]]]] = True
         at = np.flatnonzero(take & inside)
         yield width, text[at], place[at], h[at]
-        width, window = width * WIDER, width * WIDER // 2
+        width, window = width * WIDER, width * WIDER
 
 
 def deletion_variants(words: list[str], most: int) -> set[int]:
