@@ -98,28 +98,31 @@ def canon(s: SparkSession, d: str) -> DataFrame:
 def text_query(name: str, column, sql: str) -> None:  # noqa: ANN001
     @query(name, f"SELECT row_ord, {sql} AS value FROM {SAMPLE}")
     def run(s: SparkSession, d: str) -> DataFrame:
-        return sample(s, d).select("row_ord", column.alias("value"))
-
-
-_T = F.col("review_text")
-text_query("txt_clean", X.clean_text(_T), q_clean("review_text"))
-text_query("txt_clean_html", X.without_markup(_T), q_markup("review_text"))
-text_query("txt_clean_ws", X.squeeze(_T), q_squeeze("review_text"))
-text_query("txt_clean_url", X.without_urls(_T), q_urls("review_text"))
-text_query("txt_norm_key", X.text_key(_T), q_key("review_text"))
-text_query("txt_norm_hash", X.text_hash(_T), f"sha256({q_normal('review_text')})")
-text_query("txt_word_count", X.word_count(_T), f"CAST({q_words('review_text')} AS INTEGER)")
-text_query("txt_truncate", F.substring(X.squeeze(_T), 1, 180), f"substring({q_squeeze('review_text')}, 1, 180)")
-text_query("txt_review_id_md5", X.review_id(*[F.coalesce(c, F.lit("")) for c in ("domain", "entity_id", "review_text")]), "md5(concat_ws('_', coalesce(domain, ''), coalesce(entity_id, ''), coalesce(review_text, '')))")
-text_query("txt_norm_domain", X.known_domain(F.col("domain")), q_domain("domain"))
-text_query("txt_phrase_present", X.has_phrase(X.clean_text(_T), F.lit("had to be sent back")), f"contains(' ' || {q_clean('review_text')} || ' ', ' had to be sent back ')")
-text_query("num_safe_rating", X.safe_rating(F.col("rating_original")), q_safe("rating_original"))
-text_query("num_clip", X.clipped_rating(F.col("rating_original")), f"CASE WHEN {q_number('rating_original')} IS NOT NULL THEN least(5.0, greatest(1.0, {q_number('rating_original')})) END")
-text_query("num_round_half_up", X.half_up(X.safe_rating(F.col("rating_original"))), f"CAST(floor({q_safe('rating_original')} + 0.5) AS INTEGER)")
-text_query("num_round_half_even", F.bround(X.safe_rating(F.col("rating_original"))).cast("int"), f"CAST(round_even({q_safe('rating_original')}, 0) AS INTEGER)")
-text_query("lbl_rating", X.rating_label(X.number(F.col("rating_original"))), q_label(q_number("rating_original")))
-text_query("lbl_rating_strict", X.strict_rating_label(F.col("rating")), "CASE WHEN rating <= 2 THEN 'negative' WHEN rating = 3 THEN 'neutral' WHEN rating >= 4 THEN 'positive' END")
-text_query("txt_segments", F.size(F.filter(F.split(X.clean_text(_T), r" (?:but|however|although|though|yet|except|while|whereas) "), lambda x: F.contains(x, F.lit(" ")))), f"CAST(len(list_filter(regexp_split_to_array({q_clean('review_text')}, ' (?:but|however|although|though|yet|except|while|whereas) '), lambda x: contains(x, ' '))) AS INTEGER)")
+        return sample(s, d).select("row_ord", column().alias("value"))
+
+
+def T():  # noqa: N802
+    return F.col("review_text")
+
+
+text_query("txt_clean", lambda: X.clean_text(T()), q_clean("review_text"))
+text_query("txt_clean_html", lambda: X.without_markup(T()), q_markup("review_text"))
+text_query("txt_clean_ws", lambda: X.squeeze(T()), q_squeeze("review_text"))
+text_query("txt_clean_url", lambda: X.without_urls(T()), q_urls("review_text"))
+text_query("txt_norm_key", lambda: X.text_key(T()), q_key("review_text"))
+text_query("txt_norm_hash", lambda: X.text_hash(T()), f"sha256({q_normal('review_text')})")
+text_query("txt_word_count", lambda: X.word_count(T()), f"CAST({q_words('review_text')} AS INTEGER)")
+text_query("txt_truncate", lambda: F.substring(X.squeeze(T()), 1, 180), f"substring({q_squeeze('review_text')}, 1, 180)")
+text_query("txt_review_id_md5", lambda: X.review_id(*[F.coalesce(c, F.lit("")) for c in ("domain", "entity_id", "review_text")]), "md5(concat_ws('_', coalesce(domain, ''), coalesce(entity_id, ''), coalesce(review_text, '')))")
+text_query("txt_norm_domain", lambda: X.known_domain(F.col("domain")), q_domain("domain"))
+text_query("txt_phrase_present", lambda: X.has_phrase(X.clean_text(T()), F.lit("had to be sent back")), f"contains(' ' || {q_clean('review_text')} || ' ', ' had to be sent back ')")
+text_query("num_safe_rating", lambda: X.safe_rating(F.col("rating_original")), q_safe("rating_original"))
+text_query("num_clip", lambda: X.clipped_rating(F.col("rating_original")), f"CASE WHEN {q_number('rating_original')} IS NOT NULL THEN least(5.0, greatest(1.0, {q_number('rating_original')})) END")
+text_query("num_round_half_up", lambda: X.half_up(X.safe_rating(F.col("rating_original"))), f"CAST(floor({q_safe('rating_original')} + 0.5) AS INTEGER)")
+text_query("num_round_half_even", lambda: F.bround(X.safe_rating(F.col("rating_original"))).cast("int"), f"CAST(round_even({q_safe('rating_original')}, 0) AS INTEGER)")
+text_query("lbl_rating", lambda: X.rating_label(X.number(F.col("rating_original"))), q_label(q_number("rating_original")))
+text_query("lbl_rating_strict", lambda: X.strict_rating_label(F.col("rating")), "CASE WHEN rating <= 2 THEN 'negative' WHEN rating = 3 THEN 'neutral' WHEN rating >= 4 THEN 'positive' END")
+text_query("txt_segments", lambda: F.size(F.filter(F.split(X.clean_text(T()), r" (?:but|however|although|though|yet|except|while|whereas) "), lambda x: F.contains(x, F.lit(" ")))), f"CAST(len(list_filter(regexp_split_to_array({q_clean('review_text')}, ' (?:but|however|although|though|yet|except|while|whereas) '), lambda x: contains(x, ' '))) AS INTEGER)")
 
 
 @query("txt_norm_sentiment", f"SELECT row_ord, {q_known_label('sentiment_label')} AS value FROM {CANON}")
@@ -184,7 +187,7 @@ _CLEANED = f"(SELECT row_ord, {q_domain('domain')} AS domain, coalesce({q_known_
 
 def cleaned(s: SparkSession, d: str) -> DataFrame:
     x = canon(s, d)
-    return x.select("row_ord", X.known_domain(F.col("domain")).alias("domain"), F.coalesce(X.known_label(F.col("sentiment_label")), F.lit("")).alias("label"), "rating", X.without_markup(_T).alias("t"), X.text_key(_T).alias("k"), X.normal_text(_T, digits=False).alias("norm"))
+    return x.select("row_ord", X.known_domain(F.col("domain")).alias("domain"), F.coalesce(X.known_label(F.col("sentiment_label")), F.lit("")).alias("label"), "rating", X.without_markup(T()).alias("t"), X.text_key(T()).alias("k"), X.normal_text(T(), digits=False).alias("norm"))
 
 
 @query("flt_quality", f"SELECT row_ord, domain, label, rating FROM {_CLEANED} WHERE rating BETWEEN 1 AND 5 AND label <> '' AND t <> '' AND {q_words('t')} >= 4")
@@ -199,7 +202,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("flt_nonblank_clean", f"SELECT row_ord FROM {SAMPLE} WHERE {q_clean('review_text')} <> ''")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return sample(s, d).where(X.clean_text(_T) != "").select("row_ord")
+    return sample(s, d).where(X.clean_text(T()) != "").select("row_ord")
 
 
 @query("flt_text_key_nonempty", f"SELECT row_ord FROM {_CLEANED} WHERE norm <> ''")
@@ -209,7 +212,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("flt_domain_known", f"SELECT row_ord, {q_domain('domain')} AS domain FROM {SAMPLE} WHERE {q_domain('domain')} IS NOT NULL AND {q_squeeze('review_text')} <> ''")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return sample(s, d).select("row_ord", X.known_domain(F.col("domain")).alias("domain"), X.squeeze(_T).alias("t")).where("domain IS NOT NULL AND t <> ''").select("row_ord", "domain")
+    return sample(s, d).select("row_ord", X.known_domain(F.col("domain")).alias("domain"), X.squeeze(T()).alias("t")).where("domain IS NOT NULL AND t <> ''").select("row_ord", "domain")
 
 
 @query("flt_hotel_placeholder", f"SELECT hotel_name, {q_squeeze('negative_review')} AS side FROM hotel_raw WHERE {_HOTEL_SIDE('negative_review')} <> '' AND {q_words('negative_review')} >= 4")
@@ -228,7 +231,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("dedup_first", f"SELECT t_entity, t_text, row_ord FROM (SELECT coalesce(entity_id, '') AS t_entity, {q_squeeze('review_text')} AS t_text, row_ord, row_number() OVER (PARTITION BY coalesce(entity_id, ''), {q_squeeze('review_text')} ORDER BY row_ord) AS rn FROM {SAMPLE}) WHERE rn = 1")
 def _(s: SparkSession, d: str) -> DataFrame:
-    x = sample(s, d).select(F.coalesce("entity_id", F.lit("")).alias("t_entity"), X.squeeze(_T).alias("t_text"), "row_ord")
+    x = sample(s, d).select(F.coalesce("entity_id", F.lit("")).alias("t_entity"), X.squeeze(T()).alias("t_text"), "row_ord")
     return dedup.first_by(x, ["t_entity", "t_text"], "row_ord")
 
 
@@ -256,14 +259,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("dedup_text_hash", f"SELECT sha256({q_normal('review_text')}) AS h, min(row_ord) AS row_ord, count(*) AS copies FROM {SAMPLE} GROUP BY 1")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return sample(s, d).groupBy(X.text_hash(_T).alias("h")).agg(F.min("row_ord").alias("row_ord"), F.count("*").alias("copies"))
+    return sample(s, d).groupBy(X.text_hash(T()).alias("h")).agg(F.min("row_ord").alias("row_ord"), F.count("*").alias("copies"))
 
 
 _UNION = f"SELECT {q_key('review_text')} AS k FROM {SAMPLE} UNION ALL SELECT {q_key('review_text')} FROM {CANON}"
 
 
 def both_keys(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return sample(s, d).select(X.text_key(_T).alias("k")), canon(s, d).select(X.text_key(_T).alias("k"))
+    return sample(s, d).select(X.text_key(T()).alias("k")), canon(s, d).select(X.text_key(T()).alias("k"))
 
 
 @query("set_union_all", f"SELECT k, count(*) AS n FROM ({_UNION}) GROUP BY k")
@@ -292,7 +295,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("join_split_leak", f"WITH k AS (SELECT DISTINCT {q_key('review_text')} AS k, split FROM {CANON} JOIN review_splits USING (row_ord)) SELECT DISTINCT a.k, b.split FROM k a JOIN k b USING (k) WHERE a.split = 'train' AND b.split <> 'train'")
 def _(s: SparkSession, d: str) -> DataFrame:
-    k = canon(s, d).join(table(s, d, "review_splits"), "row_ord").select(X.text_key(_T).alias("k"), "split").distinct()
+    k = canon(s, d).join(table(s, d, "review_splits"), "row_ord").select(X.text_key(T()).alias("k"), "split").distinct()
     return k.where("split <> 'train'").join(k.where("split = 'train'").select("k"), "k", "left_semi").select("k", "split")
 
 
