@@ -19,10 +19,13 @@ MIN_WORDS = 4
 
 
 def plain(text: str) -> str:
-    """The words in lower case with one space between; marks are dropped and neither join nor part words."""
+    """The words in lower case with one space between; marks are dropped and neither join nor part words.
+
+    The signs that part fields, `;` and `|`, stand for white space: no word goes on across them.
+    """
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFC", text))
-    return " ".join(_MARKS.sub("", text.casefold()).split())
+    return " ".join(_MARKS.sub("", text.casefold().replace(";", " ").replace("|", " ")).split())
 
 
 def canonical(text: str) -> str:
