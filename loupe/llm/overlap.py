@@ -117,12 +117,12 @@ def picked(lengths: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.nd
         if len(h) >= window:
             take[_least_places(ranked, window)] = True
         # of each text the least of all, which also serves texts with fewer runs than a window
-        at = np.flatnonzero(inside)
-        if len(at):
-            order = at[np.lexsort((ranked[at], text[at]))]
-            take[order[np.r_[True, text[order][1:] != text[order][:-1]]]] = True
+        starts = (np.cumsum(lengths) - lengths)[: text[len(h) - 1] + 1] if len(h) else []
+        if len(starts):
+            take |= ranked == np.minimum.reduceat(ranked, starts)[text[: len(h)]]
         at = np.flatnonzero(take & inside)
-        yield width, text[at], place[at], h[at]
+        # 48 bits route as well as 64 and take less room; the automata compare the words themselves
+        yield width, text[at], place[at], h[at] >> np.uint64(16)
         width, window = width * WIDER, width * WIDER
 
 
