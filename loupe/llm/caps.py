@@ -93,6 +93,12 @@ def keyed(rows: DataFrame) -> DataFrame:
     ).where("domain IS NOT NULL AND entity_key IS NOT NULL")
 
 
+def _small(over: DataFrame, caps: DataFrame) -> DataFrame:
+    """The contributors above their cap with a broadcast hint, unless a share of zero percent leaves their number without a bound."""
+    least = caps.agg(F.min("max_pct")).first()[0]
+    return F.broadcast(over) if least is None or least > 0 else over
+
+
 def _cut_at(pairs: DataFrame, place: Column) -> tuple[DataFrame, DataFrame]:
     """The pairs in ranges (small place first) that fit whole into the room, and those of the next range with the room left for it."""
     keys = ["domain", "entity_key"]
@@ -111,7 +117,7 @@ def kept_pairs(rows: DataFrame, caps: DataFrame) -> tuple[DataFrame, DataFrame]:
     stand = cut(standing(keyed(rows), caps))
     over = stand.where("n > cap")
     # at most 100 / max_pct contributors of a domain are above a share of max_pct percent: bounded by the caps, not by the data
-    pairs = keyed(rows).join(F.broadcast(over.select("domain", "entity_key", "cap")), ["domain", "entity_key"])
+    pairs = keyed(rows).join(_small(over.select("domain", "entity_key", "cap"), caps), ["domain", "entity_key"])
     low = pairs.where(F.col("cap") <= HEAP).withColumn("room", F.col("cap"))
     free: list[DataFrame] = []
     if not over.where(F.col("cap") > HEAP).isEmpty():
@@ -152,7 +158,7 @@ def cap_contributors(rows: DataFrame, caps: DataFrame) -> DataFrame:
     """
     stand, kept = kept_pairs(rows, caps)
     # bounded by the caps, see kept_pairs()
-    over = F.broadcast(stand.where("n > cap").select(F.col("domain").alias("__od"), F.col("entity_key").alias("__oe")))
+    over = _small(stand.where("n > cap").select(F.col("domain").alias("__od"), F.col("entity_key").alias("__oe")), caps)
     x = rows.withColumns({"__d": domain(F.col("domain").cast("string")), "__e": entity_key(F.col("entity_id").cast("string"))})
     tall = (x["__d"] == over["__od"]) & (x["__e"] == over["__oe"])
     best = x.join(over, tall, "left_semi").join(kept.select(F.col("row_id").alias("__row")), F.col("row_ord") == F.col("__row"), "left_semi")
