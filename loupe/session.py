@@ -8,9 +8,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver has it; a cluster without that path gets it by --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def local_session(name: str = "loupe", cores: int | str = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.driver.memory", memory)
@@ -21,6 +29,8 @@ def local_session(name: str = "loupe", cores: int | str = "*", memory: str = "8g
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    share_package(spark)
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -44,4 +54,5 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
