@@ -3,25 +3,22 @@
 Two texts count as near if at most one plain word in five of the longer one is changed, added or dropped (edit distance over
 words). Exact copies are collapsed first, so a group of copies costs one comparison and is expanded only in the result.
 
-Candidates come from passages, runs of plain words of the evaluation texts. The passages are sharded by their hash. Aho-Corasick
-automata over each shard's passages scan the training texts: of each training text a shard gets the stretches that hold passages of the shard
-(a join on passage hashes says which), so nothing is scanned by shards that cannot match. The matched intervals are merged
-into coverage per pair of evaluation and training text. A pair is dropped where the sets of its words rule it out (each edit changes at
-most two bits of a 256-bit picture of a text's words); the others are settled by a banded edit distance.
-
-Which passages: of every WINDOW consecutive runs of SHORT words winnowing picks the one with the least hash, in both sides
-alike, so a pair with SHORT + WINDOW - 1 consecutive plain words in common shares a picked passage. A passage in
-more than COMMON different training texts says little about a pair; there the passages of twice as many words take over, and so
-on. The passages that hold at least a fifth of their text have no such limit, so texts that share most of their words
-always meet, however many share them. Texts of fewer than FEW words meet by deletion variants instead, which is exact. A pair at the limit
-of one word in five can be missed only if its edits are spread so evenly that no such run stays; see README for measured recall.
-
-A shard that gets many texts is divided into a grid: its training stretches and its evaluation passages are cut into
-groups of bounded size, and every pair of groups meets in one task.
+Candidates come from passages, runs of SHORT plain words, by a prefix filter. All passages have one order, rarest first by the counts
+of a sample. k edits leave some passage of both texts in place; those that come before the first such passage are all destroyed, and k
+edits destroy no more than k that don't overlap. So of each text the passages count that come first in the order, up to k + 1 that don't overlap, and
+two near texts share one of these, however the edits are spread and however many texts hold it. The order decides only how many pairs
+have to be looked at. Texts of fewer than FEW words meet by deletion variants instead, which is exact as well.
+
+Pairs that meet in a passage are dropped where their lengths, the places of the passage or the sets of their words rule them out
+(each edit changes at most two bits of a 256-bit picture of a text's words); the others are settled by a banded edit distance.
+
+A passage in many texts is divided into a grid: its texts are cut into groups of bounded size, and every group of
+training texts meets every group of evaluation texts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,13 +30,21 @@ from pyspark.sql import functions as F
 from loupe.llm.text import MIN_WORDS, plain
 from loupe.session import cut
 
-SHORT, WINDOW, WIDER = 11, 3, 2
+#: Words of a passage; with two, passages overlap just where they are neighbours.
+SHORT = 2
 FEW = 14
+#: A passage in at most so many texts is never divided.
 COMMON = 2_000
-#: Most texts of a side in one task.
+#: Most texts of a side in one field of a passage's grid, as the sample has it.
 GROUP = 20_000
 #: Texts that are worked on at once.
 CHUNK = 2_000
+#: Texts whose passages are counted for the order, about, and the counters they share.
+SAMPLE, SLOTS = 50_000, 1 << 20
+#: Meetings that are looked at together.
+BLOCK = 1 << 20
+#: Columns of a picture of 256 bits.
+PICTURE = ["p0", "p1", "p2", "p3"]
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,44 +91,52 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _least_places(values: np.ndarray, window: int) -> np.ndarray:
-    """The place of the least value in each run of `window` values; the lowest bits of the values give way to their places."""
-    low = np.uint64((1 << 20) - 1)
-    least = (values & ~low) | (np.arange(len(values), dtype=np.uint64) & low)
-    span = 1
-    while span * 2 <= window:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    n = len(values) - window + 1
-    least = np.minimum(least[:n], least[window - span : window - span + n])
-    at = np.arange(n)
-    return at + (((least & low).astype(np.int64) - at) & int(low))
+def _shingles(lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs of SHORT words of many texts, the number of the text, the place in it, and whether the run ends inside its text."""
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    h = window_hashes(hashes, SHORT) >> np.uint64(16)
+    text, place = text[: len(h)], place[: len(h)]
+    return h, text, place, place + SHORT <= lengths[text]
 
 
-def picked(lengths: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Picked passages of many texts at once, by width: (width, number of the text, place in it, hash).
+def prefixes(lengths: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, place or -1 if the passage comes twice, hash) of the passages by which near texts meet.
 
-    lengths: words of each text. hashes: the word hashes of all texts, one after the other. Wider passages are picked more
-    sparsely, from windows that grow with the width.
+    lengths: words of each text. hashes: the word hashes of all texts, one after the other. counts: of a sample, by hash.
+    For a text of n words and a partner of up to n + n * 4 // 25 words the first k + 1 passages that don't overlap are enough. A longer partner has at least
+    m - n words added, each of which destroys one passage, and the other edits destroy two, so 2k - (m - n) + 1 passages are.
     """
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    width, window = SHORT, WINDOW
-    while len(lengths) and width <= lengths.max():
-        h = window_hashes(hashes, width)
-        inside = place[: len(h)] + width <= lengths[text[: len(h)]]
-        ranked = np.where(inside, h, np.uint64(2**64 - 1))
-        take = np.zeros(len(h), bool)
-        if len(h) >= window:
-            take[_least_places(ranked, window)] = True
-        # of each text the least of all, which also serves texts with fewer runs than a window
-        starts = (np.cumsum(lengths) - lengths)[: text[len(h) - 1] + 1] if len(h) else []
-        if len(starts):
-            take |= ranked == np.minimum.reduceat(ranked, starts)[text[: len(h)]]
-        at = np.flatnonzero(take & inside)
-        # 48 bits route as well as 64 and take less room; the automata compare the words themselves
-        yield width, text[at], place[at], h[at] >> np.uint64(16)
-        width, window = width * WIDER, width * WIDER
+    h, text, place, inside = _shingles(lengths, hashes)
+    at = np.flatnonzero(inside)
+    by_hash = (text[at].astype(np.uint64) << np.uint64(48)) | h[at]
+    order = np.argsort(by_hash, kind="stable")
+    new = np.r_[True, by_hash[order][1:] != by_hash[order][:-1]] if len(at) else np.empty(0, bool)
+    single = new & np.r_[new[1:], True] if len(at) else new
+    first, single = at[order[new]], single[new]
+    own = text[first]
+    rarity = np.minimum(counts[(h[first] & np.uint64(SLOTS - 1)).astype(np.int64)], (1 << 17) - 1).astype(np.uint64)
+    ranked = np.argsort((own.astype(np.uint64) << np.uint64(53)) | (rarity << np.uint64(36)) | (h[first] >> np.uint64(12)), kind="stable")
+    first, single, own = first[ranked], single[ranked], own[ranked]
+    different = np.bincount(own, minlength=len(lengths))
+    rank = np.arange(len(own)) - (np.cumsum(different) - different)[own]
+    rank_at = np.full(len(h), np.iinfo(np.int64).max)
+    rank_at[first] = rank
+    wide = lengths + np.maximum(1, lengths * 4 // 25)
+    apart = (wide - 1) // 5 + 1
+    index = np.arange(len(h))
+    lo, hi = np.minimum(apart, different), different.copy()
+    while (lo < hi).any():
+        middle = (lo + hi) // 2
+        chosen = rank_at < middle[text]
+        # in each unbroken row of neighbours every second one
+        run = index - np.maximum.accumulate(np.where(chosen, -1, index))
+        found = np.bincount(text[chosen & (run % 2 == 1)], minlength=len(lengths))
+        enough = found >= apart
+        hi, lo = np.where(enough, middle, hi), np.where(enough, lo, np.minimum(middle + 1, hi))
+    longer = np.max([2 * (m // 5) - (m - lengths) + 1 for m in (wide + i for i in range(5))], axis=0) if len(lengths) else hi
+    take = rank < np.maximum(hi, longer)[own]
+    return own[take], np.where(single, place[first], -1)[take], h[first][take]
 
 
 def deletion_variants(words: list[str], most: int) -> set[int]:
@@ -171,10 +184,6 @@ def edit_distance(a: list, b: list, most: int) -> int:
     return min(last[m], far)
 
 
-#: Flags in the lowest bits of a text's packed number.
-TRAIN, EVAL, FREE = 1, 2, 4
-
-
 def _plain_texts(texts: DataFrame, with_words: bool) -> DataFrame:
     """(row_ord, source, text_key) or (row_ord, words) of texts with enough words."""
     columns, schema = (["row_ord", "words"], "row_ord long, words string") if with_words else (["row_ord", "source", "text_key"], "row_ord long, source string, text_key binary")
@@ -198,20 +207,97 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield b.iloc[i : i + CHUNK]
 
 
-def _passages(texts: DataFrame) -> DataFrame:
-    """(key, hash) of the picked passages, in batches of CHUNK texts; key: the text's id times 8 and the flags TRAIN, EVAL, FREE (no limit of texts that hold it)."""
+def _hashed(b: pd.DataFrame, memo: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and the word hashes of all, one after the other."""
+    split = [w.split(" ") for w in b["words"]]
+    return np.array([len(w) for w in split], np.int64), word_hashes([w for words in split for w in words], memo)
+
+
+def _counted(texts: DataFrame, n: int) -> tuple[np.ndarray, float]:
+    """How many texts of a sample hold the passages, by hash, and the sample's share. n: number of texts."""
+    every = max(1, n // SAMPLE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Words()
+        memo, sums = Words(), np.zeros(SLOTS, np.uint32)
         for b in _chunks(batches):
-            split = [w.split(" ") for w in b["words"]]
-            lengths = np.array([len(w) for w in split], np.int64)
-            hashes = word_hashes([w for words in split for w in words], memo)
-            key = b["id"].to_numpy() * 8 + np.where(b["in_train"], TRAIN, 0) + np.where(b["in_eval"], EVAL, 0)
-            for width, text, _, h in picked(lengths, hashes):
-                yield pd.DataFrame({"key": key[text] + np.where(width * 5 >= lengths[text], FREE, 0), "hash": h.view(np.int64)})
+            h, text, _, inside = _shingles(*_hashed(b, memo))
+            once = np.unique((text[inside].astype(np.uint64) << np.uint64(48)) | h[inside])
+            sums += np.bincount((once & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+        yield pd.DataFrame({"sums": [zlib.compress(sums.tobytes(), 1)]})
+
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("words").coalesce(12)
+    counts = np.zeros(SLOTS, np.int64)
+    for r in sample.mapInPandas(run, "sums binary").toLocalIterator():
+        counts += np.frombuffer(zlib.decompress(r["sums"]), np.uint32)
+    return counts, 1 / every
 
-    return texts.select("id", "in_train", "in_eval", "words").mapInPandas(run, "key long, hash long")
+
+def _passages(texts: DataFrame) -> DataFrame:
+    """(hash, key, shape, p0 to p3): passages by which texts meet. key: the text's id times two, and one for the evaluation side; shape: its words, and
+    the passage's place + 1; p0 to p3: the picture of its words."""
+    counts, share = _counted(texts, texts.count())
+    shared = texts.sparkSession.sparkContext.broadcast(counts.astype(np.uint32))
+    group, common = GROUP, COMMON
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo, counts = Words(), shared.value
+        for b in _chunks(batches):
+            lengths, hashes = _hashed(b, memo)
+            text, place, h = prefixes(lengths, hashes, counts)
+            bits = np.zeros((len(b), 256), np.uint8)
+            bits[np.repeat(np.arange(len(b)), lengths), (hashes & np.uint64(255)).astype(np.int64)] = 1
+            picture = np.packbits(bits, axis=1).view(np.int64)
+            ids = b["id"].to_numpy(np.int64)
+            holders = counts[(h & np.uint64(SLOTS - 1)).astype(np.int64)] / share
+            grid = np.where(holders > common, np.ceil(holders / group), 1).astype(np.int64)
+            mine = ids[text] % grid
+            for side, name in enumerate(("in_train", "in_eval")):
+                at = np.flatnonzero(b[name].to_numpy(bool)[text])
+                at, g = np.repeat(at, grid[at]), np.repeat(grid[at], grid[at])
+                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
+                other = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))
+                row, column = (other, mine[at]) if side else (mine[at], other)
+                with np.errstate(over="ignore"):
+                    routed = np.where(g > 1, ((h[at] + (row * g + column + 1).astype(np.uint64)) * _MULTIPLIER) >> np.uint64(16), h[at])
+                t = text[at]
+                yield pd.DataFrame({"hash": routed.view(np.int64), "key": ids[t] * 2 + side, "shape": (lengths[t] << 32) + place[at] + 1, **{p: picture[t, i] for i, p in enumerate(PICTURE)}})
+
+    few = texts.select("id", "in_train", "in_eval", "words").where(F.size(F.split("words", " ")) >= FEW)
+    return few.mapInPandas(run, "hash long, key long, shape long, " + ", ".join(f"{p} long" for p in PICTURE))
+
+
+def _meet(g: pd.DataFrame) -> pd.DataFrame:
+    """(a_id, b_id) of the evaluation and training texts that meet in a passage and that nothing rules out."""
+    h, key, shape = (g[c].to_numpy(np.int64) for c in ("hash", "key", "shape"))
+    picture = g[PICTURE].to_numpy(np.int64).view(np.uint64)
+    words, place, ids = shape >> 32, (shape & 0xFFFFFFFF) - 1, key >> 1
+    most_words = (1 << 15) - 1
+    by_length = lambda at, n: (h[at] << 15) + np.minimum(n, most_words)
+    train, ours = np.flatnonzero(key & 1 == 0), np.flatnonzero(key & 1)
+    train = train[np.argsort(by_length(train, words[train]))]
+    sorted_keys = by_length(train, words[train])
+    n = words[ours]
+    lo = np.searchsorted(sorted_keys, by_length(ours, n - n // 5), "left")
+    hi = np.searchsorted(sorted_keys, by_length(ours, n * 5 // 4 + 1), "right")
+    meets = hi > lo
+    ours, lo, size = ours[meets], lo[meets], (hi - lo)[meets]
+    ends = np.cumsum(size)
+    pairs, start = [np.empty((0, 2), np.int64)], 0
+    while start < len(ours):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BLOCK, "right")))
+        s = size[start:end]
+        a = np.repeat(ours[start:end], s)
+        b = train[np.arange(len(a)) + np.repeat(lo[start:end] - (np.cumsum(s) - s), s)]
+        most = np.maximum(words[a], words[b]) // 5
+        keep = np.abs(words[a] - words[b]) <= most
+        x, y = place[a], place[b]
+        keep &= (np.abs(x - y) <= most) | (x < 0) | (y < 0)
+        a, b, most = a[keep], b[keep], most[keep]
+        keep = np.bitwise_count(picture[a] ^ picture[b]).sum(axis=1, dtype=np.int64) <= 2 * most
+        a, b = ids[a[keep]], ids[b[keep]]
+        pairs.append(np.stack([a, b], axis=1)[a != b])
+        start = end
+    return pd.DataFrame(np.concatenate(pairs), columns=["a_id", "b_id"]).drop_duplicates()
 
 
 def _short_pairs(texts: DataFrame) -> DataFrame:
@@ -240,136 +326,10 @@ def _short_pairs(texts: DataFrame) -> DataFrame:
     return a.join(b, "variant").where("a_id <> b_id").select("a_id", "b_id").distinct()
 
 
-def _picture(hashes: np.ndarray) -> bytes:
-    """256 bits: which remainders the hashes of a text's words have."""
-    bits = np.zeros(256, np.uint8)
-    bits[(hashes & np.uint64(255)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
-
-
-def _stretches(texts: DataFrame, shards: int) -> DataFrame:
-    """(shard, id, n_words, picture, passages, places): of each text (id, words, hashes) the wanted passages of each shard."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Words()
-        for b in _chunks(batches):
-            split = [w.split(" ") for w in b["words"]]
-            lengths = np.array([len(w) for w in split], np.int64)
-            hashes = word_hashes([w for words in split for w in words], memo)
-            starts = np.r_[0, np.cumsum(lengths)]
-            wanted = [set(h.tolist()) for h in b["hashes"]]
-            every = np.unique(np.concatenate([np.asarray(h, np.int64) for h in b["hashes"]])) if len(b) else np.empty(0, np.int64)
-            found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for width, text, place, h in picked(lengths, hashes):
-                h = h.view(np.int64)
-                near = np.flatnonzero(np.isin(h, every))
-                for t, p, x in zip(text[near].tolist(), place[near].tolist(), h[near].tolist()):
-                    if x in wanted[t]:
-                        found.setdefault((t, x % shards), []).append((p, p + width))
-            ids = b["id"].tolist()
-            out = [
-                (s, ids[t], len(split[t]), _picture(hashes[starts[t] : starts[t + 1]]), [" ".join(split[t][lo:hi]) for lo, hi in spans], [lo for lo, _ in spans])
-                for (t, s), spans in found.items()
-            ]
-            yield pd.DataFrame(out, columns=["shard", "id", "n_words", "picture", "passages", "places"])
-
-    schema = "shard int, id long, n_words int, picture binary, passages array<string>, places array<int>"
-    return texts.mapInPandas(run, schema)
-
-
-def _possible(owners: list, wide: dict, passage: str, pictures: dict, mine: int, n: int) -> list:
-    """Of the many evaluation texts that hold a passage, those that the pictures don't rule out for a text of n words."""
-    if passage not in wide:
-        seen = [pictures[a] for a, _ in owners]
-        wide[passage] = (
-            np.frombuffer(b"".join(p.to_bytes(32, "big") for p, _ in seen), np.uint64).reshape(-1, 4),
-            np.array([m for _, m in seen], np.int64),
-        )
-    theirs, words = wide[passage]
-    bits = np.bitwise_count(theirs ^ np.frombuffer(mine.to_bytes(32, "big"), np.uint64)).sum(axis=1)
-    most = np.maximum(words, n) // 5
-    return [owners[i] for i in np.flatnonzero((np.abs(words - n) <= most) & (bits <= 2 * most)).tolist()]
-
-
-def _scan(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-    """An automaton over the group's evaluation passages scans its training stretches.
-
-    Gives (a_id, b_id, covered): words of the evaluation text a that lie in passages found in the training text b.
-    """
-    import ahocorasick
-
-    machine = ahocorasick.Automaton()
-    held: dict[str, list[tuple[int, int]]] = {}
-    pictures: dict[int, tuple[int, int]] = {}
-    sides = g["of_eval"].to_numpy(bool)
-    columns = ["id", "n_words", "picture", "passages", "places"]
-    for k, n, picture, passages, places in g.loc[sides, columns].itertuples(index=False):
-        pictures[k] = (int.from_bytes(picture, "big"), n)
-        for passage, lo in zip(passages, places):
-            held.setdefault(f" {passage} ", []).append((k, int(lo)))
-    cover: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    if held:
-        for passage in held:
-            machine.add_word(passage, passage)
-        machine.make_automaton()
-        wide: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for k, n, picture, passages, _ in g.loc[~sides, columns].itertuples(index=False):
-            mine = int.from_bytes(picture, "big")
-            ruled_out: set[int] = {k}
-            # stretches are scanned as one line; the sign between them is in no passage
-            for _, passage in machine.iter(" " + " | ".join(passages) + " "):
-                width = passage.count(" ") - 1
-                owners = held[passage]
-                if len(owners) > 16:
-                    owners = _possible(owners, wide, passage, pictures, mine, n)
-                for a, lo in owners:
-                    if a in ruled_out:
-                        continue
-                    spans = cover.get((a, k))
-                    if spans is None:
-                        theirs, m = pictures[a]
-                        most = max(n, m) // 5
-                        if abs(n - m) > most or (mine ^ theirs).bit_count() > 2 * most:
-                            ruled_out.add(a)
-                            continue
-                        spans = cover[(a, k)] = []
-                    spans.append((lo, lo + width))
-    out = []
-    for (a, b), spans in cover.items():
-        spans.sort()
-        covered, end = 0, 0
-        for lo, hi in spans:
-            covered += max(0, hi - max(lo, end))
-            end = max(end, hi)
-        out.append((a, b, covered))
-    return pd.DataFrame(out, columns=["a_id", "b_id", "covered"])
-
-
 def _candidates(texts: DataFrame, parts: int) -> DataFrame:
-    """(a_id, b_id, covered) of an evaluation and a training text that share a passage."""
-    passages = _passages(texts)
-    flag = lambda f: (F.col("key").bitwiseAND(F.lit(f)) != 0).cast("long")
-    # how many different texts of each side hold a passage, in one number; summed before the shuffle
-    high = 1 << 32
-    held = passages.groupBy("hash").agg(F.sum(flag(TRAIN) + flag(EVAL) * high).alias("n"))
-    n_train, n_eval = F.col("n") % high, F.floor(F.col("n") / high)
-    # a text in both sides alone meets nobody by this passage
-    used = held.where((n_train > 0) & (n_eval > 0) & (n_train + n_eval > 1)).select(F.col("hash"), (n_train <= COMMON).alias("rare"))
-    hits = passages.join(used, "hash").where(F.col("rare") | (flag(FREE) == 1))
-    mine = lambda f: F.bool_or(flag(f) == 1)
-    by_text = cut(hits.groupBy(F.floor(F.col("key") / 8).cast("long").alias("id")).agg(mine(TRAIN).alias("in_train"), mine(EVAL).alias("in_eval"), F.collect_set("hash").alias("hashes")))
-    # a row per shard: how many groups its sides are cut into
-    visits = by_text.select("in_train", "in_eval", F.explode(F.array_distinct(F.transform("hashes", lambda h: F.pmod(h, F.lit(parts)).cast("int")))).alias("shard"))
-    size = lambda c: F.ceil(F.sum(F.col(c).cast("int")) / GROUP).cast("int")
-    grid = F.broadcast(cut(visits.groupBy("shard").agg(size("in_train").alias("rows"), size("in_eval").alias("columns")).where("rows > 0 AND columns > 0")))
-    own, words = F.xxhash64("id"), texts.select("id", "words")
-    side = lambda c: _stretches(words.join(by_text.where(c).select("id", "hashes"), "id"), parts).join(grid, "shard")
-    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    body = ["id", "n_words", "picture", "passages", "places"]
-    train = side("in_train").select("shard", F.pmod(own, F.col("rows")).cast("int").alias("row"), each("columns").alias("column"), *body, F.lit(False).alias("of_eval"))
-    evaluation = side("in_eval").select("shard", each("rows").alias("row"), F.pmod(own, F.col("columns")).cast("int").alias("column"), *body, F.lit(True).alias("of_eval"))
-    found = train.unionByName(evaluation).groupBy("shard", "row", "column").applyInPandas(_scan, "a_id long, b_id long, covered int")
-    return found.groupBy("a_id", "b_id").agg(F.sum("covered").alias("covered"))
+    """(a_id, b_id) of an evaluation and a training text that share a passage; a pair may come several times."""
+    cell = F.pmod("hash", F.lit(parts * 16)).alias("cell")
+    return _passages(texts).groupBy(cell).applyInPandas(_meet, "a_id long, b_id long")
 
 
 def _near(pairs: DataFrame) -> DataFrame:
@@ -422,7 +382,7 @@ def cross_split_overlaps(splits: DataFrame, texts: DataFrame) -> DataFrame:
     named = raw.repartition(parts, "row_ord").join(kinds.select(F.col("id").alias("row_ord"), "in_train", "in_eval"), "row_ord")
     words = _words(named)
     distinct = cut(words)
-    links = _candidates(distinct, parts).select("a_id", "b_id").unionByName(_short_pairs(distinct)).distinct()
+    links = _candidates(distinct, parts).unionByName(_short_pairs(distinct)).distinct()
     of = distinct.select("id", "words")
     paired = links.join(of.select(F.col("id").alias("a_id"), F.col("words").alias("a_words")), "a_id")
     paired = paired.join(of.select(F.col("id").alias("b_id"), F.col("words").alias("b_words")), "b_id")

@@ -191,6 +191,31 @@ def test_hot_family_of_near_copies_is_whole(spark, monkeypatch):
     assert overlap.cross_split_overlaps(splits, body).count() == 144
 
 
+def test_evenly_spread_edits_are_found(spark):
+    rng = random.Random(12)
+    texts, splits = [], []
+
+    def add(words, split):
+        splits.append((len(texts), split))
+        texts.append(" ".join(words))
+
+    for n in [*range(14, 40), 60, 100, 130]:
+        for change in ("change", "drop", "add"):
+            base = text(rng, n).split()
+            k = n // 5 if change != "add" else n // 4
+            add(base, "train")
+            w = list(base)
+            for i in range(k):
+                at = (2 * i + 1) * n // (2 * k)
+                w[at] = {"change": f"new{i}", "drop": "", "add": f"{w[at]} new{i}"}[change]
+            add(" ".join(w).split(), "test")
+    body = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "row_ord long, source string, text string")
+    got = {(r["train_row_ord"], r["row_ord"]) for r in overlap.cross_split_overlaps(spark.createDataFrame(splits, "row_ord long, split string"), body).collect()}
+    words = [t.split() for t in texts]
+    want = {(a, b) for a in range(0, len(texts), 2) for b in range(1, len(texts), 2) if near(words[a], words[b])}
+    assert got == want and len(want) >= len(texts) // 2
+
+
 # ---- 6
 
 
