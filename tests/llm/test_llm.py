@@ -216,6 +216,23 @@ def test_evenly_spread_edits_are_found(spark):
     assert got == want and len(want) >= len(texts) // 2
 
 
+def test_hot_family_with_edits_over_the_whole_text_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "COMMON", 3)
+    monkeypatch.setattr(overlap, "GROUP", 5)
+    rng = random.Random(5)
+    base = text(rng, 60).split()
+    texts = []
+    for i in range(24):
+        w = list(base)
+        for j in range(6):
+            w[10 * j + (3 if i % 2 else 8)] = f"own{i}x{j}"
+        texts.append(" ".join(w))
+    body = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "row_ord long, source string, text string")
+    splits = spark.createDataFrame([(i, "train" if i % 2 else "test") for i in range(24)], "row_ord long, split string")
+    got = [(r["train_row_ord"], r["row_ord"]) for r in overlap.cross_split_overlaps(splits, body).collect()]
+    assert len(got) == 144 and set(got) == {(a, b) for a in range(1, 24, 2) for b in range(0, 24, 2)}
+
+
 # ---- 6
 
 
