@@ -4,7 +4,7 @@ Every text becomes a sequence of template words: numbers, units and names turn i
 equal words give equal templates wherever they stand. Windows of WIDTH template words of the items are a table of fixed size
 (the evaluation set); corpus windows meet them by hash. Where they meet the words decide: all WIDTH plain words equal is an exact leak, and equal
 up to placeholders is a re-parameterised one if the slots are consistent: the same word of the item always faces
-the same word of the document, and the other way round, over the whole matched stretch.
+the same word of the document, and the other way round; of a matched stretch the longest part counts where they are.
 
 Names are words that never occur in lower case inside an item; the item vocabulary is closed, so a corpus word outside it can only be
 somebody else's name, and is one.
@@ -26,8 +26,6 @@ from loupe.llm.overlap import Words, window_hashes, word_hashes
 from loupe.llm.text import plain
 
 WIDTH = 12
-#: Consecutive template words of a re-parameterised leak; longer than WIDTH, as the placeholders say less than words.
-TEMPLATE = 16
 #: The evaluation set travels with the tasks; above so many characters it has to be given in parts.
 MOST_ITEM_CHARS = 64_000_000
 #: Words for units of time, money, length, weight and counting.
@@ -95,17 +93,29 @@ def read_items(rows: list[tuple[int, str | None]]) -> Items:
     return out
 
 
-def _consistent(a: list[str], b: list[str], ta: list[str]) -> bool:
-    """Every slot filler of one side faces one filler of the other, and no more than a quarter of the words are slots."""
-    if 4 * sum(t in (NUM, UNIT, NAME) for t in ta) > len(ta):
-        return False
+def _longest_consistent(a: list[str], b: list[str], ta: list[str]) -> int:
+    """Words of the longest part, of WIDTH or more, in which every slot filler of one side faces one filler of the other and no more than a quarter of the words are slots; 0 if there is none."""
+    slots = [t in (NUM, UNIT, NAME) for t in ta]
+    # a part has few enough slots where this does not fall from its start to its end
+    level = np.arange(len(ta) + 1) - 4 * np.r_[0, np.cumsum(slots, dtype=np.int64)]
     there: dict[str, str] = {}
     back: dict[str, str] = {}
-    for x, y, t in zip(a, b, ta):
-        if t in (NUM, UNIT, NAME):
-            if there.setdefault(x, y) != y or back.setdefault(y, x) != x:
-                return False
-    return True
+    held = Counter()
+    best, hi = WIDTH - 1, 0
+    for lo in range(len(ta)):
+        while hi < len(ta) and (not slots[hi] or (there.get(a[hi], b[hi]) == b[hi] and back.get(b[hi], a[hi]) == a[hi])):
+            if slots[hi]:
+                there[a[hi]], back[b[hi]] = b[hi], a[hi]
+                held[a[hi]] += 1
+            hi += 1
+        good = np.flatnonzero(level[lo + best + 1 : hi + 1] >= level[lo])
+        if len(good):
+            best += int(good[-1]) + 1
+        if slots[lo]:
+            held[a[lo]] -= 1
+            if not held[a[lo]]:
+                del there[a[lo]], back[b[lo]]
+    return best if best >= WIDTH else 0
 
 
 def _stretches(words: list[str], template: list[str], items: Items, hits: np.ndarray, hashes: np.ndarray) -> dict[tuple[int, int], list[int]]:
@@ -130,8 +140,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, kind, words, item_share): items that leaked into a document, a row per document, item and kind.
 
     docs: doc_id, text. items: item_id, item_text; a set of fixed size that is read by the driver (MOST_ITEM_CHARS at most).
-    kind exact: at least WIDTH consecutive plain words are equal. kind template: at least TEMPLATE template words are, at least one slot differs,
-    slots are consistent, and there is no exact leak of this item in the document. words: length of the longest stretch;
+    kind exact: at least WIDTH consecutive plain words are equal. kind template: at least WIDTH template words are, at least one slot differs,
+    slots are consistent and at most a quarter of the words, and there is no exact leak of this item in the document. words: length of the longest stretch;
     item_share: its share of the item. Null, empty and short texts leak nothing; a doc_id that comes twice is reported once;
     empty tables give no rows.
     """
@@ -173,8 +183,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                         equal = _longest_equal(mine, theirs)
                         if equal >= WIDTH:
                             best[(item, "exact")] = max(best.get((item, "exact"), 0), equal)
-                        elif hi - lo >= TEMPLATE and _consistent(theirs, mine, template[lo:hi]):
-                            best[(item, "template")] = max(best.get((item, "template"), 0), hi - lo)
+                        elif n := _longest_consistent(theirs, mine, template[lo:hi]):
+                            best[(item, "template")] = max(best.get((item, "template"), 0), n)
                         start = end + 1
                 for (item, kind), n in best.items():
                     if kind == "exact" or (item, "exact") not in best:

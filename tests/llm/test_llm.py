@@ -307,6 +307,32 @@ def test_leaks(spark):
     assert leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items.where("false")).count() == 0
 
 
+def test_short_and_partly_consistent_leaks(spark):
+    short = "Sadly the old Brutal lift stopped near our floor for 12 minutes again"
+    long = "Later on the friendly porter called Marin carried every bag upstairs while we waited and then Marin left"
+    items = spark.createDataFrame([(1, short), (2, long)], "item_id long, item_text string")
+    docs = [(1, "zz " + short.replace("Brutal", "Soren").replace("12", "45")), (2, long.replace("Marin", "Tolden", 1).replace("Marin", "Kessel"))]
+    got = {(r["doc_id"], r["item_id"]): (r["kind"], r["words"]) for r in leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    # the second Marin faces another name: what is before it counts
+    assert got == {(1, 1): ("template", 13), (2, 2): ("template", 16)}
+
+
+def test_longest_consistent_part_matches_brute_force():
+    rng = random.Random(6)
+    slots = (leaks.NUM, leaks.UNIT, leaks.NAME)
+
+    def fits(a, b, t):
+        pairs = {(x, y) for x, y, z in zip(a, b, t) if z in slots}
+        return len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}) and 4 * sum(z in slots for z in t) <= len(t)
+
+    for _ in range(300):
+        n = rng.randint(12, 40)
+        t = [leaks.NAME if rng.random() < 0.2 else "w" for _ in range(n)]
+        a, b = ([f"{s}{rng.randint(0, 3)}" for _ in range(n)] for s in "ab")
+        want = max((j - i for i in range(n) for j in range(i + leaks.WIDTH, n + 1) if fits(a[i:j], b[i:j], t[i:j])), default=0)
+        assert leaks._longest_consistent(a, b, t) == want
+
+
 # ---- 10
 
 
