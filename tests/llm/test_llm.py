@@ -269,6 +269,17 @@ def test_garbled_words_are_restored(spark):
     assert encoding.find_garbled(x.where("false")).count() == 0
 
 
+def test_many_damaged_places_are_all_restored(spark):
+    rng = random.Random(8)
+    words = "лифт шумит ночью возле рынка номер чистый завтрак вкусный персонал вежливый очень хорошо было тихо окна выходят парк рядом станция".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(300)]
+    good = [rng.choice(words) for _ in range(600)]
+    bad = [encoding.garble(w, "utf-8 as windows-1252") if i % 60 == 30 else w for i, w in enumerate(good)]
+    x = spark.createDataFrame([*rows, (1000, " ".join(bad))], "row_ord long, text string")
+    got = {r["row_ord"]: (r["restored"], r["lost"]) for r in encoding.find_garbled(x).collect()}
+    assert got == {1000: (" ".join(good), False)}
+
+
 # ---- 8
 
 
