@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_TABLES: list = []
+
+
+def _remove_tables() -> None:
+    for path, conf in _TABLES:
+        try:
+            path.getFileSystem(conf).delete(path, True)
+        except Exception:  # noqa: BLE001, the JVM may be gone at the end of the process
+            return
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table written into the checkpoint folder: compressed, and read by columns. It goes at the end of the process."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    if not _TABLES:
+        atexit.register(_remove_tables)
+    _TABLES.append((spark._jvm.org.apache.hadoop.fs.Path(folder), spark._jsc.hadoopConfiguration()))
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     share_package(spark)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
