@@ -1,50 +1,50 @@
 """Problem 5: the same or nearly the same text in train and in another split.
 
 Two texts count as near if at most one plain word in five of the longer one is changed, added or dropped (edit distance over
-words). Exact copies are collapsed first, so a group of copies costs one comparison and is expanded only in the result.
-
-Candidates come from passages, runs of SHORT plain words, by a prefix filter. All passages have one order, rarest first by the counts
-of a sample. k edits leave some passage of both texts in place; those that come before the first such passage are all destroyed, and k
-edits destroy no more than k that don't overlap. So of each text the passages count that come first in the order, up to k + 1 that don't overlap, and
-two near texts share one of these, however the edits are spread and however many texts hold it. The order decides only how many pairs
-have to be looked at. Texts of fewer than FEW words meet by deletion variants instead, which is exact as well.
-
-Pairs that meet in a passage are dropped where their lengths, the places of the passage or the sets of their words rule them out
-(each edit changes at most two bits of a 256-bit picture of a text's words); the others are settled by a banded edit distance.
-
-A passage in many texts is divided into a grid: its texts are cut into groups of bounded size, and every group of
-training texts meets every group of evaluation texts.
+words). Exact copies are collapsed first, so a group of copies is scanned once and expanded only in the result.
+
+The passages of the evaluation texts are the patterns of Aho-Corasick automata. An evaluation text of n words has at most n // 4 edits
+to any near text, however long that is, and an edit touches one passage of several that don't overlap. So each text is
+divided into n // 4 + 1 passages of 2 to 6 words. With k edits at least n // 4 + 1 - k passages are left whole, wherever the edits
+are, and these are found in the other text: the scan loses no pair, however common a passage is. Counts of a sample of training texts only decide
+where the passages' borders lie, so that they are rare.
+
+Evaluation texts, in the order of their length, are shared out to shards of bounded size. The automaton of a shard scans every training text that isn't too
+short or too long for the shard. Matched intervals of one evaluation text in one training text are merged into
+its coverage; pairs that are covered in enough passages, at places that few enough edits can explain, are settled by a
+banded edit distance on the spot, as the shard holds the evaluation texts too. The passages matched in any training text
+give the coverage of each evaluation record.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loupe.llm.text import MIN_WORDS, plain
-from loupe.session import cut
-
-#: Words of a passage; with two, passages overlap just where they are neighbours.
-SHORT = 2
-FEW = 14
-#: A passage in at most so many texts is never divided.
-COMMON = 2_000
-#: Most texts of a side in one field of a passage's grid, as the sample has it.
-GROUP = 20_000
-#: Texts that are worked on at once.
-CHUNK = 2_000
-#: Texts whose passages are counted for the order, about, and the counters they share.
-SAMPLE, SLOTS = 50_000, 1 << 20
-#: Meetings that are looked at together.
-BLOCK = 1 << 20
-#: Columns of a picture of 256 bits.
-PICTURE = ["p0", "p1", "p2", "p3"]
+from loupe.session import stored
+
+#: Least and most words of a passage.
+NARROW, WIDE = 2, 6
+#: How far the end of a passage may be from where equal passages would end.
+SWAY = 3
+#: Words of the evaluation texts of one shard, about; a text is never divided.
+SHARD_WORDS = 2_000_000
+#: Shards whose automata are sent out together.
+ROUND = 4
+#: Training texts that are worked on at once.
+CHUNK = 500
+#: Training texts whose passages are counted to place borders, about, and the counters they share.
+SAMPLE, SLOTS = 20_000, 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,64 +91,77 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _shingles(lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all runs of SHORT words of many texts, the number of the text, the place in it, and whether the run ends inside its text."""
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    h = window_hashes(hashes, SHORT) >> np.uint64(16)
-    text, place = text[: len(h)], place[: len(h)]
-    return h, text, place, place + SHORT <= lengths[text]
+def _slots(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The counter of each run of `width` words."""
+    return (window_hashes(hashes, width) & np.uint64(SLOTS - 1)).astype(np.int64)
+
 
+def most_edits(n: np.ndarray) -> np.ndarray:
+    """Most edits between a text of n words and a near text of any length: its partner has up to 5 * (n // 4) + n % 4 words."""
+    return n // 4
 
-def prefixes(lengths: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the text, place or -1 if the passage comes twice, hash) of the passages by which near texts meet.
 
-    lengths: words of each text. hashes: the word hashes of all texts, one after the other. counts: of a sample, by hash.
-    For a text of n words and a partner of up to n + n * 4 // 25 words the first k + 1 passages that don't overlap are enough. A longer partner has at least
-    m - n words added, each of which destroys one passage, and the other edits destroy two, so 2k - (m - n) + 1 passages are.
+def borders(lengths: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the passages, text by text: of each most_edits() + 1 that don't overlap, with the least sum of counts.
+
+    lengths: words of each text. hashes: the word hashes of all texts, one after the other. counts: by width and counter. The end of
+    passage j stays within SWAY words of j equal parts of the text, so the work is linear.
     """
-    h, text, place, inside = _shingles(lengths, hashes)
-    at = np.flatnonzero(inside)
-    by_hash = (text[at].astype(np.uint64) << np.uint64(48)) | h[at]
-    order = np.argsort(by_hash, kind="stable")
-    new = np.r_[True, by_hash[order][1:] != by_hash[order][:-1]] if len(at) else np.empty(0, bool)
-    single = new & np.r_[new[1:], True] if len(at) else new
-    first, single = at[order[new]], single[new]
-    own = text[first]
-    rarity = np.minimum(counts[(h[first] & np.uint64(SLOTS - 1)).astype(np.int64)], (1 << 17) - 1).astype(np.uint64)
-    ranked = np.argsort((own.astype(np.uint64) << np.uint64(53)) | (rarity << np.uint64(36)) | (h[first] >> np.uint64(12)), kind="stable")
-    first, single, own = first[ranked], single[ranked], own[ranked]
-    different = np.bincount(own, minlength=len(lengths))
-    rank = np.arange(len(own)) - (np.cumsum(different) - different)[own]
-    rank_at = np.full(len(h), np.iinfo(np.int64).max)
-    rank_at[first] = rank
-    wide = lengths + np.maximum(1, lengths * 4 // 25)
-    apart = (wide - 1) // 5 + 1
-    index = np.arange(len(h))
-    lo, hi = np.minimum(apart, different), different.copy()
-    while (lo < hi).any():
-        middle = (lo + hi) // 2
-        chosen = rank_at < middle[text]
-        # in each unbroken row of neighbours every second one
-        run = index - np.maximum.accumulate(np.where(chosen, -1, index))
-        found = np.bincount(text[chosen & (run % 2 == 1)], minlength=len(lengths))
-        enough = found >= apart
-        hi, lo = np.where(enough, middle, hi), np.where(enough, lo, np.minimum(middle + 1, hi))
-    longer = np.max([2 * (m // 5) - (m - lengths) + 1 for m in (wide + i for i in range(5))], axis=0) if len(lengths) else hi
-    take = rank < np.maximum(hi, longer)[own]
-    return own[take], np.where(single, place[first], -1)[take], h[first][take]
-
-
-def deletion_variants(words: list[str], most: int) -> set[int]:
-    """64-bit hashes of the texts that come from dropping up to `most` words."""
-    from xxhash import xxh3_64_intdigest
-
-    out = set()
-    for k in range(min(most, len(words) - 1) + 1):
-        for gone in combinations(range(len(words)), k):
-            drop = set(gone)
-            out.add(xxh3_64_intdigest("\x00" + " ".join(w for i, w in enumerate(words) if i not in drop)) - 2**63)
-    return out
+    total = len(hashes)
+    far = np.float32(1e18)
+    cost = np.full((WIDE + 1, total + WIDE + 1), far, np.float32)
+    for w in range(NARROW, WIDE + 1):
+        at = _slots(hashes, w)
+        # one is added, so that fewer common words are better than none at all being known
+        cost[w, : len(at)] = counts[w][at].astype(np.float32) + 1.0 / w
+    base = np.cumsum(lengths) - lengths
+    pieces = most_edits(lengths) + 1
+    order = np.argsort(-pieces, kind="stable")
+    n, p, b = lengths[order], pieces[order], base[order]
+    sway = np.arange(-SWAY, SWAY + 1)
+    rows = len(order)
+    # best[t, s]: least cost with passages so far whose last ends no later than the s-th place of its range
+    best = np.zeros((rows, len(sway)), np.float32)
+    ends_before = np.zeros((rows, len(sway)), np.int64)
+    chosen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for j in range(1, int(p[0]) + 1 if rows else 1):
+        live = int(np.searchsorted(-p, -j, side="right"))
+        middle = (j * n[:live]) // p[:live]
+        end = np.minimum(middle[:, None] + sway, n[:live, None])
+        value = np.full((live, len(sway)), far, np.float32)
+        start_of = np.zeros((live, len(sway)), np.int64)
+        from_of = np.zeros((live, len(sway)), np.int64)
+        first = ends_before[:live, 0]
+        for w in range(NARROW, WIDE + 1):
+            start = end - w
+            # the place in the range of the passage before: it ends no later than this one starts
+            slot = start - first[:, None] if j > 1 else np.where(start >= 0, len(sway) - 1, -1)
+            known = (slot >= 0) & (start >= 0)
+            slot = np.clip(slot, 0, len(sway) - 1)
+            v = np.where(known, np.take_along_axis(best[:live], slot, 1) + cost[w][np.maximum(0, b[:live, None] + start)], far)
+            better = v < value
+            value = np.where(better, v, value)
+            start_of = np.where(better, start, start_of)
+            from_of = np.where(better, slot, from_of)
+        # ends no later: carry the best from left to right
+        carried = np.zeros((live, len(sway)), np.int64)
+        for s in range(1, len(sway)):
+            worse = value[:, s] > value[:, s - 1]
+            carried[:, s] = np.where(worse, carried[:, s - 1], s)
+            value[:, s] = np.where(worse, value[:, s - 1], value[:, s])
+        best[:live], ends_before[:live] = value, middle[:, None] - SWAY
+        chosen.append((start_of, end, from_of * 16 + carried))
+    flat = np.cumsum(pieces) - pieces
+    where = flat[order]
+    starts, ends = np.empty(int(pieces.sum()), np.int64), np.empty(int(pieces.sum()), np.int64)
+    slot = np.full(rows, len(sway) - 1)
+    for j in range(len(chosen), 0, -1):
+        start_of, end, link = chosen[j - 1]
+        at = np.arange(len(end))
+        s = link[at, slot[: len(end)]] % 16
+        starts[where[: len(end)] + j - 1], ends[where[: len(end)] + j - 1] = start_of[at, s], end[at, s]
+        slot[: len(end)] = link[at, s] // 16
+    return starts, ends
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -184,224 +197,353 @@ def edit_distance(a: list, b: list, most: int) -> int:
     return min(last[m], far)
 
 
-def _plain_texts(texts: DataFrame, with_words: bool) -> DataFrame:
-    """(row_ord, source, text_key) or (row_ord, words) of texts with enough words."""
-    columns, schema = (["row_ord", "words"], "row_ord long, words string") if with_words else (["row_ord", "source", "text_key"], "row_ord long, source string, text_key binary")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh3_128_digest
+def settle(a: list[str], b: list[str], most: int) -> int:
+    """edit_distance(), but texts whose words alone differ too much are not compared in order."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    count: dict[str, int] = {}
+    for w in a:
+        count[w] = count.get(w, 0) + 1
+    common = 0
+    for w in b:
+        n = count.get(w, 0)
+        if n:
+            count[w] = n - 1
+            common += 1
+    return most + 1 if max(len(a), len(b)) - common > most else edit_distance(a, b, most)
 
-        for b in batches:
-            b["words"] = [plain(t) for t in b["text"]]
-            b = b[b["words"].str.count(" ") >= MIN_WORDS - 1].copy()
-            if not with_words:
-                b["text_key"] = [xxh3_128_digest(w.encode()) for w in b["words"]]
-            yield b[columns]
 
-    return texts.mapInPandas(run, schema)
+def _bit(word: str) -> int:
+    return zlib.crc32(word.encode()) & 255
+
+
+class Codes(dict):
+    """Codes of words: three symbols, each place with symbols of its own, so matches lie on word borders and no node branches widely."""
+
+    UNKNOWN = chr(0x100) * 3
+
+    def __missing__(self, word: str) -> str:
+        i = len(self)
+        code = self[word] = chr(0x400 + i % 256) + chr(0x500 + i // 256 % 256) + chr(0x600 + i // 65536)
+        return code
+
+
+class Shard:
+    """Some evaluation texts and the automaton of their passages."""
+
+    #: Meetings of a passage with its evaluation texts that are looked at together.
+    BLOCK = 1 << 20
+
+    def __init__(self, ids: np.ndarray, texts: list[str], starts: np.ndarray, ends: np.ndarray):
+        """starts, ends: of the passages of all texts, one text after the other, as borders() gives them."""
+        self.ids, self.texts = ids, texts
+        self.codes = Codes()
+        self.n = np.zeros(len(texts), np.int64)
+        bits: dict[str, int] = {}
+        picture = np.zeros((len(texts), 256), np.uint8)
+        #: passages by their codes
+        self.numbers: dict[str, int] = {}
+        of: list[int] = []
+        code, a, e, at = self.codes.__getitem__, starts.tolist(), ends.tolist(), 0
+        for r, t in enumerate(texts):
+            words = t.split(" ")
+            coded = list(map(code, words))
+            k = len(words)
+            self.n[r] = k
+            for w in words:
+                if w not in bits:
+                    bits[w] = _bit(w)
+            picture[r, [bits[w] for w in words]] = 1
+            for i in range(at, at + k // 4 + 1):
+                of.append(self.numbers.setdefault("".join(coded[a[i] : e[i]]), len(self.numbers)))
+            at += k // 4 + 1
+        self.bits = bits
+        self.picture = np.packbits(picture, axis=1).view(np.uint64)
+        self.pieces = most_edits(self.n) + 1
+        self.owner = np.repeat(np.arange(len(texts)), self.pieces)
+        self.width = ends - starts
+        #: the passage that each piece is, and the pieces of each passage
+        self.passage = np.array(of, np.int64)
+        self.by_passage = np.argsort(self.passage, kind="stable")
+        self.holders = np.bincount(self.passage, minlength=len(self.numbers))
+        self.first = np.cumsum(self.holders) - self.holders
+        self.place = starts[self.by_passage]
+        #: passages that some training text has had
+        self.seen = np.zeros(len(self.holders), bool)
+
+    def build(self) -> Shard:
+        from ahocorasick import STORE_INTS, Automaton
+
+        self.automaton = Automaton(STORE_INTS)
+        for passage, i in self.numbers.items():
+            self.automaton.add_word(passage, i)
+        self.automaton.make_automaton()
+        self.passage_width = np.array([len(p) // 3 for p in self.numbers], np.int64)
+        self.numbers = {}
+        return self
+
+    def scan(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(number of the text, number of the evaluation text, edits, words of the longer one, covered words) of near texts."""
+        hits: list[tuple[int, int]] = []
+        size, length = [], np.zeros(len(texts), np.int64)
+        picture = np.zeros((len(texts), 256), np.uint8)
+        code, unknown, search, bits = self.codes.get, Codes.UNKNOWN, self.automaton.iter, self.bits
+        for i, t in enumerate(texts):
+            words = t.split(" ")
+            length[i] = len(words)
+            found = list(search("".join([code(w, unknown) for w in words])))
+            hits += found
+            size.append(len(found))
+            picture[i, [bits[w] if w in bits else _bit(w) for w in words]] = 1
+        if not hits:
+            return
+        end, passage = np.array(hits, np.int64).T
+        self.seen[passage] = True
+        picture = np.packbits(picture, axis=1).view(np.uint64)
+        text = np.repeat(np.arange(len(texts)), size)
+        at = (end + 1) // 3 - self.passage_width[passage]
+        meets = self.holders[passage]
+        upto = np.cumsum(meets)
+        total = len(self.owner)
+        keys, start = [], 0
+        while start < len(passage):
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + self.BLOCK, "right")))
+            m = meets[start:stop]
+            hit = np.repeat(np.arange(start, stop), m)
+            slot = np.arange(len(hit)) + np.repeat(self.first[passage[start:stop]] - (np.cumsum(m) - m), m)
+            piece = self.by_passage[slot]
+            n, other = self.n[self.owner[piece]], length[text[hit]]
+            most = np.maximum(n, other) // 5
+            # what is left whole has moved by no more than the edits before it
+            keep = (np.abs(n - other) <= most) & (np.abs(self.place[slot] - at[hit]) <= most)
+            keys.append(text[hit[keep]] * total + piece[keep])
+            start = stop
+        # intervals of one evaluation text in one training text, merged
+        key = np.unique(np.concatenate(keys))
+        if not len(key):
+            return
+        t, piece = key // total, key % total
+        r = self.owner[piece]
+        first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (r[1:] != r[:-1])])
+        whole = np.diff(np.r_[first, len(key)])
+        covered = np.add.reduceat(self.width[piece], first)
+        t, r = t[first], r[first]
+        most = np.maximum(self.n[r], length[t]) // 5
+        enough = np.flatnonzero(whole >= self.pieces[r] - most)
+        # each edit changes at most two bits of the picture of a text's words
+        differ = np.bitwise_count(self.picture[r[enough]] ^ picture[t[enough]]).sum(axis=1, dtype=np.int64)
+        for i in enough[differ <= 2 * most[enough]].tolist():
+            a, b = self.texts[r[i]].split(" "), texts[t[i]].split(" ")
+            edits = settle(a, b, int(most[i]))
+            if edits <= most[i]:
+                yield int(t[i]), int(r[i]), edits, max(len(a), len(b)), int(covered[i])
+
+
+#: The shard that this worker used last, by its name.
+_BUILT: dict[str, Shard] = {}
+
+
+def _pack(rows: pd.DataFrame) -> bytes:
+    """Evaluation texts (id, words, starts, ends) in the order of their ids."""
+    rows = rows.sort_values("id")
+    flat = lambda c: np.concatenate([np.frombuffer(x, np.int32) for x in rows[c]])
+    return zlib.compress(pickle.dumps((rows["id"].to_numpy(np.int64), rows["words"].tolist(), flat("starts"), flat("ends"))), 1)
+
+
+def _unpack(packed: bytes) -> Shard:
+    ids, texts, starts, ends = pickle.loads(zlib.decompress(packed))
+    return Shard(ids, texts, starts.astype(np.int64), ends.astype(np.int64))
+
+
+def _scanner(number: int, shared: Broadcast):
+    """mapInPandas over training texts (id, words): near texts, and at the end of the partition the passages that were seen."""
+    name = uuid.uuid4().hex
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard: Shard | None = None
+        for b in batches:
+            if shard is None:
+                shard = _BUILT.get(name)
+                if shard is None:
+                    _BUILT.clear()
+                    shard = _BUILT[name] = _unpack(shared.value).build()
+                shard.seen[:] = False
+            for i in range(0, len(b), CHUNK):
+                ids = b["id"].to_numpy(np.int64)[i : i + CHUNK]
+                found = [(int(shard.ids[r]), int(ids[t]), edits, longer, covered) for t, r, edits, longer, covered in shard.scan(b["words"].tolist()[i : i + CHUNK])]
+                yield pd.DataFrame(found, columns=["a_id", "b_id", "edits", "longer", "covered"]).assign(shard=number, seen=None)
+        if shard is not None:
+            yield pd.DataFrame({"a_id": [None], "b_id": [None], "edits": [None], "longer": [None], "covered": [None], "shard": [number], "seen": [zlib.compress(np.packbits(shard.seen).tobytes(), 1)]})
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for i in range(0, len(b), CHUNK):
-            yield b.iloc[i : i + CHUNK]
+    return run
 
 
-def _hashed(b: pd.DataFrame, memo: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each text, and the word hashes of all, one after the other."""
-    split = [w.split(" ") for w in b["words"]]
-    return np.array([len(w) for w in split], np.int64), word_hashes([w for words in split for w in words], memo)
+_FOUND = "a_id long, b_id long, edits int, longer int, covered int, shard int, seen binary"
 
 
-def _counted(texts: DataFrame, n: int) -> tuple[np.ndarray, float]:
-    """How many texts of a sample hold the passages, by hash, and the sample's share. n: number of texts."""
+def _counts(texts: DataFrame, n: int) -> np.ndarray:
+    """How many texts of a sample hold the passages, by width and counter. n: number of texts."""
     every = max(1, n // SAMPLE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, sums = Words(), np.zeros(SLOTS, np.uint32)
-        for b in _chunks(batches):
-            h, text, _, inside = _shingles(*_hashed(b, memo))
-            once = np.unique((text[inside].astype(np.uint64) << np.uint64(48)) | h[inside])
-            sums += np.bincount((once & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+        memo, sums = Words(), np.zeros((WIDE + 1, SLOTS), np.uint32)
+        for b in batches:
+            for i in range(0, len(b), CHUNK):
+                lengths, hashes = _hashed(b["words"].iloc[i : i + CHUNK], memo)
+                left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(hashes))
+                for w in range(NARROW, WIDE + 1):
+                    at = _slots(hashes, w)
+                    sums[w] += np.bincount(at[left[: len(at)] >= w], minlength=SLOTS).astype(np.uint32)
         yield pd.DataFrame({"sums": [zlib.compress(sums.tobytes(), 1)]})
 
-    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("words").coalesce(12)
-    counts = np.zeros(SLOTS, np.int64)
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("words").coalesce(6)
+    counts = np.zeros((WIDE + 1, SLOTS), np.uint32)
     for r in sample.mapInPandas(run, "sums binary").toLocalIterator():
-        counts += np.frombuffer(zlib.decompress(r["sums"]), np.uint32)
-    return counts, 1 / every
+        counts += np.frombuffer(zlib.decompress(r["sums"]), np.uint32).reshape(counts.shape)
+    return counts
 
 
-def _passages(texts: DataFrame) -> DataFrame:
-    """(hash, key, shape, p0 to p3): passages by which texts meet. key: the text's id times two, and one for the evaluation side; shape: its words, and
-    the passage's place + 1; p0 to p3: the picture of its words."""
-    counts, share = _counted(texts, texts.count())
-    shared = texts.sparkSession.sparkContext.broadcast(counts.astype(np.uint32))
-    group, common = GROUP, COMMON
+def _hashed(words: pd.Series, memo: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and the word hashes of all, one after the other."""
+    split = [w.split(" ") for w in words]
+    return np.array([len(w) for w in split], np.int64), word_hashes([w for words in split for w in words], memo)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, counts = Words(), shared.value
-        for b in _chunks(batches):
-            lengths, hashes = _hashed(b, memo)
-            text, place, h = prefixes(lengths, hashes, counts)
-            bits = np.zeros((len(b), 256), np.uint8)
-            bits[np.repeat(np.arange(len(b)), lengths), (hashes & np.uint64(255)).astype(np.int64)] = 1
-            picture = np.packbits(bits, axis=1).view(np.int64)
-            ids = b["id"].to_numpy(np.int64)
-            holders = counts[(h & np.uint64(SLOTS - 1)).astype(np.int64)] / share
-            grid = np.where(holders > common, np.ceil(holders / group), 1).astype(np.int64)
-            mine = ids[text] % grid
-            for side, name in enumerate(("in_train", "in_eval")):
-                at = np.flatnonzero(b[name].to_numpy(bool)[text])
-                at, g = np.repeat(at, grid[at]), np.repeat(grid[at], grid[at])
-                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
-                other = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))
-                row, column = (other, mine[at]) if side else (mine[at], other)
-                with np.errstate(over="ignore"):
-                    routed = np.where(g > 1, ((h[at] + (row * g + column + 1).astype(np.uint64)) * _MULTIPLIER) >> np.uint64(16), h[at])
-                t = text[at]
-                yield pd.DataFrame({"hash": routed.view(np.int64), "key": ids[t] * 2 + side, "shape": (lengths[t] << 32) + place[at] + 1, **{p: picture[t, i] for i, p in enumerate(PICTURE)}})
-
-    few = texts.select("id", "in_train", "in_eval", "words").where(F.size(F.split("words", " ")) >= FEW)
-    return few.mapInPandas(run, "hash long, key long, shape long, " + ", ".join(f"{p} long" for p in PICTURE))
-
-
-def _meet(g: pd.DataFrame) -> pd.DataFrame:
-    """(a_id, b_id) of the evaluation and training texts that meet in a passage and that nothing rules out."""
-    h, key, shape = (g[c].to_numpy(np.int64) for c in ("hash", "key", "shape"))
-    picture = g[PICTURE].to_numpy(np.int64).view(np.uint64)
-    words, place, ids = shape >> 32, (shape & 0xFFFFFFFF) - 1, key >> 1
-    most_words = (1 << 15) - 1
-    by_length = lambda at, n: (h[at] << 15) + np.minimum(n, most_words)
-    train, ours = np.flatnonzero(key & 1 == 0), np.flatnonzero(key & 1)
-    train = train[np.argsort(by_length(train, words[train]))]
-    sorted_keys = by_length(train, words[train])
-    n = words[ours]
-    lo = np.searchsorted(sorted_keys, by_length(ours, n - n // 5), "left")
-    hi = np.searchsorted(sorted_keys, by_length(ours, n * 5 // 4 + 1), "right")
-    meets = hi > lo
-    ours, lo, size = ours[meets], lo[meets], (hi - lo)[meets]
-    ends = np.cumsum(size)
-    pairs, start = [np.empty((0, 2), np.int64)], 0
-    while start < len(ours):
-        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BLOCK, "right")))
-        s = size[start:end]
-        a = np.repeat(ours[start:end], s)
-        b = train[np.arange(len(a)) + np.repeat(lo[start:end] - (np.cumsum(s) - s), s)]
-        most = np.maximum(words[a], words[b]) // 5
-        keep = np.abs(words[a] - words[b]) <= most
-        x, y = place[a], place[b]
-        keep &= (np.abs(x - y) <= most) | (x < 0) | (y < 0)
-        a, b, most = a[keep], b[keep], most[keep]
-        keep = np.bitwise_count(picture[a] ^ picture[b]).sum(axis=1, dtype=np.int64) <= 2 * most
-        a, b = ids[a[keep]], ids[b[keep]]
-        pairs.append(np.stack([a, b], axis=1)[a != b])
-        start = end
-    return pd.DataFrame(np.concatenate(pairs), columns=["a_id", "b_id"]).drop_duplicates()
-
-
-def _short_pairs(texts: DataFrame) -> DataFrame:
-    """Candidates (a_id, b_id) with a text of fewer than FEW words on either side, by equal deletion variants.
-
-    Texts within k edits of each other share a variant with at most k words dropped from either.
-    """
-    longest = (FEW - 1) * 5 // 4
+
+def _divided(evaluation: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(id, n, words, starts, ends) of evaluation texts (id, n, words)."""
+    shared = evaluation.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = Words()
         for b in batches:
-            ids, train, evaluation, variants = [], [], [], []
-            for i, t, e, words in zip(b["id"], b["in_train"], b["in_eval"], b["words"]):
-                words = words.split(" ")
-                v = deletion_variants(words, min(len(words) * 5 // 4, longest) // 5)
-                ids += [i] * len(v)
-                train += [t] * len(v)
-                evaluation += [e] * len(v)
-                variants += v
-            yield pd.DataFrame({"id": ids, "in_train": train, "in_eval": evaluation, "variant": variants})
-
-    few = texts.where(F.size(F.split("words", " ")) <= longest)
-    found = few.select("id", "in_train", "in_eval", "words").mapInPandas(run, "id long, in_train boolean, in_eval boolean, variant long")
-    a = found.where("in_eval").select("variant", F.col("id").alias("a_id"))
-    b = found.where("in_train").select("variant", F.col("id").alias("b_id"))
-    return a.join(b, "variant").where("a_id <> b_id").select("a_id", "b_id").distinct()
-
-
-def _candidates(texts: DataFrame, parts: int) -> DataFrame:
-    """(a_id, b_id) of an evaluation and a training text that share a passage; a pair may come several times."""
-    cell = F.pmod("hash", F.lit(parts * 16)).alias("cell")
-    return _passages(texts).groupBy(cell).applyInPandas(_meet, "a_id long, b_id long")
-
-
-def _near(pairs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            edits, longer = [], []
-            for x, y in zip(b["a_words"], b["b_words"]):
-                x, y = x.split(" "), y.split(" ")
-                longer.append(max(len(x), len(y)))
-                edits.append(_settle(x, y, longer[-1] // 5))
-            b["edits"], b["longer"] = edits, longer
-            b = b[b["edits"] <= b["longer"] // 5]
-            yield b[["a_id", "b_id", "edits", "longer"]]
+            for i in range(0, len(b), CHUNK):
+                part = b.iloc[i : i + CHUNK]
+                lengths, hashes = _hashed(part["words"], memo)
+                starts, ends = borders(lengths, hashes, shared.value)
+                parts = np.cumsum(most_edits(lengths) + 1)[:-1]
+                cut_up = lambda x: [y.astype(np.int32).tobytes() for y in np.split(x, parts)]
+                yield part.assign(starts=cut_up(starts), ends=cut_up(ends))
 
-    return pairs.mapInPandas(run, "a_id long, b_id long, edits int, longer int")
+    return evaluation.mapInPandas(run, "id long, n int, words string, starts binary, ends binary")
 
 
-def _settle(a: list[str], b: list[str], most: int) -> int:
-    """edit_distance(), but texts whose words alone differ too much are not compared in order."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    count: dict[str, int] = {}
-    for w in a:
-        count[w] = count.get(w, 0) + 1
-    common = 0
-    for w in b:
-        n = count.get(w, 0)
-        if n:
-            count[w] = n - 1
-            common += 1
-    return most + 1 if max(len(a), len(b)) - common > most else edit_distance(a, b, most)
+def _sharded(evaluation: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """The evaluation texts with their shard, and the least and most words of each shard's texts.
+
+    Texts of like length share a shard. What reaches the driver is a row for each different length.
+    """
+    lengths = [(r["n"], r["k"]) for r in evaluation.groupBy("n").agg(F.count("*").alias("k")).orderBy("n").toLocalIterator()]
+    spans: list[tuple[int, int]] = []
+    places: list[tuple[int, int, int]] = []
+    held = SHARD_WORDS
+    for n, k in lengths:
+        if held + n * k <= SHARD_WORDS:
+            spans[-1] = (spans[-1][0], n)
+            places.append((n, len(spans) - 1, 1))
+            held += n * k
+            continue
+        parts = -(-n * k // SHARD_WORDS)
+        places.append((n, len(spans), parts))
+        spans += [(n, n)] * parts
+        held = n * k if parts == 1 else SHARD_WORDS
+    where = evaluation.sparkSession.createDataFrame(places, "n int, first int, parts int")
+    shard = F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    return evaluation.join(F.broadcast(where), "n").withColumn("shard", shard).drop("first", "parts"), spans
+
+
+def scan_training(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the automata find, see _FOUND, and the evaluation texts with their shards, of texts (id, in_train, in_eval, n, words)."""
+    train = distinct.where("in_train").select("id", "n", "words")
+    evaluation = distinct.where("in_eval").select("id", "n", "words")
+    divided = _divided(evaluation, _counts(train, train.count()))
+    placed, spans = _sharded(divided)
+    placed = stored(placed)
+    context = distinct.sparkSession.sparkContext
+    found: list[DataFrame] = []
+    for start in range(0, len(spans), ROUND):
+        shards = range(start, min(start + ROUND, len(spans)))
+        scans, sent = [], []
+        for s in shards:
+            # a shard is bounded by SHARD_WORDS, however large the evaluation set is
+            sent.append(context.broadcast(_pack(placed.where(F.col("shard") == s).select("id", "words", "starts", "ends").toPandas())))
+            least, most = spans[s]
+            fits = F.col("n").between(least - least // 5, 5 * (most // 4) + most % 4)
+            scans.append(train.where(fits).select("id", "words").mapInPandas(_scanner(s, sent[-1]), _FOUND))
+        found.append(stored(reduce(DataFrame.unionByName, scans)))
+        for b in sent:
+            b.destroy()
+    empty = distinct.sparkSession.createDataFrame([], _FOUND)
+    return reduce(DataFrame.unionByName, found, empty), placed
+
+
+def _rows_and_texts(splits: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row_ord, split, source, text_key) of rows in splits, and a row per different text: (text_key, id, in_train, in_eval, n, words), named by its smallest row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_128_digest
+
+        for b in batches:
+            b["words"] = [plain(t) for t in b["text"]]
+            b["n"] = b["words"].str.count(" ").astype("int32") + 1
+            b = b[b["n"] >= MIN_WORDS].copy()
+            b["text_key"] = [xxh3_128_digest(w.encode()) for w in b["words"]]
+            yield b[["row_ord", "split", "source", "text_key", "n", "words"]]
+
+    raw = texts.select(F.col("row_ord").cast("long"), F.col("source").cast("string"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    listed = splits.select(F.col("row_ord").cast("long"), F.col("split").cast("string")).where(F.col("split").isNotNull()).distinct()
+    rows = stored(raw.join(listed, "row_ord").mapInPandas(run, "row_ord long, split string, source string, text_key binary, n int, words string"))
+    in_train = F.col("split") == "train"
+    kinds = rows.groupBy("text_key").agg(
+        F.min("row_ord").alias("id"), F.bool_or(in_train).alias("in_train"), F.bool_or(~in_train).alias("in_eval"), F.first("n").alias("n"), F.first("words").alias("words")
+    )
+    return rows.select("row_ord", "split", "source", "text_key").distinct(), stored(kinds)
 
 
 def cross_split_overlaps(splits: DataFrame, texts: DataFrame) -> DataFrame:
     """All overlaps between train and the other splits.
 
     splits: row_ord, split. texts: row_ord, source, text; rows without a split take no part. Gives a row per pair: train_row_ord, row_ord, split,
-    source, edits, longer (words of the longer text). Null texts and texts of fewer than four words never count; null splits
-    are no split; extra columns are left out; a row listed twice in the same split counts once; empty tables give no rows.
+    source, edits, longer (words of the longer text), covered (words of the row's text in matched passages). Null texts and texts of fewer than four
+    words never count; null splits are no split; extra columns are left out; a row listed twice in the same split counts once; empty tables give no rows.
     """
-    spark = splits.sparkSession
-    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    raw = texts.select(F.col("row_ord").cast("long"), "source", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    listed = splits.select(F.col("row_ord").cast("long"), "split").where(F.col("split").isNotNull())
-    # keys of the texts, small, meet the splits; the texts themselves are shuffled once, below
-    rows = cut(listed.join(_plain_texts(raw, False), "row_ord").distinct())
-    in_train = F.col("split") == "train"
-    # one row per different text, named by its smallest row; the partitioning by id is kept for the later joins
-    kinds = rows.groupBy("text_key").agg(F.min("row_ord").alias("id"), F.bool_or(in_train).alias("in_train"), F.bool_or(~in_train).alias("in_eval"))
-    named = raw.repartition(parts, "row_ord").join(kinds.select(F.col("id").alias("row_ord"), "in_train", "in_eval"), "row_ord")
-    words = _words(named)
-    distinct = cut(words)
-    links = _candidates(distinct, parts).unionByName(_short_pairs(distinct)).distinct()
-    of = distinct.select("id", "words")
-    paired = links.join(of.select(F.col("id").alias("a_id"), F.col("words").alias("a_words")), "a_id")
-    paired = paired.join(of.select(F.col("id").alias("b_id"), F.col("words").alias("b_words")), "b_id")
-    near = _near(paired.select("a_id", "b_id", "a_words", "b_words"))
-    exact = distinct.where("in_train AND in_eval").select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.lit(0).alias("edits"), F.size(F.split("words", " ")).alias("longer"))
-    linked = cut(near.unionByName(exact))
+    rows, distinct = _rows_and_texts(splits, texts)
+    return _expanded(rows, distinct, scan_training(distinct)[0])
+
+
+def _expanded(rows: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    linked = found.where("a_id IS NOT NULL").select("a_id", "b_id", "edits", "longer", "covered")
     # only texts with a link go back to their rows
     ends = linked.select(F.col("a_id").alias("id")).union(linked.select("b_id")).distinct()
-    members = cut(rows.join(kinds.select("text_key", "id").join(ends, "id"), "text_key").select("id", "row_ord", "split", "source").distinct())
-    train = members.where(in_train).select(F.col("id").alias("b_id"), F.col("row_ord").alias("train_row_ord"))
-    other = members.where(~in_train).select(F.col("id").alias("a_id"), "row_ord", "split", "source")
-    return linked.join(other, "a_id").join(train, "b_id").select("train_row_ord", "row_ord", "split", "source", "edits", "longer")
-
+    members = rows.join(distinct.select("text_key", "id").join(ends, "id"), "text_key").select("id", "row_ord", "split", "source")
+    train = members.where("split = 'train'").select(F.col("id").alias("b_id"), F.col("row_ord").alias("train_row_ord"))
+    other = members.where("split <> 'train'").select(F.col("id").alias("a_id"), "row_ord", "split", "source")
+    return linked.join(other, "a_id").join(train, "b_id").select("train_row_ord", "row_ord", "split", "source", "edits", "longer", "covered")
 
-def _words(named: DataFrame) -> DataFrame:
-    """(id, in_train, in_eval, words) of rows (row_ord, in_train, in_eval, text), a row per id."""
 
-    @F.pandas_udf("string")
-    def words(texts: pd.Series) -> pd.Series:
-        return texts.map(plain)
+def overlaps_and_coverage(splits: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The overlaps, see cross_split_overlaps(), and the coverage of each evaluation record.
 
-    return named.select(F.col("row_ord").alias("id"), "in_train", "in_eval", words("text").alias("words")).dropDuplicates(["id"])
+    coverage: row_ord, split, source, words, covered. covered: words of its passages that occur in training texts of a length that a near text
+    may have, merged over all of them. The passages are those that the automata look for, so covered may fall short of all common words.
+    """
+    rows, distinct = _rows_and_texts(splits, texts)
+    found, placed = scan_training(distinct)
+
+    def merge(key: tuple, seen: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if not len(members):
+            return pd.DataFrame({"id": [], "words": [], "covered": []})
+        shard = _unpack(_pack(members))
+        bits = np.zeros(-(-len(shard.holders) // 8), np.uint8)
+        for s in seen["seen"]:
+            bits |= np.frombuffer(zlib.decompress(s), np.uint8)
+        hit = np.unpackbits(bits)[: len(shard.holders)].astype(bool)[shard.passage]
+        covered = np.bincount(shard.owner, weights=shard.width * hit, minlength=len(shard.ids))
+        return pd.DataFrame({"id": shard.ids, "words": shard.n, "covered": covered.astype(np.int64)})
+
+    seen = found.where("seen IS NOT NULL").select("shard", "seen").groupBy("shard")
+    of_text = seen.cogroup(placed.select("shard", "id", "words", "starts", "ends").groupBy("shard")).applyInPandas(merge, "id long, words long, covered long")
+    keyed = distinct.where("in_eval").select("text_key", "id").join(of_text, "id")
+    coverage = rows.where("split <> 'train'").join(keyed, "text_key").select("row_ord", "split", "source", "words", "covered")
+    return _expanded(rows, distinct, found), coverage

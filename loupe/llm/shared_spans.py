@@ -58,13 +58,21 @@ def block_hashes(codes: np.ndarray, block: int = BLOCK) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least value of every run of `width` values, by halving: two overlapping runs of a power of two cover it."""
+    at, size = np.arange(len(values)), 1
+    while size * 2 <= width:
+        left, right = at[:-size], at[size:]
+        at, size = np.where(values[right] < values[left], right, left), size * 2
+    left, right = at[: len(values) - width + 1], at[width - size : width - size + len(values) - width + 1]
+    return np.where(values[right] < values[left], right, left)
+
+
 def anchors(texts: list[str], least: int = LEAST, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the text, place, hash) of the picked blocks of texts: any run of `least` characters of a text holds one whole.
 
     The texts are hashed in one piece. Runs that reach from one text into the next may pick a few blocks more.
     """
-    from loupe.llm.overlap import _least_places
-
     codes = code_points("".join(texts))
     lengths = np.array([len(t) for t in texts], np.int64)
     h = block_hashes(codes, block)

@@ -177,8 +177,7 @@ def test_overlaps_match_brute_force(spark):
 
 
 def test_hot_family_of_near_copies_is_whole(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "COMMON", 3)
-    monkeypatch.setattr(overlap, "GROUP", 5)
+    monkeypatch.setattr(overlap, "SHARD_WORDS", 300)
     rng = random.Random(4)
     base = text(rng, 60).split()
     texts = []
@@ -217,8 +216,7 @@ def test_evenly_spread_edits_are_found(spark):
 
 
 def test_hot_family_with_edits_over_the_whole_text_is_whole(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "COMMON", 3)
-    monkeypatch.setattr(overlap, "GROUP", 5)
+    monkeypatch.setattr(overlap, "SHARD_WORDS", 300)
     rng = random.Random(5)
     base = text(rng, 60).split()
     texts = []
