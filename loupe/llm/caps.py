@@ -1,33 +1,32 @@
 """Problem 2: no contributor above its cap, the best records kept.
 
-Only contributors above their cap lose rows; counts find them. As a cap is a share, at most 100 / max_pct contributors of a domain can
-be above it, so the table of these is bounded by the caps and may be broadcast whatever the data. Their (score, identifier) pairs
-go through bounded heaps: every partition keeps no more than the cap's best pairs of each contributor, and heaps are merged
-as a tree, again keeping no more than the cap. The heaps' identifiers then semi-join the full records.
-
-A cap that is a share grows with the data, so one heap could outgrow a task. Above HEAP pairs the cap is therefore shared out: the
-contributor's pairs fall into ranges of the score's order (fixed bounds over the scores' value range, counted exactly), all pairs of the ranges
-above the one that holds the cap's last pair are kept without a heap, and the heap serves only that range.
+Bounded heaps of (score, identifier) pairs decide. Every partition keeps, of each contributor, no more than its cap's best pairs, and
+counts what it leaves out. Heaps are merged as a tree: a heap of a cap that is a share of the data could outgrow a task, so a contributor's
+heap is one of segments, fixed ranges of the score's order and, among equal scores, of identifiers. Segments better than the one that holds
+the cap's last pair belong to the heap whole; of that one the merged heaps keep the room that is left; worse segments leave it. The identifiers in the
+heaps then semi-join the full records, and contributors of which something was left out are those above their cap.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loupe.llm.keys import domain, entity_key
-from loupe.session import cut
+from loupe.session import cut, stored
 
-#: Most pairs in one heap.
-HEAP = 50_000
-#: Ranges of identifiers among equal scores, for contributors whose cap is above HEAP.
+#: Segments of identifiers among equal scores.
 RANGES = 1 << 16
-#: Levels of the merge tree below its root have so many branches each.
+#: A table of so many contributors is small enough to be sent to every task.
+FEW = 10_000
+#: Branches that meet at a node of the merge tree below its root.
 BRANCHES = 16
+#: Pairs that a partition gathers before it cuts its heaps to size.
+GATHER = 500_000
 
 
 def quality(rows_text: Column, rating: Column) -> Column:
@@ -40,44 +39,55 @@ def quality(rows_text: Column, rating: Column) -> Column:
     return F.round(0.5 * F.least(words, F.lit(120)) / 120 + 0.25 * valid + 0.25 * calm, 6)
 
 
-def _best(size_of_heap: str):
-    """Keep, for each contributor in the batches, the best `cap` (score, id) pairs: greatest score, then smallest id."""
+def _best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Bounded heaps of a partition over pairs (domain, entity_key, room, score, row_id, gone): of each contributor the `room` best pairs stay, the greatest score first, then the smallest id.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heaps: dict[tuple, list] = {}
-        rooms: dict[tuple, int] = {}
-        for b in batches:
-            for d, e, room, score, row in zip(b["domain"], b["entity_key"], b[size_of_heap].tolist(), b["score"].tolist(), b["row_id"].tolist()):
-                heap = heaps.setdefault((d, e), [])
-                pair = (score, -row)
-                if len(heap) < room:
-                    heapq.heappush(heap, pair)
-                elif room and pair > heap[0]:
-                    heapq.heapreplace(heap, pair)
-                rooms[(d, e)] = room
-        for (d, e), heap in heaps.items():
-            for at in range(0, len(heap), 10_000):
-                part = heap[at : at + 10_000]
-                yield pd.DataFrame({"domain": d, "entity_key": e, size_of_heap: rooms[(d, e)], "score": [p[0] for p in part], "row_id": [-p[1] for p in part]})
-
-    return run
-
-
-def _merge(pairs: DataFrame, level: int) -> DataFrame:
-    """One level of the tree: heaps of the same contributor and branch meet in one partition and are merged there."""
-    branch = F.pmod(F.xxhash64("row_id"), F.lit(BRANCHES**level)).cast("int")
-    schema = pairs.schema
-    return pairs.repartition("domain", "entity_key", branch).mapInPandas(_best("room"), schema)
-
-
-def standing(rows: DataFrame, caps: DataFrame) -> DataFrame:
-    """(domain, entity_key, n, cap) of every contributor of a domain that has a cap; cap is in rows, rounded down."""
+    What does not stay is counted: a row without row_id has the number in gone.
+    """
+    keys = ["domain", "entity_key"]
+    gone: dict[tuple, list[int]] = {}
+    held: list[pd.DataFrame] = []
+    size = 0
+
+    def settle() -> pd.DataFrame:
+        x = pd.concat(held, ignore_index=True).sort_values([*keys, "score", "row_id"], ascending=[True, True, False, True], ignore_index=True)
+        new = np.r_[True, (x["domain"].to_numpy()[1:] != x["domain"].to_numpy()[:-1]) | (x["entity_key"].to_numpy()[1:] != x["entity_key"].to_numpy()[:-1])]
+        first = np.flatnonzero(new)
+        rank = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
+        stays = rank < x["room"].to_numpy()
+        for (d, e, room), n in x[~stays].groupby([*keys, "room"]).size().items():
+            gone.setdefault((d, e), [room, 0])[1] += n
+        return x[stays]
+
+    for b in batches:
+        held.append(b)
+        size += len(held[-1])
+        if size >= GATHER:
+            held = [settle()]
+            # twice what is held at least, so that large heaps aren't sorted again for every batch
+            size = 0 if len(held[0]) < GATHER else -len(held[0])
+    if held:
+        yield settle()
+    if gone:
+        yield pd.DataFrame([(d, e, room, None, None, n) for (d, e), (room, n) in gone.items()], columns=[*keys, "room", "score", "row_id", "gone"])
+
+
+_HEAP = "domain string, entity_key string, room long, score double, row_id long, gone long"
+
+
+def _merged(heaps: DataFrame) -> DataFrame:
+    """The merge tree: heaps of a contributor meet in BRANCHES nodes, then in one."""
+    branch = F.pmod(F.xxhash64("row_id"), F.lit(BRANCHES)).cast("int")
+    once = heaps.repartition("domain", "entity_key", branch).mapInPandas(_best, _HEAP).where("row_id IS NOT NULL")
+    return once.repartition("domain", "entity_key").mapInPandas(_best, _HEAP)
+
+
+def rooms(rows: DataFrame, caps: DataFrame) -> DataFrame:
+    """(domain, cap) of every domain that has a cap; cap is in rows, rounded down. rows: keyed()."""
     limits = caps.where("max_pct IS NOT NULL").groupBy(domain(F.col("domain")).alias("domain")).agg(F.min("max_pct").alias("max_pct")).where("domain IS NOT NULL")
-    counts = rows.groupBy("domain", "entity_key").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("domain").agg(F.sum("n").alias("total"))
-    limits = totals.join(F.broadcast(limits), "domain").select("domain", F.floor(F.col("total") * F.col("max_pct") / 100).cast("long").alias("cap"))
-    # a row per domain that has a cap: four here, and never more than the table of caps
-    return counts.join(F.broadcast(limits), "domain")
+    totals = rows.groupBy("domain").agg(F.count("*").alias("total"))
+    # a row per domain, four at most
+    return totals.join(F.broadcast(limits), "domain").select("domain", F.floor(F.col("total") * F.col("max_pct") / 100).cast("long").alias("cap"))
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -93,13 +103,7 @@ def keyed(rows: DataFrame) -> DataFrame:
     ).where("domain IS NOT NULL AND entity_key IS NOT NULL")
 
 
-def _small(over: DataFrame, caps: DataFrame) -> DataFrame:
-    """The contributors above their cap with a broadcast hint, unless a share of zero percent leaves their number without a bound."""
-    least = caps.agg(F.min("max_pct")).first()[0]
-    return F.broadcast(over) if least is None or least > 0 else over
-
-
-def _cut_at(pairs: DataFrame, place: Column) -> tuple[DataFrame, DataFrame]:
+def _cut_at(pairs: DataFrame, few: int, place: Column) -> tuple[DataFrame, DataFrame]:
     """The pairs in ranges (small place first) that fit whole into the room, and those of the next range with the room left for it."""
     keys = ["domain", "entity_key"]
     ranged = pairs.withColumn("range", place)
@@ -107,46 +111,47 @@ def _cut_at(pairs: DataFrame, place: Column) -> tuple[DataFrame, DataFrame]:
     # as many rows a contributor as there are ranges, whatever the number of its pairs
     running = sizes.withColumn("upto", F.sum("m").over(Window.partitionBy(*keys).orderBy("range")))
     last = running.where("upto >= room AND upto - m < room").select(*keys, F.col("range").alias("last"), (F.col("room") - F.col("upto") + F.col("m")).alias("left"))
-    marked = ranged.join(F.broadcast(last), keys)
+    marked = ranged.join(_small(last, few), keys)
     edge = marked.where("range = last").withColumn("room", F.col("left"))
     return marked.where("range < last").drop("range", "last", "left"), edge.drop("range", "last", "left")
 
 
-def kept_pairs(rows: DataFrame, caps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The contributors above their cap, and the pairs their heaps keep: (domain, entity_key, row_id)."""
-    stand = cut(standing(keyed(rows), caps))
-    over = stand.where("n > cap")
-    # at most 100 / max_pct contributors of a domain are above a share of max_pct percent: bounded by the caps, not by the data
-    pairs = keyed(rows).join(_small(over.select("domain", "entity_key", "cap"), caps), ["domain", "entity_key"])
-    low = pairs.where(F.col("cap") <= HEAP).withColumn("room", F.col("cap"))
-    free: list[DataFrame] = []
-    if not over.where(F.col("cap") > HEAP).isEmpty():
-        keys = ["domain", "entity_key"]
-        wide = pairs.where(F.col("cap") > HEAP).withColumn("room", F.col("cap"))
-        above, edge = _cut_at(wide, F.round((1 - F.col("score")) * 1_000_000).cast("long"))
-        # equal scores are left: ranges of identifiers
-        span = edge.groupBy(*keys).agg(F.min("row_id").alias("lo"), F.greatest(F.lit(1.0), (F.max("row_id") - F.min("row_id") + 1) / RANGES).alias("width"))
-        spanned = edge.join(F.broadcast(span), keys)
-        first, edge = _cut_at(spanned, F.floor((F.col("row_id") - F.col("lo")) / F.col("width")).cast("long"))
-        free = [above.select(*keys, "row_id"), first.select(*keys, "row_id")]
-        low = low.unionByName(edge.select(*low.columns))
-    heaps = low.select("domain", "entity_key", "room", "score", "row_id")
-    heaps = heaps.mapInPandas(_best("room"), heaps.schema)
-    for level in (1, 0):
-        heaps = _merge(heaps, level)
-    kept = heaps.select("domain", "entity_key", "row_id")
-    for part in free:
-        kept = kept.unionByName(part)
-    return stand, kept
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of at most `rows` rows, with a broadcast hint if these are few."""
+    return F.broadcast(table) if rows <= FEW else table
+
+
+def heaps_of(rows: DataFrame, caps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, over): the pairs (domain, entity_key, row_id) in the merged heaps of contributors that had to leave something out, and these contributors with n, kept.
+
+    A contributor that fits into one heap of its cap has no row in either. Rows without row_ord can't be told apart and never stay in a heap.
+    """
+    keys = ["domain", "entity_key"]
+    pairs = keyed(rows).where("row_id IS NOT NULL")
+    # four rows at most
+    sized = pairs.join(F.broadcast(rooms(pairs, caps)), "domain").select(*keys, F.col("cap").alias("room"), "score", "row_id", F.lit(0).cast("long").alias("gone"))
+    heaps = stored(sized.mapInPandas(_best, _HEAP))
+    offered = heaps.groupBy(*keys, "room").agg((F.count("row_id") + F.sum("gone")).alias("n"))
+    over = cut(offered.where("n > room"))
+    # a share of p percent leaves 100 / p of these a domain at most; only their heaps go on to the merge
+    few = over.count()
+    full = heaps.where("row_id IS NOT NULL").join(_small(over.select(*keys), few), keys)
+    above, edge = _cut_at(full, few, F.round((1 - F.col("score")) * 1_000_000).cast("long"))
+    # equal scores are left: segments of identifiers
+    span = edge.groupBy(*keys).agg(F.min("row_id").alias("lo"), F.greatest(F.lit(1.0), (F.max("row_id") - F.min("row_id") + 1) / RANGES).alias("width"))
+    first, edge = _cut_at(edge.join(_small(span, few), keys), few, F.floor((F.col("row_id") - F.col("lo")) / F.col("width")).cast("long"))
+    last = _merged(edge.select(*keys, "room", "score", "row_id", "gone")).where("row_id IS NOT NULL")
+    kept = above.select(*keys, "row_id").unionByName(first.select(*keys, "row_id")).unionByName(last.select(*keys, "row_id"))
+    kept = stored(kept)
+    held = kept.groupBy(*keys).agg(F.count("*").alias("kept"))
+    # a cap of no rows keeps none, so a contributor may be missing from the heaps
+    left = over.join(held, keys, "left").select(*keys, "n", F.coalesce("kept", F.lit(0)).alias("kept"))
+    return kept, left.where("kept < n")
 
 
 def over_cap(rows: DataFrame, caps: DataFrame) -> DataFrame:
     """(domain, entity_key, n, kept): contributors whose heaps had to leave rows out."""
-    stand, kept = kept_pairs(rows, caps)
-    held = kept.groupBy("domain", "entity_key").agg(F.count("*").alias("kept"))
-    # a cap of no rows keeps none, so a contributor may be missing from the heaps
-    joined = stand.where("n > cap").join(held, ["domain", "entity_key"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
-    return joined.where("kept < n").select("domain", "entity_key", "n", "kept")
+    return heaps_of(rows, caps)[1]
 
 
 def cap_contributors(rows: DataFrame, caps: DataFrame) -> DataFrame:
@@ -156,9 +161,8 @@ def cap_contributors(rows: DataFrame, caps: DataFrame) -> DataFrame:
     domain stay. Of a contributor above its cap the best rows by quality() stay, on ties those with the smaller row_ord.
     Empty tables give no rows; an empty table of caps keeps all.
     """
-    stand, kept = kept_pairs(rows, caps)
-    # bounded by the caps, see kept_pairs()
-    over = _small(stand.where("n > cap").select(F.col("domain").alias("__od"), F.col("entity_key").alias("__oe")), caps)
+    kept, over = heaps_of(rows, caps)
+    over = over.select(F.col("domain").alias("__od"), F.col("entity_key").alias("__oe"))
     x = rows.withColumns({"__d": domain(F.col("domain").cast("string")), "__e": entity_key(F.col("entity_id").cast("string"))})
     tall = (x["__d"] == over["__od"]) & (x["__e"] == over["__oe"])
     best = x.join(over, tall, "left_semi").join(kept.select(F.col("row_id").alias("__row")), F.col("row_ord") == F.col("__row"), "left_semi")

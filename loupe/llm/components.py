@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,10 @@ from loupe.llm.keys import entity_key
 from loupe.llm.text import enough, plain
 from loupe.session import cut
 
-#: Bits of the subset-sum bitsets; totals above are counted in units of total / BITS.
-BITS = 1 << 19
+#: Totals that the subset sum looks at first; it looks at more where these don't hold the wanted one.
+WINDOW = 1 << 20
+#: Entities of one text that are paired in one task.
+CLASS = 1_000
 #: Parts into which the components of one size are divided to number them without gathering them.
 BUCKETS = 256
 
@@ -62,7 +65,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return parent
         hooks = live.groupBy(F.col("v").alias("root")).agg(F.min("u").alias("under"))
         # shortcut the hooks among themselves until they point at roots, then move all nodes below them
-        hooks = cut(hooks)
         while True:
             up = hooks.select(F.col("root").alias("under"), F.col("under").alias("above"))
             jumped = cut(hooks.join(up, "under", "left").select("root", F.coalesce("above", "under").alias("under"), F.col("above").isNotNull().alias("moved")))
@@ -76,61 +78,102 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def ties(rows: DataFrame) -> DataFrame:
-    """(entity_key_a, entity_key_b): direct ties, found inside the components of the hooked graph.
+    """(entity_key_a, entity_key_b): direct ties, found in the components of the hooked graph.
 
-    Entities of different components share no text, so only members of one component's texts meet, on text and component.
+    A component of two entities is its only tie, so it comes from the parent table as it stands. In larger components the members of
+    each text class are paired within the component. Entities of different components share no text.
     """
     tied, edges = star_edges(cut(memberships(rows)))
+    parent = cut(components(edges))
+    sizes = parent.groupBy("root").agg(F.count("*").alias("size"), F.max("node").alias("other"))
+    # the root is the component's smallest node
+    two = sizes.where("size = 2").select(F.col("root").alias("entity_key_a"), F.col("other").alias("entity_key_b"))
+    large = parent.join(sizes.where("size > 2").select("root"), "root").select(F.col("node").alias("entity_key"), "root")
+    return two.unionByName(_pairs(tied.join(large, "entity_key").select("root", "text_key", "entity_key"))).distinct()
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """(entity_key_a, entity_key_b) of members (root, text_key, entity_key) of one class (root, text_key).
+
+    A class of more than CLASS members is cut into that many parts as it has CLASS members; one side of a pair goes to its part, the other side to all.
+    """
+    parts = members.groupBy("root", "text_key").agg(F.ceil(F.count("*") / CLASS).cast("int").alias("parts"))
+    sized = members.join(parts, ["root", "text_key"])
+    a = sized.select("root", "text_key", F.pmod(F.xxhash64("entity_key"), F.col("parts")).cast("int").alias("part"), F.col("entity_key").alias("entity_key_a"))
+    b = sized.select("root", "text_key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("entity_key").alias("entity_key_b"))
+    return a.join(b, ["root", "text_key", "part"]).where("entity_key_a < entity_key_b").select("entity_key_a", "entity_key_b")
+
+
+def tie_classes(rows: DataFrame) -> DataFrame:
+    """(component, text_key, members, links): a row for each text that ties entities, with the number of ties it stands for; no pair is expanded."""
+    tied, edges = star_edges(cut(memberships(rows)))
     roots = components(edges)
-    inside = tied.select("text_key", "entity_key").join(roots.select(F.col("node").alias("entity_key"), "root"), "entity_key")
-    a = inside.select("root", "text_key", F.col("entity_key").alias("entity_key_a"))
-    b = inside.select("root", "text_key", F.col("entity_key").alias("entity_key_b"))
-    return a.join(b, ["root", "text_key"]).where("entity_key_a < entity_key_b").select("entity_key_a", "entity_key_b").distinct()
+    inside = tied.select("text_key", "entity_key").join(roots.select(F.col("node").alias("entity_key"), F.col("root").alias("component")), "entity_key")
+    return inside.groupBy("component", "text_key").agg(F.count("*").alias("members")).withColumn("links", F.expr("members * (members - 1) div 2"))
 
 
-def closest_subset(sizes: dict[int, int], wanted: int) -> dict[int, int]:
-    """How many components of each size to take so that their total is as near `wanted` as can be (the smaller on ties).
+def _reach(sizes: dict[int, int], wanted: int, most: int) -> tuple[dict[int, int], int]:
+    """(components of each size, total) whose total is nearest to `wanted`, of all totals up to `most`.
 
-    One bit for each reachable total; multiplicities enter as binary parts, so the work is sizes x log(multiplicity) shifts.
+    A bit for each total that can be reached; multiplicities enter as binary parts. Kept for each total is the part that first
+    reached it, so memory is bounded by the window, not by the number of sizes.
     """
-    total = sum(s * n for s, n in sizes.items())
-    unit = max(1, -(-total // BITS))
-    limit = min(total, 2 * wanted) // unit + 1
-    mask = (1 << (limit + 1)) - 1
-    steps: list[tuple[int, int, int]] = []
+    mask = (1 << (most + 1)) - 1
+    first = np.full(most + 1, -1, np.int32)
+    parts: list[tuple[int, int]] = []
     bits = 1
-    for s in sorted(sizes, reverse=True):
-        if s < unit or s <= 0:
-            continue
+    for s in sorted(sizes):
         left, part = sizes[s], 1
-        while left > 0:
+        while left > 0 and not (bits >> wanted) & 1:
             take = min(part, left)
-            shift = s * take // unit
-            if shift <= limit:
-                steps.append((s, take, bits))
-                bits |= (bits << shift) & mask
-            left -= take
-            part *= 2
-    goal = wanted // unit
-    below = bits & ((1 << (goal + 1)) - 1)
-    low = below.bit_length() - 1
-    above = bits >> goal
-    high = goal + (above & -above).bit_length() - 1 if above else None
-    at = low if high is None or goal - low <= high - goal else high
+            left, part = left - take, part * 2
+            if s * take > most:
+                continue
+            fresh = (bits << (s * take)) & mask & ~bits
+            if fresh:
+                octets = np.frombuffer(fresh.to_bytes(most // 8 + 1, "little"), np.uint8)
+                some = np.flatnonzero(octets)
+                at = (some[:, None] * 8 + np.arange(8))[np.unpackbits(octets[some], bitorder="little").reshape(-1, 8) == 1]
+                first[at] = len(parts)
+                bits |= fresh
+            parts.append((s, take))
+    low = (bits & ((1 << (wanted + 1)) - 1)).bit_length() - 1
+    above = bits >> wanted
+    high = wanted + (above & -above).bit_length() - 1 if above else None
+    at = total = low if high is None or wanted - low <= high - wanted else high
     taken: dict[int, int] = {}
-    for s, take, before in reversed(steps):
-        shift = s * take // unit
-        if not (before >> at) & 1:
-            at -= shift
-            taken[s] = taken.get(s, 0) + take
-    # sizes below one unit fill what is missing, largest first
-    missing = wanted - sum(s * n for s, n in taken.items())
-    for s in sorted((s for s in sizes if 0 < s < unit), reverse=True):
-        take = max(0, min(sizes[s], missing // s))
-        if take:
-            taken[s] = take
-            missing -= s * take
-    return taken
+    while at:
+        s, take = parts[first[at]]
+        taken[s] = taken.get(s, 0) + take
+        at -= s * take
+    return taken, total
+
+
+def closest_subset(sizes: dict[int, int], wanted: int) -> dict[int, int]:
+    """How many components of each size to take so that their total is as near `wanted` as can be (the smaller on ties).
+
+    Largest components are taken first while more than WINDOW is missing; the subset sum settles the rest. Where that misses
+    `wanted` the window grows until it is met or holds everything, so the result is the nearest total at any size.
+    """
+    sizes = {s: n for s, n in sizes.items() if s > 0 and n > 0}
+    total = sum(s * n for s, n in sizes.items())
+    wanted = max(0, min(wanted, total))
+    window = WINDOW
+    while True:
+        taken: dict[int, int] = {}
+        missing = wanted
+        for s in sorted(sizes, reverse=True):
+            take = min(sizes[s], max(0, missing - window) // s)
+            if take:
+                taken[s] = take
+                missing -= s * take
+        rest = {s: n - taken.get(s, 0) for s, n in sizes.items() if n > taken.get(s, 0)}
+        more, reached = _reach(rest, missing, min(2 * missing, sum(s * n for s, n in rest.items())))
+        if reached == missing or not taken:
+            for s, n in more.items():
+                taken[s] = taken.get(s, 0) + n
+            return taken
+        window *= 4
 
 
 def allot(sizes: dict[int, int], shares: dict[str, float]) -> dict[str, dict[int, int]]:
@@ -156,7 +199,7 @@ def split_related(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
     components allow. Repeated rows stay; empty tables give no rows; extra columns are left out.
     """
     x = rows.select("row_ord", entity_key(F.col("entity_id").cast("string")).alias("entity_key"))
-    _, edges = star_edges(memberships(rows))
+    _, edges = star_edges(cut(memberships(rows)))
     roots = components(edges)
     # the tie graph is joined per entity, not per row: entities are far fewer and hot ones count once
     entities = x.where("entity_key IS NOT NULL").groupBy("entity_key").agg(F.count("*").alias("n"))

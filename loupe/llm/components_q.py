@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.llm.components import shares_of, split_related, ties
+from loupe.llm.components import shares_of, split_related, tie_classes, ties
 from loupe.session import table
 
 
@@ -21,5 +21,10 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return split_related(_rows(spark, folder), shares_of(table(spark, folder, "split_shares")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits}
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text that ties entities: its component, how many entities it ties, and how many ties that makes."""
+    return tie_classes(_rows(spark, folder)).select("component", F.lower(F.hex("text_key")).alias("text_key"), "members", "links")
+
+
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_classes": p1_classes}
 SQL: dict[str, str] = {}

@@ -38,51 +38,62 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         k *= 2
 
 
+class Bits:
+    """A packed sequence of bits with ranks."""
+
+    def __init__(self, bits: np.ndarray):
+        self.words = np.packbits(np.r_[bits.astype(np.uint8), np.zeros((-len(bits)) % 64 + 64, np.uint8)], bitorder="little").view(np.uint64)
+        self.sums = np.r_[0, np.cumsum(np.bitwise_count(self.words).astype(np.int64))].astype(np.int32 if len(bits) < 2**31 else np.int64)
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """How many of the first at[i] bits are set."""
+        word = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.sums[word] + np.bitwise_count(self.words[word] & mask).astype(np.int64)
+
+
 class WaveletMatrix:
     """Ranks of a symbol in a prefix of a sequence of symbols below 2 ** levels."""
 
     def __init__(self, symbols: np.ndarray, levels: int):
         self.n, self.levels = len(symbols), levels
-        self.bits: list[np.ndarray] = []
-        self.sums: list[np.ndarray] = []
+        self.bits: list[Bits] = []
         self.zeros: list[int] = []
         s = symbols.astype(np.int64)
         for level in range(levels - 1, -1, -1):
-            b = ((s >> level) & 1).astype(np.uint8)
-            packed = np.packbits(np.r_[b, np.zeros((-len(b)) % 64 + 64, np.uint8)], bitorder="little").view(np.uint64)
-            self.bits.append(packed)
-            self.sums.append(np.r_[0, np.cumsum(np.bitwise_count(packed).astype(np.int64))])
+            b = (s >> level) & 1
+            self.bits.append(Bits(b))
             self.zeros.append(int((b == 0).sum()))
             s = np.concatenate([s[b == 0], s[b == 1]])
 
-    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
-        word, rest = at >> 6, (at & 63).astype(np.uint64)
-        mask = (np.uint64(1) << rest) - np.uint64(1)
-        return self.sums[level][word] + np.bitwise_count(self.bits[level][word] & mask).astype(np.int64)
-
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often symbol[i] occurs before position at[i]."""
-        lo, hi = np.zeros(len(at), np.int64), at.astype(np.int64)
+        n = len(at)
+        both = np.concatenate([np.zeros(n, np.int64), at.astype(np.int64)])
+        symbol = np.concatenate([symbol, symbol])
         for i in range(self.levels):
             bit = (symbol >> (self.levels - 1 - i)) & 1
-            lo1, hi1 = self._ones(i, lo), self._ones(i, hi)
-            lo = np.where(bit == 1, self.zeros[i] + lo1, lo - lo1)
-            hi = np.where(bit == 1, self.zeros[i] + hi1, hi - hi1)
-        return hi - lo
+            ones = self.bits[i].ones(both)
+            both = np.where(bit == 1, self.zeros[i] + ones, both - ones)
+        return both[n:] - both[:n]
 
 
 class FMIndex:
-    """Index of a sequence of symbols >= 1; 0 is the end."""
+    """Index of a sequence of symbols >= 1; 0 is the end. `suffix` is there until compress() drops it."""
 
     def __init__(self, symbols: np.ndarray, alphabet: int):
         text = np.r_[symbols, 0].astype(np.int64)
         self.alphabet = alphabet
         sa = suffix_array(text)
-        self.suffix = sa
+        self.suffix: np.ndarray | None = sa
         self.n = len(text)
         self.wave = WaveletMatrix(text[sa - 1], max(1, int(alphabet).bit_length()))
         self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=alphabet + 1))][: alphabet + 1]
 
+    def compress(self) -> None:
+        """Keep the transform alone: about a bit and a half for each level of the wavelet matrix and symbol."""
+        self.suffix = None
+
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix ranges after putting symbol[i] before the pattern of range [lo[i], hi[i])."""
         start = self.first[symbol]

@@ -63,10 +63,14 @@ class Words(dict):
         n = len(self)
         if n == len(self.table):
             self.table = np.r_[self.table, np.empty(n, np.uint64)]
-        self.table[n] = xxh3_64_intdigest(word)
+        self.table[n] = xxh3_64_intdigest(self.of(word))
         self[word] = n
         return n
 
+    def of(self, word: str) -> str:
+        """What is hashed for a word."""
+        return word
+
 
 def word_hashes(words: list[str], memo: Words) -> np.ndarray:
     """A 64-bit hash for each word."""

@@ -8,28 +8,34 @@ transform) is built over the different passages, and backward search of all pass
 characters that also occur in a passage of another document. Their union is the shared text, exactly.
 
 Equal passages are pre-aggregated into one, with two of their documents as marks, which is all that "in another document"
-asks; a block with a single passage needs no index. A block that very many different passages hold is divided into cells, and every pair of
-cells meets in a task of bounded size.
+asks. A block that very many different passages hold is divided by what stands round it: a shared run goes on for half of the missing
+characters on the left or on the right, so passages meet again in smaller groups that agree in more characters; each
+halving doubles the copies of such passages at most, and no two groups are paired.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loupe.llm.fm_index import FMIndex
-from loupe.session import cut
+from loupe.llm.fm_index import Bits, FMIndex
+from loupe.session import cut, stored
 
 LEAST = 200
 BLOCK = 96
-#: Passages of one shard whose characters go into one index.
-INDEX_CHARS = 1_500_000
+#: Characters of the passages of one index, about; a block that holds more is divided by what stands round it.
+INDEX_CHARS = 1_000_000
+#: The bit table of shared blocks has 2 ** MOST_BITS bits at most.
+MOST_BITS = 30
+#: The columns of a passage's name.
+NAMES = ("name", "name2")
 #: Documents that are hashed in one piece.
-CHUNK = 128
+CHUNK = 48
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,35 +43,46 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+@lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base modulo 2 ** 64, and of its inverse."""
+    base = 0xD1342543DE82EF95
+    inverse = pow(base, -1, 1 << 64)
+    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
 def block_hashes(codes: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """A hash of each run of `block` characters; block is a multiple of 32. Runs of 32 come by doubling."""
-    if len(codes) < block:
+    """A hash of each run of `block` characters: differences of prefix sums of a polynomial, shifted back and mixed."""
+    n = len(codes) - block + 1
+    if n <= 0:
         return np.empty(0, np.uint64)
+    up, down = _powers(1 << max(16, (len(codes)).bit_length()))
     with np.errstate(over="ignore"):
-        h = codes.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(1)
+        h = codes.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(31)
-        size = 1
-        while size < 32:
-            h = h[: len(h) - size] * _MULTIPLIER + h[size:]
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0x94D049BB133111EB)
-            size *= 2
-        n = len(codes) - block + 1
-        out = np.zeros(n, np.uint64)
-        for k in range(0, block, 32):
-            out = (out ^ (out >> np.uint64(30))) * _MULTIPLIER + h[k : k + n]
+        h *= up[: len(codes)]
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(h, out=sums[1:])
+        out = (sums[block:] - sums[:n]) * down[:n]
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0x94D049BB133111EB)
         out ^= out >> np.uint64(29)
-    return out * np.uint64(0xBF58476D1CE4E5B9)
+    return out * _MULTIPLIER
 
 
 def _least_places(values: np.ndarray, width: int) -> np.ndarray:
-    """The place of the least value of every run of `width` values, by halving: two overlapping runs of a power of two cover it."""
-    at, size = np.arange(len(values)), 1
+    """The place of the least value of every run of `width` values; the lowest bits of the values give way to their places."""
+    low = np.uint64((1 << 20) - 1)
+    n = len(values) - width + 1
+    least = (values & ~low) | (np.arange(len(values), dtype=np.uint64) & low)
+    size = 1
     while size * 2 <= width:
-        left, right = at[:-size], at[size:]
-        at, size = np.where(values[right] < values[left], right, left), size * 2
-    left, right = at[: len(values) - width + 1], at[width - size : width - size + len(values) - width + 1]
-    return np.where(values[right] < values[left], right, left)
+        least, size = np.minimum(least[:-size], least[size:]), size * 2
+    least = np.minimum(least[:n], least[width - size : width - size + n])
+    at = np.arange(n)
+    return at + (((least & low).astype(np.int64) - at) & int(low))
 
 
 def anchors(texts: list[str], least: int = LEAST, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,29 +123,36 @@ def _picked_blocks(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInPandas(run, "hash long, doc_id long")
 
 
-def _passages(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, hash, at, inner, passage) around every wanted block of docs (doc_id, text, hashes); inner: the block's place in the passage."""
+def _table(common: DataFrame) -> np.ndarray:
+    """A bit table of the hashes that occur in two documents, of a size between bounds; collisions only send more passages."""
+    from loupe.llm.leaks import _bits
+
+    bits = 1 << min(max(16 * common.count(), 1 << 20).bit_length(), MOST_BITS)
+    return _bits(common.select(F.col("hash").alias("h")), bits)
+
+
+def _passages(docs: DataFrame, least: int, table: np.ndarray) -> DataFrame:
+    """(doc_id, hash, at, inner, passage) around every block in the table; inner: the block's place in the passage."""
+    from loupe.llm.leaks import _has
+
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _chunks(batches):
             ids, texts = b["doc_id"].tolist(), b["text"].tolist()
-            wanted = [set(h.tolist()) for h in b["hashes"]]
+            text, place, h = anchors(texts, least)
+            here = _has(shared.value, h)
             out = []
-            for t, p, x in zip(*(a.tolist() for a in _signed(anchors(texts, least)))):
-                if x in wanted[t]:
-                    lo = max(0, p + BLOCK - least)
-                    out.append((ids[t], x, lo, p - lo, texts[t][lo : p + least]))
+            for t, p, x in zip(text[here].tolist(), place[here].tolist(), h[here].view(np.int64).tolist()):
+                lo = max(0, p + BLOCK - least)
+                out.append((ids[t], x, lo, p - lo, texts[t][lo : p + least]))
             yield pd.DataFrame(out, columns=["doc_id", "hash", "at", "inner", "passage"])
 
     return docs.mapInPandas(run, "doc_id long, hash long, at int, inner int, passage string")
 
 
-def _signed(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return found[0], found[1], found[2].view(np.int64)
-
-
 def _search(least: int):
-    """All passages of a group against the group's index; (passage_id, start, end) of shared intervals within the passages."""
+    """All passages of a group against the group's index; (name, name2, start, end) of shared intervals within the passages."""
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         passages = g["passage"].tolist()
@@ -143,11 +167,14 @@ def _search(least: int):
         low, high = g["low"].to_numpy(np.int64), g["high"].to_numpy(np.int64)
         owner = np.r_[np.repeat(np.arange(len(g)), lengths + 1), len(g) - 1][index.suffix]
         # a range of suffixes belongs to more than one document if neighbours differ in it or a passage in it has two documents
-        differ = np.r_[0, 0, np.cumsum(low[owner][1:] != low[owner][:-1])]
-        double = np.r_[0, np.cumsum(low[owner] != high[owner])]
+        differ = Bits(np.r_[False, low[owner][1:] != low[owner][:-1]])
+        double = Bits(low[owner] != high[owner])
+        index.compress()
+        del owner
 
         def shared(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-            return (hi > lo) & ((differ[np.maximum(hi, 1)] > differ[lo + 1]) | (double[hi] > double[lo]))
+            there = np.maximum(hi, lo + 1)
+            return (hi > lo) & ((differ.ones(there) > differ.ones(lo + 1)) | (double.ones(there) > double.ones(lo)))
 
         def reach(rows: np.ndarray, ends: np.ndarray, stop: np.ndarray) -> np.ndarray:
             """The least start, not below stop, from which the text up to `ends` occurs in another document."""
@@ -164,7 +191,7 @@ def _search(least: int):
             return at
 
         out = []
-        rows = np.flatnonzero(low == high)
+        rows = np.arange(len(g))
         target = g["inner"].to_numpy(np.int64)[rows]
         least_end, most_end = target + BLOCK, lengths[rows].copy()
         while len(rows):
@@ -189,8 +216,9 @@ def _search(least: int):
             # another document may go further to the left with an earlier end
             on = (start > 0) & (end - 1 >= np.maximum(least_end, start - 1 + BLOCK))
             rows, target, most_end, least_end = rows[on], start[on] - 1, end[on] - 1, least_end[on]
-        ids = g["passage_id"].to_numpy(np.int64)
-        return pd.DataFrame([(int(ids[r]), s, e) for r, s, e in out], columns=["passage_id", "start", "end"])
+        found = np.array(out, np.int64).reshape(-1, 3)
+        names = {c: g[c].to_numpy(np.int64)[found[:, 0]] for c in NAMES}
+        return pd.DataFrame(names | {"start": found[:, 1], "end": found[:, 2]})
 
     return run
 
@@ -207,31 +235,43 @@ def shared_intervals(docs: DataFrame, least: int = LEAST) -> DataFrame:
         raise ValueError(f"spans of fewer than {BLOCK} characters are not searched")
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where(F.length("text") >= least)
-    blocks = _picked_blocks(texts, least)
-    common = blocks.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("hash")
-    wanted = blocks.join(common, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
-    found = cut(_passages(texts.join(wanted, "doc_id"), least))
+    ends = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high")]
+    common = stored(_picked_blocks(texts, least).groupBy("hash").agg(*ends).where("low <> high").select("hash"))
+    found = _passages(texts, least, _table(common))
+    # the 128-bit name of a passage and its block
+    named = found.withColumn("name", F.xxhash64("passage", "inner", "hash")).withColumn("name2", F.xxhash64(F.lit(1), "hash", "inner", "passage"))
+    found = stored(named)
     # equal passages meet once, with two documents as marks; pre-aggregated before the shuffle
-    name = F.xxhash64("passage", "inner", "hash")
-    merged = found.groupBy("hash", "inner", "passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.lit(1)).alias("n"))
-    merged = cut(merged.select("hash", "inner", "passage", "low", "high", name.alias("passage_id")))
+    merged = stored(found.groupBy("hash", "inner", "passage", *NAMES).agg(*ends))
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # many blocks share a shard; a block whose passages outgrow an index has shards of its own, one for each pair of its groups
-    sizes = merged.groupBy("hash").agg(F.sum(F.length("passage") + 1).alias("chars"), F.count("*").alias("m")).where("m > 1")
-    total = sizes.agg(F.sum("chars")).first()[0] or 0
+    group = merged.withColumn("key", F.col("hash")).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    wide = least - BLOCK
+    ready, whole = [], []
+    while True:
+        # a block that other documents don't hold can share nothing
+        sizes = group.groupBy("key").agg(F.sum(F.length("passage") + 1).alias("chars"), F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select("key", "chars")
+        group = cut(group.join(sizes, "key"))
+        ready.append(group.where(F.col("chars") <= INDEX_CHARS))
+        large = group.where(F.col("chars") > INDEX_CHARS).drop("chars")
+        # all passages of a group that agree in `least` characters share these
+        whole.append(large.where(F.col("i") + F.col("j") >= wide).select(*NAMES, (F.col("inner") - F.col("i")).alias("start"), (F.col("inner") + BLOCK + F.col("j")).alias("end")))
+        large = large.where(F.col("i") + F.col("j") < wide)
+        if large.isEmpty():
+            break
+        # a run of `least` characters round the block goes on for half of what is missing on the left, or on the right
+        half = F.ceil((wide - F.col("i") - F.col("j")) / 2).cast("int")
+        more = F.explode(F.array(F.struct((F.col("i") + half).alias("i"), F.col("j")), F.struct(F.col("i"), (F.col("j") + half).alias("j")))).alias("more")
+        group = large.select("hash", "inner", "passage", *NAMES, "low", "high", more).select("*", "more.i", "more.j").drop("more")
+        group = group.where((F.col("inner") >= F.col("i")) & (F.col("inner") + BLOCK + F.col("j") <= F.length("passage"))).dropDuplicates([*NAMES, "i", "j"])
+        around = F.substring(F.col("passage"), F.col("inner") - F.col("i") + 1, F.col("i") + F.col("j") + BLOCK)
+        group = group.withColumn("key", F.xxhash64("hash", "i", "j", around))
+    several = reduce(DataFrame.unionByName, ready)
+    total = several.agg(F.sum(F.length("passage") + 1)).first()[0] or 0
     shards = max(parts, int(total // INDEX_CHARS) + 1)
-    cells = F.ceil(F.col("chars") / (INDEX_CHARS / 2)).cast("int")
-    sized = merged.join(sizes.select("hash", cells.alias("cells")), "hash")
-    body = ["passage", "inner", "low", "high", "passage_id"]
-    one = sized.where("cells <= 1").select(F.pmod("hash", F.lit(shards)).alias("shard"), F.lit(-1).alias("x"), F.lit(-1).alias("y"), *body)
-    own = F.pmod(F.xxhash64("passage_id"), F.col("cells")).cast("int")
-    many = sized.where("cells > 1").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    many = many.select(F.col("hash").alias("shard"), F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), *body)
-    searched = one.unionByName(many).groupBy("shard", "x", "y").applyInPandas(_search(least), "passage_id long, start int, end int")
-    # a passage that two documents have is shared as a whole
-    whole = merged.where("low <> high").select("passage_id", F.lit(0).alias("start"), F.length("passage").alias("end")).where(F.col("end") >= least)
-    spans = searched.unionByName(whole).groupBy("passage_id", "start").agg(F.max("end").alias("end"))
-    back = found.select("doc_id", "at", name.alias("passage_id")).join(spans, "passage_id")
+    body = several.select(F.pmod("key", F.lit(shards)).alias("shard"), "passage", "inner", "low", "high", *NAMES)
+    searched = body.repartition(3 * shards, "shard").groupBy("shard").applyInPandas(_search(least), "name long, name2 long, start int, end int")
+    spans = reduce(DataFrame.unionByName, whole, searched).groupBy(*NAMES, "start").agg(F.max("end").alias("end"))
+    back = found.select("doc_id", "at", *NAMES).join(spans, list(NAMES))
     return back.select("doc_id", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end")).distinct()
 
 

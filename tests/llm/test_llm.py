@@ -72,7 +72,9 @@ def test_ties_and_splits(spark):
     assert components.split_related(reviews(spark, []), {"train": 70, "test": 30}).count() == 0
 
 
-def test_closest_subset_is_optimal():
+@pytest.mark.parametrize("window", [1 << 20, 4])
+def test_closest_subset_is_optimal(monkeypatch, window):
+    monkeypatch.setattr(components, "WINDOW", window)
     rng = random.Random(1)
     for _ in range(200):
         sizes = {rng.randint(1, 30): rng.randint(1, 4) for _ in range(rng.randint(1, 5))}
@@ -86,6 +88,24 @@ def test_closest_subset_is_optimal():
         assert abs(sum(s * n for s, n in taken.items()) - wanted) == min(abs(r - wanted) for r in reach)
 
 
+def test_closest_subset_of_many_sizes():
+    taken = components.closest_subset({s: 1 for s in range(1, 12_001)}, 7_200_600)
+    assert sum(s * n for s, n in taken.items()) == 7_200_600 and max(taken.values()) == 1
+
+
+def test_ties_come_from_the_components(spark, monkeypatch):
+    rows = [(i, f"e{i}", "one two three four", 1) for i in range(9)] + [(20, "x", "five six seven eight", 1), (21, "y", "five six seven eight", 1)]
+    rows += [(30, "e8", "and another shared text", 1), (31, "f", "and another shared text", 1)]
+    x = reviews(spark, rows)
+    monkeypatch.setattr(components, "CLASS", 2)
+    want = {(f"e{i}", f"e{j}") for i in range(9) for j in range(i + 1, 9)} | {("x", "y"), ("e8", "f")}
+    assert {tuple(r) for r in components.ties(x).collect()} == want
+    assert {(r["component"], r["members"], r["links"]) for r in components.tie_classes(x).collect()} == {("e0", 9, 36), ("x", 2, 1), ("e0", 2, 1)}
+    found = components.components
+    monkeypatch.setattr(components, "components", lambda edges: found(edges).withColumn("root", F.col("node")))
+    assert components.ties(x).count() == 0
+
+
 # ---- 2
 
 
@@ -96,9 +116,10 @@ def cap_rows(spark, n=200):
     return spark.createDataFrame(rows, "row_ord long, domain string, entity_id string, text string, rating double, extra string")
 
 
-@pytest.mark.parametrize("heap", [50_000, 3])
-def test_caps_keep_the_best(spark, monkeypatch, heap):
-    monkeypatch.setattr(caps, "HEAP", heap)
+@pytest.mark.parametrize(("gather", "ranges"), [(500_000, 1 << 16), (3, 2)])
+def test_caps_keep_the_best(spark, monkeypatch, gather, ranges):
+    monkeypatch.setattr(caps, "GATHER", gather)
+    monkeypatch.setattr(caps, "RANGES", ranges)
     x = cap_rows(spark)
     limits = spark.createDataFrame([("hotel", 10)], "domain string, max_pct long")
     assert [(r["domain"], r["entity_key"]) for r in caps.over_cap(x, limits).collect()] == [("hotel", "big one")]
@@ -114,6 +135,12 @@ def test_caps_keep_the_best(spark, monkeypatch, heap):
     assert caps.cap_contributors(x, limits.where("false")).count() == x.count()
 
 
+def test_found_is_what_heaps_left_out(spark, monkeypatch):
+    limits = spark.createDataFrame([("hotel", 10)], "domain string, max_pct long")
+    monkeypatch.setattr(caps, "_best", lambda batches: (b.iloc[:0] for b in batches))
+    assert caps.over_cap(cap_rows(spark), limits).count() == 0
+
+
 # ---- 3
 
 
@@ -133,6 +160,17 @@ def test_balanced_sample(spark):
     assert none.count() == 0 and all(r["unmet"] for r in empty.collect())
 
 
+def test_unmet_cells_come_from_the_draw(spark, monkeypatch):
+    x = spark.createDataFrame([(i, "hotel", "pos" if i % 10 else "neg") for i in range(1000)], "row_ord long, domain string, sentiment_label string")
+    targets = spark.createDataFrame([("hotel", "positive", 50, 10), ("hotel", "negative", 50, 200)], "domain string, sentiment_label string, target_pct long, min_rows long")
+    first = sampling.balanced_sample(x, targets)
+    assert [r["sentiment_label"] for r in first[1].where("unmet").collect()] == ["negative"]
+    again = sampling.balanced_sample(x.repartition(5), targets)
+    assert {r[0] for r in first[0].select("row_ord").collect()} == {r[0] for r in again[0].select("row_ord").collect()}
+    monkeypatch.setattr(sampling, "_fly", lambda seed, last: lambda key, part: part.assign(p=0.0))
+    assert sampling.balanced_sample(x, targets)[1].where("unmet").count() == 0
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(2)
     p = rng.uniform(0.1, 0.9, 300)
