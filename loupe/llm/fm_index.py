@@ -13,28 +13,32 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n == 0:
         return np.empty(0, np.int64)
-    # the first sorting takes as many symbols at once as fit into 62 bits
+    # a sorted key carries its place in its lowest bits, where all fits into 63 bits: sorting is faster than sorting places by key
+    place = n.bit_length()
+    carried = 3 * place <= 63
+    index = np.arange(n)
     width = max(1, int(text.max()).bit_length())
-    k = max(1, 62 // width)
+    # the first sorting takes as many symbols at once as there is room for
+    k = max(1, ((63 - place) if carried else 62) // width)
     padded = np.r_[text.astype(np.int64), np.zeros(k, np.int64)]
-    packed = np.zeros(n, np.int64)
+    key = np.zeros(n, np.int64)
     for j in range(k):
-        packed = (packed << width) | padded[j : j + n]
-    order = np.argsort(packed)
-    sorted_key = packed[order]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.r_[0, np.cumsum(sorted_key[1:] != sorted_key[:-1])]
+        key = (key << width) | padded[j : j + n]
     while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - k)] = rank[k:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key)
-        sorted_key = key[order]
+        if carried:
+            packed = np.sort((key << place) | index)
+            order, sorted_key = packed & ((1 << place) - 1), packed >> place
+        else:
+            order = np.argsort(key)
+            sorted_key = key[order]
         fresh = np.r_[0, np.cumsum(sorted_key[1:] != sorted_key[:-1])]
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
         if fresh[-1] == n - 1 or k >= n:
             return order
+        rank = np.empty(n, np.int64)
+        rank[order] = fresh
+        second = np.zeros(n, np.int64)
+        second[: max(0, n - k)] = rank[k:] + 1
+        key = rank * (n + 1) + second if not carried else (rank << place) | second
         k *= 2
 
 
@@ -61,21 +65,48 @@ class WaveletMatrix:
         self.zeros: list[int] = []
         s = symbols.astype(np.int64)
         for level in range(levels - 1, -1, -1):
-            b = (s >> level) & 1
+            b = ((s >> level) & 1).astype(bool)
             self.bits.append(Bits(b))
-            self.zeros.append(int((b == 0).sum()))
-            s = np.concatenate([s[b == 0], s[b == 1]])
+            self.zeros.append(int(len(b) - b.sum()))
+            s = np.concatenate([s[~b], s[b]])
+        # where each symbol's places begin below the last level
+        every = np.arange(1 << levels)
+        self.begin = self._down(every, np.zeros(len(every), np.int64))
+
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for i in range(self.levels):
+            ones = self.bits[i].ones(at)
+            at = np.where((symbol >> (self.levels - 1 - i)) & 1, self.zeros[i] + ones, at - ones)
+        return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often symbol[i] occurs before position at[i]."""
-        n = len(at)
-        both = np.concatenate([np.zeros(n, np.int64), at.astype(np.int64)])
-        symbol = np.concatenate([symbol, symbol])
-        for i in range(self.levels):
-            bit = (symbol >> (self.levels - 1 - i)) & 1
-            ones = self.bits[i].ones(both)
-            both = np.where(bit == 1, self.zeros[i] + ones, both - ones)
-        return both[n:] - both[:n]
+        return self._down(symbol, at.astype(np.int64)) - self.begin[symbol]
+
+
+class ShapedWavelet:
+    """A wavelet tree with short codes for frequent symbols: the rest have one code in the first matrix, and a matrix of their own."""
+
+    def __init__(self, symbols: np.ndarray, alphabet: int, levels: int = 6):
+        counts = np.bincount(symbols, minlength=alphabet + 1)
+        frequent = np.argsort(-counts, kind="stable")[: (1 << levels) - 1]
+        self.escape = (1 << levels) - 1
+        self.code = np.full(len(counts), self.escape)
+        self.code[frequent] = np.arange(len(frequent))
+        coded = self.code[symbols]
+        self.first = WaveletMatrix(coded, levels)
+        rest = symbols[coded == self.escape]
+        self.second = WaveletMatrix(rest, max(1, int(alphabet).bit_length())) if len(rest) else None
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often symbol[i] occurs before position at[i]."""
+        code = self.code[symbol]
+        out = self.first.rank(code, at)
+        if self.second is not None:
+            rare = np.flatnonzero(code == self.escape)
+            if len(rare):
+                out[rare] = self.second.rank(symbol[rare], out[rare])
+        return out
 
 
 class FMIndex:
@@ -87,7 +118,7 @@ class FMIndex:
         sa = suffix_array(text)
         self.suffix: np.ndarray | None = sa
         self.n = len(text)
-        self.wave = WaveletMatrix(text[sa - 1], max(1, int(alphabet).bit_length()))
+        self.wave = ShapedWavelet(text[sa - 1], alphabet)
         self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=alphabet + 1))][: alphabet + 1]
 
     def compress(self) -> None:

@@ -197,7 +197,8 @@ def _search(least: int):
         while len(rows):
             # the greatest end up to which the text from `target` is shared: first the greatest possible one, then by halves
             end = np.full(len(rows), -1)
-            found = reach(rows, most_end, target) <= target
+            start = reach(rows, most_end, np.zeros(len(rows), np.int64))
+            found = start <= target
             end[found] = most_end[found]
             todo = np.flatnonzero(~found)
             a, b = least_end[todo], most_end[todo] - 1
@@ -208,9 +209,9 @@ def _search(least: int):
                 fits = reach(rows[todo], middle, target[todo]) <= target[todo]
                 a, b = np.where(fits, middle, a), np.where(fits, b, middle - 1)
             end[todo] = a
+            start[todo] = reach(rows[todo], a, np.zeros(len(todo), np.int64))
             on = end >= 0
-            rows, target, end, least_end = rows[on], target[on], end[on], least_end[on]
-            start = reach(rows, end, np.zeros(len(rows), np.int64))
+            rows, target, end, start, least_end = rows[on], target[on], end[on], start[on], least_end[on]
             long = end - start >= least
             out += list(zip(rows[long].tolist(), start[long].tolist(), end[long].tolist()))
             # another document may go further to the left with an earlier end
