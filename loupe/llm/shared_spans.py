@@ -151,6 +151,22 @@ def _passages(docs: DataFrame, least: int, table: np.ndarray) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, hash long, at int, inner int, passage string")
 
 
+class Marked:
+    """An index with the passage, and so the documents, of each suffix. low, high: two documents of each passage."""
+
+    def __init__(self, flat: np.ndarray, of: np.ndarray, alphabet: int, low: np.ndarray, high: np.ndarray):
+        self.index = FMIndex(flat, alphabet)
+        owner = np.r_[of, of[-1]][self.index.suffix]
+        # a range of suffixes belongs to more than one document if neighbours differ in it or a passage in it has two documents
+        self.differ = Bits(np.r_[False, low[owner][1:] != low[owner][:-1]])
+        self.double = Bits(low[owner] != high[owner])
+        self.index.compress()
+
+    def shared(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        there = np.maximum(hi, lo + 1)
+        return (hi > lo) & ((self.differ.ones(there) > self.differ.ones(lo + 1)) | (self.double.ones(there) > self.double.ones(lo)))
+
+
 def _search(least: int):
     """All passages of a group against the group's index; (name, name2, start, end) of shared intervals within the passages."""
 
@@ -163,59 +179,39 @@ def _search(least: int):
         starts = np.cumsum(lengths + 1) - lengths - 1
         flat = np.ones(int(lengths.sum()) + len(g), np.int64)
         flat[np.arange(len(every)) + np.repeat(np.arange(len(g)), lengths)] = every + 2
-        index = FMIndex(flat, len(known) + 1)
         low, high = g["low"].to_numpy(np.int64), g["high"].to_numpy(np.int64)
-        owner = np.r_[np.repeat(np.arange(len(g)), lengths + 1), len(g) - 1][index.suffix]
-        # a range of suffixes belongs to more than one document if neighbours differ in it or a passage in it has two documents
-        differ = Bits(np.r_[False, low[owner][1:] != low[owner][:-1]])
-        double = Bits(low[owner] != high[owner])
-        index.compress()
-        del owner
-
-        def shared(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-            there = np.maximum(hi, lo + 1)
-            return (hi > lo) & ((differ.ones(there) > differ.ones(lo + 1)) | (double.ones(there) > double.ones(lo)))
-
-        def reach(rows: np.ndarray, ends: np.ndarray, stop: np.ndarray) -> np.ndarray:
-            """The least start, not below stop, from which the text up to `ends` occurs in another document."""
-            at = ends.copy()
-            lo, hi = np.zeros(len(rows), np.int64), np.full(len(rows), index.n, np.int64)
-            live = np.flatnonzero(at > stop)
+        of = np.repeat(np.arange(len(g)), lengths + 1)
+        left, right = Marked(flat, of, len(known) + 1, low, high), Marked(flat[::-1], of[::-1], len(known) + 1, low, high)
+
+        def reach(rows: np.ndarray, begin: np.ndarray, stop: np.ndarray, by: int) -> np.ndarray:
+            """How far, not beyond stop, the text from `begin` on occurs in another document too: to the left (by = -1) or to the right (by = 1)."""
+            side = left if by < 0 else right
+            at = begin.copy()
+            lo, hi = np.zeros(len(rows), np.int64), np.full(len(rows), side.index.n, np.int64)
+            live = np.flatnonzero(at != stop)
             while len(live):
-                new_lo, new_hi = index.step(flat[starts[rows[live]] + at[live] - 1], lo[live], hi[live])
-                good = shared(new_lo, new_hi)
-                live = live[good]
-                lo[live], hi[live] = new_lo[good], new_hi[good]
-                at[live] -= 1
-                live = live[at[live] > stop[live]]
+                new_lo, new_hi = side.index.step(flat[starts[rows[live]] + at[live] - (by < 0)], lo[live], hi[live])
+                good = side.shared(new_lo, new_hi)
+                live, new_lo, new_hi = live[good], new_lo[good], new_hi[good]
+                lo[live], hi[live] = new_lo, new_hi
+                at[live] += by
+                live = live[at[live] != stop[live]]
             return at
 
         out = []
         rows = np.arange(len(g))
-        target = g["inner"].to_numpy(np.int64)[rows]
-        least_end, most_end = target + BLOCK, lengths[rows].copy()
+        target = g["inner"].to_numpy(np.int64)
+        least_end, most_end = target + BLOCK, lengths.copy()
         while len(rows):
-            # the greatest end up to which the text from `target` is shared: first the greatest possible one, then by halves
-            end = np.full(len(rows), -1)
-            start = reach(rows, most_end, np.zeros(len(rows), np.int64))
-            found = start <= target
-            end[found] = most_end[found]
-            todo = np.flatnonzero(~found)
-            a, b = least_end[todo], most_end[todo] - 1
-            ok = (reach(rows[todo], a, target[todo]) <= target[todo]) & (a <= b)
-            todo, a, b = todo[ok], a[ok], b[ok]
-            while len(todo) and (a < b).any():
-                middle = (a + b + 1) // 2
-                fits = reach(rows[todo], middle, target[todo]) <= target[todo]
-                a, b = np.where(fits, middle, a), np.where(fits, b, middle - 1)
-            end[todo] = a
-            start[todo] = reach(rows[todo], a, np.zeros(len(todo), np.int64))
-            on = end >= 0
-            rows, target, end, start, least_end = rows[on], target[on], end[on], start[on], least_end[on]
+            # the greatest end up to which the text from `target` is shared, then the least start of what is shared up to there
+            end = reach(rows, target, most_end, 1)
+            on = end >= least_end
+            rows, target, end, least_end = rows[on], target[on], end[on], least_end[on]
+            start = reach(rows, end, np.zeros(len(rows), np.int64), -1)
             long = end - start >= least
             out += list(zip(rows[long].tolist(), start[long].tolist(), end[long].tolist()))
             # another document may go further to the left with an earlier end
-            on = (start > 0) & (end - 1 >= np.maximum(least_end, start - 1 + BLOCK))
+            on = (start > 0) & (end - 1 >= least_end)
             rows, target, most_end, least_end = rows[on], start[on] - 1, end[on] - 1, least_end[on]
         found = np.array(out, np.int64).reshape(-1, 3)
         names = {c: g[c].to_numpy(np.int64)[found[:, 0]] for c in NAMES}
