@@ -19,17 +19,19 @@ WEEKDAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
 _HALF = r"(?:\s?([AaPp])\.?[Mm]\.?)?"
-_ZONE = r"(?:\s?(Z|z|[+-]\d{2}:?\d{2}|[A-Za-z][A-Za-z_]*(?:/[A-Za-z0-9_+-]+)*))?"
+_ZONE = r"(?:\s?(Z|z|[+-]\d{2}(?::?\d{2})?|[A-Za-z][A-Za-z_]*(?:/[A-Za-z0-9_+-]+)*))?"
 #: (name, pattern, the parts year, month, day, hour, minute, second, fraction, half of the day, zone, weekday by group number)
 CASCADE: list[tuple[str, str, tuple[int, ...]]] = [
     ("iso", rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})(?:[Tt ]{_CLOCK}{_ZONE})?$", (1, 2, 3, 4, 5, 6, 7, 0, 8, 0)),
     ("basic", rf"^(\d{{4}})(\d{{2}})(\d{{2}})T(\d{{2}})(\d{{2}})(\d{{2}})?{_ZONE}$", (1, 2, 3, 4, 5, 6, 0, 0, 7, 0)),
+    ("year first", rf"^(\d{{4}})/(\d{{2}})/(\d{{2}})(?:,? {_CLOCK}{_HALF}{_ZONE})?$", (1, 2, 3, 4, 5, 6, 7, 8, 9, 0)),
     ("dotted", rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})(?: {_CLOCK}{_HALF}{_ZONE})?$", (3, 2, 1, 4, 5, 6, 7, 8, 9, 0)),
     ("slashed", rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?:,? {_CLOCK}{_HALF}{_ZONE})?$", (3, 1, 2, 4, 5, 6, 7, 8, 9, 0)),
     ("mail", rf"^(?:([A-Za-z]{{3}}), )?(\d{{1,2}}) ([A-Za-z]{{3,9}})\.? (\d{{4}})(?: {_CLOCK}{_HALF}{_ZONE})?$", (4, 3, 2, 5, 6, 7, 8, 9, 10, 1)),
     ("prose", rf"^([A-Za-z]{{3,9}})\.? (\d{{1,2}}), (\d{{4}})(?:,? {_CLOCK}{_HALF}{_ZONE})?$", (3, 1, 2, 4, 5, 6, 7, 8, 9, 0)),
 ]
-EPOCH = r"^\d{9,11}$|^\d{13}$|^\d{16}$"
+#: Seconds, milliseconds or microseconds, by the number of digits; before 1970 with a minus.
+EPOCH = r"^-?\d{9,11}$|^-?\d{12,13}$|^-?\d{15,16}$"
 RELATIVE = r"(?i)^(edited\s+)?((an?|\d+)\s+\w+\s+ago|today|yesterday|just now|last \w+)$"
 PARTIAL = r"(?i)^([a-z]{3,9}\.? \d{4}|\d{4}|\d{4}-\d{2}|\d{1,2}:\d{2}(:\d{2})?|\d{1,2} [a-z]{3,9})$"
 _PARTS = ("year", "month", "day", "hour", "minute", "second", "fraction", "half", "zone", "weekday")
@@ -46,6 +48,10 @@ def _bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def _digits(c: Column) -> Column:
+    return F.length(F.replace(c, F.lit("-"), F.lit("")))
+
+
 def _number(c: Column) -> Column:
     return F.when(c == "", F.lit(0)).otherwise(c.try_cast("int"))
 
@@ -81,6 +87,7 @@ def normalise_timestamps(
 
     Status: ok, missing (null or blank), relative, partial, impossible (fits a pattern but not the calendar, clock or zone
     list), unknown_format, no_order (slashed, source without order), no_zone (no zone in value or source), ambiguous, nonexistent.
+    Digits of a second beyond microseconds are cut.
     ambiguous: reject, earlier or later of both instants. nonexistent: reject, or forward (the offset before the gap holds).
     Null values or sources never fail; ties and repeated rows each keep their own row; an empty table stays empty.
     """
@@ -126,14 +133,14 @@ def normalise_timestamps(
             "__zone": F.when(part["zone"] == "", F.col("__default_zone")).otherwise(part["zone"]),
             "__epoch": F.when(
                 F.col("__v").rlike(EPOCH),
-                F.col("__v").try_cast("long") * F.when(F.length("__v") == 16, 1).when(F.length("__v") == 13, 1_000).otherwise(1_000_000),
+                F.col("__v").try_cast("long") * F.when(_digits(F.col("__v")) >= 15, 1).when(_digits(F.col("__v")) >= 12, 1_000).otherwise(1_000_000),
             ),
         },
     )
     weekday_fits = (part["weekday"] == "") | (F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), F.lower(part["weekday"])) == F.weekday("__date") + 1)
-    offset_form = F.col("__zone").rlike(r"^[+-]\d{4}$|^[+-]\d{2}:\d{2}$")
+    offset_form = F.col("__zone").rlike(r"^[+-]\d{2}(:?\d{2})?$")
     digits = F.regexp_replace("__zone", ":", "")
-    hours, minutes = F.substring(digits, 2, 2).try_cast("long"), F.substring(digits, 4, 2).try_cast("long")
+    hours, minutes = F.substring(digits, 2, 2).try_cast("long"), F.when(F.length(digits) == 3, F.lit(0).cast("long")).otherwise(F.substring(digits, 4, 2).try_cast("long"))
     fixed = F.when(
         offset_form & (hours <= 18) & (minutes < 60),
         F.when(F.startswith(digits, F.lit("-")), F.lit(-1)).otherwise(F.lit(1)) * (hours * 60 + minutes) * 60_000_000,

@@ -28,3 +28,25 @@ def top_evidence(queries: DataFrame, corpus: DataFrame, group: str, k: int = 3,
     # of equal hashes the best counts
     once = fit.withColumn("again", F.row_number().over(Window.partitionBy("q_id", "c_hash").orderBy(F.desc("score"), "c_id"))).where("again = 1")
     return once.withColumn("rank", by(F.desc("score"), "c_id")).where(F.col("rank") <= k).select("q_id", "c_id", "score", "rank")
+
+
+def ranked_evidence(queries: DataFrame, corpus: DataFrame, issues: DataFrame, group: str, k: int = 3, pool: int = 80, least: float = 0.30, weight: float = 0.10) -> DataFrame:
+    """The k best corpus rows of the same group, ranked by the review's likeness and, with `weight`, by that of its issue.
+
+    queries: q_id, group, label, hash, entity, vec. corpus: c_id, group, hash, entity, vec. issues: group, issue_vec, a row per group. The pool is
+    taken by the review's likeness alone. Never itself, an equal hash or the same entity; of equal hashes the best counts.
+    """
+    pairs = queries.join(corpus.withColumnsRenamed({"vec": "c_vec", "hash": "c_hash", "entity": "c_entity"}), group).join(F.broadcast(issues), group)
+    own, with_issue = dot(F.col("vec"), F.col("c_vec")), dot(F.col("c_vec"), F.col("issue_vec"))
+    x = pairs.select("q_id", "c_id", "label", "hash", "c_hash", "entity", "c_entity", F.round(own, 4).alias("own"), F.round((1 - weight) * own + weight * with_issue, 4).alias("score"))
+    by = lambda keys, *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    pooled = x.withColumn("place", by(["q_id"], F.desc("own"), "c_id")).where(F.col("place") <= pool)
+    fit = pooled.where((F.col("c_id") != F.col("q_id")) & (F.col("hash") != F.col("c_hash")) & (F.col("entity") != F.col("c_entity")) & (F.col("score") >= least))
+    once = fit.withColumn("again", by(["q_id", "c_hash"], F.desc("score"), "c_id")).where("again = 1")
+    return once.withColumn("rank", by(["q_id"], F.desc("score"), "c_id")).where(F.col("rank") <= k).select("q_id", "label", "c_id", "c_hash", "score", "own", "rank")
+
+
+def bucketed(evidence: DataFrame, key: str, most: int) -> DataFrame:
+    """Of each key the first `most` pieces of evidence with different hashes, in the order of query and rank; the place in the bucket is added."""
+    first = evidence.groupBy(key, "c_hash").agg(F.min(F.struct("q_id", "rank", "c_id")).alias("r")).select(key, "c_hash", "r.*")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("q_id", "rank"))).where(F.col("place") <= most)

@@ -44,23 +44,58 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("label", "n", F.round(F.col("total") / (F.col("k") * F.col("n")), 6).alias("weight"))
 
 
-def precision_recall(df: DataFrame, actual: str, predicted: str, labels: list[str]) -> DataFrame:
-    """Support, precision, recall and F1 of each label, from one aggregation of counts."""
+def _label_scores(df: DataFrame, actual: str, predicted: str, labels: list) -> DataFrame:
+    """(label, tp, support, called, precision, recall, f1) from one aggregation of counts."""
     counts = df.agg(
         *[F.count_if((F.col(actual) == v) & (F.col(predicted) == v)).alias(f"tp_{i}") for i, v in enumerate(labels)],
         *[F.count_if(F.col(actual) == v).alias(f"a_{i}") for i, v in enumerate(labels)],
         *[F.count_if(F.col(predicted) == v).alias(f"p_{i}") for i, v in enumerate(labels)],
     )
     rows = F.explode(F.array(*[F.struct(F.lit(v).alias("label"), F.col(f"tp_{i}").alias("tp"), F.col(f"a_{i}").alias("support"), F.col(f"p_{i}").alias("called")) for i, v in enumerate(labels)]))
-    x = counts.select(rows.alias("r")).select("r.*")
     part = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
-    x = x.withColumns({"precision": part(F.col("tp"), F.col("called")), "recall": part(F.col("tp"), F.col("support"))})
-    f1 = part(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    return x.select("label", "support", F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"), F.round(f1, 4).alias("f1"))
+    x = counts.select(rows.alias("r")).select("r.*")
+    return x.withColumns({"precision": part(F.col("tp"), F.col("called")), "recall": part(F.col("tp"), F.col("support")), "f1": part(2 * F.col("tp"), F.col("called") + F.col("support"))})
+
+
+def precision_recall(df: DataFrame, actual: str, predicted: str, labels: list) -> DataFrame:
+    """Support, precision, recall and F1 of each label."""
+    x = _label_scores(df, actual, predicted, labels)
+    return x.select("label", "support", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def overall(df: DataFrame, actual: str, predicted: str, labels: list) -> DataFrame:
+    """Accuracy, and the means of precision, recall and F1 over the labels, plain and weighted by support; macro_rounded_f1 is that of rounded values."""
+    x = _label_scores(df, actual, predicted, labels)
+    n = F.sum("support")
+    macro = [F.round(F.avg(c), 4).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
+    weighted = [F.round(F.sum(F.col(c) * F.col("support")) / n, 4).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")]
+    return x.agg(n.alias("n"), F.round(F.sum("tp") / n, 4).alias("accuracy"), *macro, F.round(F.avg(F.round("f1", 4)), 4).alias("macro_rounded_f1"), *weighted)
+
+
+def whole_star(rating: Column) -> Column:
+    """1 to 5, half to even."""
+    return F.bround(F.least(F.lit(5.0), F.greatest(F.lit(1.0), rating))).cast("int")
 
 
 def star_agreement(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """Whole stars against each other: the overall scores, and how far apart they are."""
     gap = F.abs(F.col(actual) - F.col(predicted))
-    return df.where(gap.isNotNull()).agg(
-        F.count("*").alias("n"), F.round(F.avg((gap == 0).cast("double")), 4).alias("exact"), F.round(F.avg((gap <= 1).cast("double")), 4).alias("within_one"), F.round(F.avg(gap), 4).alias("mae"), F.round(F.avg((gap >= 3).cast("double")), 4).alias("severe")
-    )
+    rate = lambda c: F.round(F.avg(c.cast("double")), 4)
+    apart = df.agg(rate(gap <= 1).alias("within_one"), F.round(F.avg(gap), 4).alias("mae"), rate(gap >= 3).alias("severe"), rate(gap == 4).alias("four_stars"))
+    # one row each
+    return apart.crossJoin(F.broadcast(overall(df, actual, predicted, [1, 2, 3, 4, 5])))
+
+
+def means(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    return df.groupBy(key).agg(*[F.round(F.avg(c), 2).alias(c) for c in columns])
+
+
+def by_scale(counts: DataFrame, column: str, scale: list[str]) -> DataFrame:
+    """A small table with its place on a scale; values that the scale doesn't have come last."""
+    at = F.coalesce(F.array_position(F.array(*[F.lit(v) for v in scale]), F.col(column)), F.lit(0))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.when(at == 0, len(scale) + 1).otherwise(at), column)))
+
+
+def top_items(counts: DataFrame, label: str, n: str, most: int, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """The labels with the greatest numbers above zero, without those excluded in any case; ties by label."""
+    return counts.where(~F.lower(label).isin(*exclude) & (F.col(n) > 0)).orderBy(F.desc(n), label).limit(most)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loupe.functions import text as X
 from loupe.operators import dedup, issues, retrieval, sampling, standardise, summaries
+from loupe.operators.taxonomy import ROWS as TAXONOMY
 from loupe.session import table
 
 QUERIES: dict = {}
@@ -67,10 +68,26 @@ def q_label(x: str) -> str:
     return f"CASE WHEN {x} IS NULL THEN 'neutral' WHEN {x} <= 2 THEN 'negative' WHEN {x} < 4 THEN 'neutral' ELSE 'positive' END"
 
 
+def q_alias(x: str, aliases: dict[str, str]) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in aliases.items()) + " END"
+
+
 def q_domain(x: str) -> str:
-    d = f"regexp_replace(lower({q_squeeze(x)}), '[- ]+', '_', 'g')"
-    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in (X.DOMAIN_ALIASES | {d: d for d in X.DOMAINS}).items())
-    return f"CASE {d} {cases} END"
+    d = f"replace(lower({q_squeeze(x)}), '-', '_')"
+    named = f"coalesce({q_alias(d, X.DOMAIN_ALIASES)}, replace({d}, ' ', '_'))"
+    return f"CASE WHEN {named} IN {X.DOMAINS} THEN {named} END"
+
+
+def q_upload_domain(x: str) -> str:
+    d = f"lower(trim(coalesce({x}, '')))"
+    named = f"coalesce({q_alias(d, X.UPLOAD_ALIASES)}, {d})"
+    return f"CASE WHEN {named} IN {X.DOMAINS} THEN {named} END"
+
+
+def q_says(x: str, placeholders: tuple[str, ...]) -> str:
+    """The placeholders stand here as the rule has them, and are cleaned as the text is."""
+    t = q_clean(q_markup(x))
+    return f"({t} <> '' AND {t} NOT IN {placeholders})"
 
 
 def q_known_label(x: str) -> str:
@@ -122,7 +139,35 @@ text_query("num_round_half_up", lambda: X.half_up(X.safe_rating(F.col("rating_or
 text_query("num_round_half_even", lambda: F.bround(X.safe_rating(F.col("rating_original"))).cast("int"), f"CAST(round_even({q_safe('rating_original')}, 0) AS INTEGER)")
 text_query("lbl_rating", lambda: X.rating_label(X.number(F.col("rating_original"))), q_label(q_number("rating_original")))
 text_query("lbl_rating_strict", lambda: X.strict_rating_label(F.col("rating")), "CASE WHEN rating <= 2 THEN 'negative' WHEN rating = 3 THEN 'neutral' WHEN rating >= 4 THEN 'positive' END")
-text_query("txt_segments", lambda: F.size(F.filter(F.split(X.clean_text(T()), r" (?:but|however|although|though|yet|except|while|whereas) "), lambda x: F.contains(x, F.lit(" ")))), f"CAST(len(list_filter(regexp_split_to_array({q_clean('review_text')}, ' (?:but|however|although|though|yet|except|while|whereas) '), lambda x: contains(x, ' '))) AS INTEGER)")
+_EDGE = "[^\\p{L}\\p{N}_]"
+
+
+def q_sentences(x: str) -> str:
+    lines = f"regexp_replace(regexp_replace(coalesce({x}, ''), '[\\n\\r]+', chr(10), 'g'), '([.!?])[\\s\\x0B\\p{{Z}}]+', '\\1' || chr(10), 'g')"
+    return f"list_filter(list_transform(string_split({lines}, chr(10)), lambda x: {q_squeeze('x')}), lambda x: x <> '')"
+
+
+def q_clauses(x: str) -> str:
+    once = lambda t: f"regexp_replace({t}, '(?i)({_EDGE}|^)(?:{X.CONTRASTS})({_EDGE}|$)', '\\1' || chr(10) || '\\2', 'g')"
+    marked = f"regexp_replace({x}, '[,;:]', chr(10), 'g')"
+    return f"string_split({once(once(marked))}, chr(10))"
+
+
+def q_segments(x: str) -> str:
+    trim = lambda t: f"trim({q_squeeze(t)}, ' -–—,;:')"
+    parts = f"flatten(list_transform({q_sentences(x)}, lambda s: list_concat([s], {q_clauses('s')})))"
+    every = f"list_concat([{trim(x)}], list_filter(list_transform({parts}, lambda p: {trim('p')}), lambda p: contains(p, ' ')))"
+    return f"list_filter({every}, lambda p, i: list_position(list_transform({every}, lambda q: lower(q)), lower(p)) = i)[1:8]"
+
+
+text_query("txt_segments", lambda: F.array_join(X.segments(T()), " | "), f"array_to_string({q_segments('review_text')}, ' | ')")
+text_query("txt_sentences", lambda: F.array_join(X.sentences(T()), " | "), f"array_to_string({q_sentences('review_text')}, ' | ')")
+text_query("txt_contrast_split", lambda: F.array_join(F.filter(F.transform(X.clauses(X.squeeze(T())), X.squeeze), lambda x: x != ""), " | "),
+           f"array_to_string(list_filter(list_transform({q_clauses(q_squeeze('review_text'))}, lambda x: {q_squeeze('x')}), lambda x: x <> ''), ' | ')")
+text_query("txt_title_label", lambda: X.title_label(X.known_domain(F.col("domain"))), f"array_to_string(list_transform(string_split(replace(coalesce({q_domain('domain')}, ''), '_', ' '), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ')")
+text_query("txt_name_match", lambda: X.name_match(F.col("entity_name"), F.col("entity_id")), """round((SELECT CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN greatest(0.82, least(length(a), length(b)) / greatest(length(a), length(b)))
+    ELSE 2.0 * len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / (len(list_distinct(string_split(a, ' '))) + len(list_distinct(string_split(b, ' ')))) END
+    FROM (SELECT %s AS a, %s AS b)), 4)""" % tuple(q_squeeze(f"regexp_replace(lower({q_squeeze(c)}), '[^\\p{{L}}\\p{{N}}_\\s\\x0B]', ' ', 'g')") for c in ("entity_name", "entity_id")))
 
 
 @query("txt_norm_sentiment", f"SELECT row_ord, {q_known_label('sentiment_label')} AS value FROM {CANON}")
@@ -137,7 +182,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 # ---- source shapes
 
-_HOTEL_SIDE = lambda c: f"CASE WHEN lower({q_squeeze(c)}) IN ('no negative','no positive','nan','none','nothing','n/a','na') THEN '' ELSE {q_squeeze(c)} END"
+_HOTEL_SIDE = lambda c: f"CASE WHEN {q_squeeze(c)} IN {X.PLACEHOLDERS} THEN '' ELSE {q_squeeze(c)} END"
 _HOTEL_SQL = f"""
     SELECT md5(concat_ws('_', 'hotel', coalesce(hotel_name, ''), review_text)) AS review_id, 'hotel' AS domain, hotel_name AS entity_id, hotel_name AS entity_name, review_text,
            CASE WHEN sc IS NULL THEN 3.0 ELSE least(5.0, greatest(1.0, sc / 2)) END AS rating, regexp_replace(CAST(round(sc, 2) AS VARCHAR), '\\.0$', '') AS rating_original, review_date, 'hotel_raw' AS source
@@ -162,22 +207,38 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return standardise.mobile_app(table(s, d, "mobile_app_raw"))
 
 
-@query("std_standard_passthrough", f"""SELECT * FROM (SELECT row_ord, review_id, {q_domain('domain')} AS domain, {q_squeeze('entity_id')} AS entity_id, {q_squeeze('review_text')} AS review_text, {q_safe('rating_original')} AS rating FROM {SAMPLE})
-    WHERE domain IS NOT NULL AND review_text <> ''""")
+_COMMON_COLUMNS = "row_ord, review_id, domain, entity_id, entity_name, review_text, rating, rating_original, review_date, source, raw_source_path"
+_FIRST = f"SELECT {_COMMON_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY domain, entity_id, review_text ORDER BY row_ord) AS rn FROM (%s)) WHERE rn = 1"
+
+
+@query("std_standard_passthrough", _FIRST % f"""SELECT * FROM (SELECT row_ord, review_id, {q_upload_domain('domain')} AS domain, entity_id, entity_name, {q_squeeze('review_text')} AS review_text, {q_safe('CAST(rating AS VARCHAR)')} AS rating,
+    rating_original, coalesce(review_date, '') AS review_date, coalesce(source, 'uploaded_standard_csv') AS source, coalesce(raw_source_path, '') AS raw_source_path FROM {SAMPLE} WHERE rating_original IS NOT NULL) WHERE domain IS NOT NULL AND review_text <> ''""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return standardise.already_common(sample(s, d))
+    """Rows whose original rating is known, as a number is written differently as text by different engines."""
+    return standardise.already_common(sample(s, d).where("rating_original IS NOT NULL"))
 
 
-@query("std_final_cleanup", f"""SELECT * FROM (SELECT row_ord, domain, entity_id, {q_squeeze('review_text')} AS review_text, CASE WHEN {q_number('rating_original')} IS NOT NULL THEN least(5.0, greatest(1.0, {q_number('rating_original')})) END AS rating FROM {SAMPLE})
+@query("std_final_cleanup", _FIRST % f"""SELECT * FROM (SELECT * REPLACE (regexp_replace(coalesce(review_text, ''), '^[\\s\\x0B\\p{{Z}}]+|[\\s\\x0B\\p{{Z}}]+$', '', 'g') AS review_text, CASE WHEN rating IS NOT NULL THEN least(5.0, greatest(1.0, rating)) END AS rating) FROM {SAMPLE})
     WHERE review_text <> '' AND rating IS NOT NULL""")
 def _(s: SparkSession, d: str) -> DataFrame:
     return standardise.final_cleanup(sample(s, d))
 
 
-@query("std_schema_detect")
+_SHAPES = {
+    "store": ("reviewId", "content", "score", "appId"), "products": ("rating", "title", "text", "asin", "parent_asin"), "stays": ("Hotel_Name", "Positive_Review", "Negative_Review", "Average_Score"),
+    "meals": ("Yelp URL", "Rating", "Date", "Review Text"), "anything": ("a", "b"),
+}
+
+
+@query("std_schema_detect", f"""SELECT * FROM (VALUES ('anything', 'multidomain'), ('hotel_raw', 'hotel'), ('meals', 'restaurant'), ('mobile_app_raw', 'mobile_app'), ('products', 'ecommerce'), ('stays', 'hotel'), ('store', 'mobile_app')) v(name, domain)
+    UNION ALL SELECT 'sample', CASE WHEN count(*) > 1 THEN 'multidomain' WHEN count(*) = 1 THEN min(domain) ELSE 'multidomain' END FROM (SELECT DISTINCT domain FROM {SAMPLE} WHERE domain IN {X.DOMAINS})""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    rows = [(t, standardise.detect_domain(table(s, d, t).columns)) for t in ("hotel_raw", "mobile_app_raw")]
-    return s.createDataFrame(rows, "name string, domain string")
+    """The domain of a table by its domain values, else by its columns."""
+    tables = _SHAPES | {t: tuple(table(s, d, t).columns) for t in ("hotel_raw", "mobile_app_raw")}
+    rows = [(t, standardise.detect_domain(list(c))) for t, c in tables.items()]
+    # four values at most
+    seen = {r[0] for r in sample(s, d).where(F.col("domain").isin(*X.DOMAINS)).select("domain").distinct().collect()}
+    return s.createDataFrame([*rows, ("sample", standardise.detect_domain(sample(s, d).columns, seen))], "name string, domain string")
 
 
 # ---- filters
@@ -215,10 +276,10 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return sample(s, d).select("row_ord", X.known_domain(F.col("domain")).alias("domain"), X.squeeze(T()).alias("t")).where("domain IS NOT NULL AND t <> ''").select("row_ord", "domain")
 
 
-@query("flt_hotel_placeholder", f"SELECT hotel_name, {q_squeeze('negative_review')} AS side FROM hotel_raw WHERE {_HOTEL_SIDE('negative_review')} <> '' AND {q_words('negative_review')} >= 4")
+@query("flt_hotel_placeholder", f"SELECT hotel_name, {q_squeeze('negative_review')} AS side FROM hotel_raw WHERE {q_says('negative_review', X.NEGATIVE_PLACEHOLDERS)} AND {q_words('negative_review')} >= 4")
 def _(s: SparkSession, d: str) -> DataFrame:
     side = F.col("negative_review")
-    return table(s, d, "hotel_raw").where((X.placeholder_to_empty(side) != "") & (X.word_count(side) >= 4)).select("hotel_name", X.squeeze(side).alias("side"))
+    return table(s, d, "hotel_raw").where(X.says_something(side, X.NEGATIVE_PLACEHOLDERS) & (X.word_count(side) >= 4)).select("hotel_name", X.squeeze(side).alias("side"))
 
 
 @query("flt_entity_select", f"SELECT row_ord, entity_name FROM {SAMPLE} WHERE contains(lower(entity_name), 'café')")
@@ -353,11 +414,6 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return labelled(s, d).groupBy("entity_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity_id").limit(6)
 
 
-@query("agg_top_issues", f"SELECT * FROM (SELECT domain, label, count(*) AS n, row_number() OVER (PARTITION BY domain ORDER BY count(*) DESC, label) AS rank FROM {_LABELLED} GROUP BY 1, 2) WHERE rank <= 2")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return summaries.top_values(labelled(s, d), ["domain"], "label", 2)
-
-
 @query("agg_evidence_examples", f"SELECT row_ord, entity_id, rating, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY rating, row_ord) AS rank FROM {_LABELLED}) WHERE rank <= 3")
 def _(s: SparkSession, d: str) -> DataFrame:
     return summaries.lowest_per_group(labelled(s, d).select("row_ord", "entity_id", "rating"), ["entity_id"], [F.asc_nulls_last("rating"), F.col("row_ord")], 3)
@@ -385,7 +441,17 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("win_row_index", f"SELECT row_ord, row_number() OVER (PARTITION BY source ORDER BY row_ord) AS i FROM {SAMPLE}")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return summaries.lowest_per_group(sample(s, d).select("row_ord", "source"), ["source"], [F.col("row_ord")], 2**31 - 1).select("row_ord", F.col("rank").alias("i"))
+    return sampling.ranked(sample(s, d).select("row_ord", "source"), ["source"], ["row_ord"], F.floor(F.col("row_ord") / 10_000), "i").select("row_ord", "i")
+
+
+@query("smp_shuffle", f"SELECT row_ord, row_number() OVER (ORDER BY md5(CAST(row_ord AS VARCHAR) || '_42'), row_ord) AS place FROM {CANON}")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return sampling.shuffled(canon(s, d).select("row_ord"), "row_ord")
+
+
+@query("smp_domain_n", f"SELECT row_ord, domain FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY md5(CAST(row_ord AS VARCHAR) || '_42'), row_ord) AS turn FROM {_LABELLED} WHERE domain IS NOT NULL) WHERE turn <= 10")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return sampling.exactly_per_group(labelled(s, d).where("domain IS NOT NULL").select("row_ord", "domain"), "domain", "row_ord", 10)
 
 
 # ---- sampling
@@ -423,35 +489,143 @@ def judged(s: SparkSession, d: str) -> DataFrame:
 _JUDGED = f"(SELECT {q_known_label('sentiment_label')} AS actual, {q_label('rating')} AS predicted FROM {CANON})"
 
 
-@query("evl_sentiment", f"""WITH c AS (SELECT label, (SELECT count(*) FROM {_JUDGED} WHERE actual = label AND predicted = label) AS tp, (SELECT count(*) FROM {_JUDGED} WHERE actual = label) AS support,
-        (SELECT count(*) FROM {_JUDGED} WHERE predicted = label) AS called FROM (VALUES ('negative'), ('neutral'), ('positive')) v(label)),
-    r AS (SELECT label, support, CASE WHEN called = 0 THEN 0.0 ELSE tp / called END AS p, CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS q FROM c)
-    SELECT label, support, round(p, 4) AS precision, round(q, 4) AS recall, round(CASE WHEN p + q = 0 THEN 0.0 ELSE 2 * p * q / (p + q) END, 4) AS f1 FROM r""")
+_COUNTS = """(SELECT label, count(*) FILTER (actual = label AND predicted = label) AS tp, count(*) FILTER (actual = label) AS support, count(*) FILTER (predicted = label) AS called
+    FROM (%s) j CROSS JOIN (SELECT unnest(%s) AS label) v GROUP BY 1)"""
+_PRF = """(SELECT label, support, tp, CASE WHEN called = 0 THEN 0.0 ELSE tp / called END AS p, CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS q,
+    CASE WHEN called + support = 0 THEN 0.0 ELSE 2 * tp / (called + support) END AS f FROM """
+
+
+@query("evl_sentiment", f"SELECT label, support, round(p, 4) AS precision, round(q, 4) AS recall, round(f, 4) AS f1 FROM {_PRF}{_COUNTS % (f'SELECT * FROM {_JUDGED}', str(list(X.LABELS)))})")
 def _(s: SparkSession, d: str) -> DataFrame:
     return summaries.precision_recall(judged(s, d), "actual", "predicted", list(X.LABELS))
 
 
+def q_overall(rows: str, labels: str) -> str:
+    """Accuracy, macro and weighted means over the labels."""
+    return f"""SELECT CAST(sum(support) AS BIGINT) AS n, round(sum(tp) / sum(support), 4) AS accuracy, round(avg(p), 4) AS macro_precision, round(avg(q), 4) AS macro_recall, round(avg(f), 4) AS macro_f1,
+        round(avg(round(f, 4)), 4) AS macro_rounded_f1, round(sum(p * support) / sum(support), 4) AS weighted_precision, round(sum(q * support) / sum(support), 4) AS weighted_recall, round(sum(f * support) / sum(support), 4) AS weighted_f1
+        FROM {_PRF}{_COUNTS % (rows, labels)})"""
+
+
+@query("evl_multiclass", q_overall(f"SELECT * FROM {_JUDGED} WHERE actual IS NOT NULL", str(list(X.LABELS))))
+def _(s: SparkSession, d: str) -> DataFrame:
+    return summaries.overall(judged(s, d).where("actual IS NOT NULL"), "actual", "predicted", list(X.LABELS))
+
+
 @query("evl_confusion", f"SELECT actual, count(*) FILTER (predicted = 'negative') AS negative, count(*) FILTER (predicted = 'neutral') AS neutral, count(*) FILTER (predicted = 'positive') AS positive FROM {_JUDGED} GROUP BY 1")
 def _(s: SparkSession, d: str) -> DataFrame:
     return summaries.crosstab(judged(s, d), "actual", "predicted", list(X.LABELS))
 
 
-@query("evl_star", """SELECT count(*) AS n, round(avg(CASE WHEN g = 0 THEN 1.0 ELSE 0.0 END), 4) AS exact, round(avg(CASE WHEN g <= 1 THEN 1.0 ELSE 0.0 END), 4) AS within_one, round(avg(g), 4) AS mae, round(avg(CASE WHEN g >= 3 THEN 1.0 ELSE 0.0 END), 4) AS severe
-    FROM (SELECT abs(reviewer_score - average_score) AS g FROM hotel_raw) WHERE g IS NOT NULL""")
+def q_star(x: str) -> str:
+    return f"CAST(round_even(least(5.0, greatest(1.0, {x})), 0) AS INTEGER)"
+
+
+#: The star that a label stands for.
+_LABEL_STAR = "CASE %s WHEN 'negative' THEN 1 WHEN 'neutral' THEN 3 ELSE 5 END"
+_STARS = f"SELECT {q_star('rating')} AS actual, {_LABEL_STAR % q_known_label('sentiment_label')} AS predicted FROM {CANON} WHERE rating IS NOT NULL AND {q_known_label('sentiment_label')} IS NOT NULL"
+
+
+def stars(s: SparkSession, d: str) -> DataFrame:
+    """The rating as a whole star against the star that the supplied label stands for."""
+    x = canon(s, d).select("rating", X.known_label(F.col("sentiment_label")).alias("label")).where("rating IS NOT NULL AND label IS NOT NULL")
+    return x.select(summaries.whole_star(F.col("rating")).alias("actual"), X.label_star(F.col("label")).alias("predicted"))
+
+
+@query("evl_rating", f"""SELECT count(*) AS n, round(avg(CASE WHEN g = 0 THEN 1.0 ELSE 0.0 END), 4) AS exact, round(avg(CASE WHEN g <= 1 THEN 1.0 ELSE 0.0 END), 4) AS within_one, round(avg(g), 4) AS mae, round(avg(CASE WHEN g >= 2 THEN 1.0 ELSE 0.0 END) * 100, 2) AS mismatch_pct
+    FROM (SELECT abs(actual - predicted) AS g FROM ({_STARS}))""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    gap = F.abs(F.col("actual") - F.col("predicted"))
+    rate = lambda c: F.avg(c.cast("double"))
+    return stars(s, d).agg(F.count("*").alias("n"), F.round(rate(gap == 0), 4).alias("exact"), F.round(rate(gap <= 1), 4).alias("within_one"), F.round(F.avg(gap), 4).alias("mae"), F.round(rate(gap >= 2) * 100, 2).alias("mismatch_pct"))
+
+
+@query("evl_rating_confusion", "SELECT v.actual, " + ", ".join(f"count(*) FILTER (predicted = {i}) AS star_{i}" for i in range(1, 6)) + f" FROM (SELECT unnest([1, 2, 3, 4, 5]) AS actual) v LEFT JOIN ({_STARS}) s ON v.actual = s.actual GROUP BY 1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Five rows and five columns, zero where nothing falls."""
+    named = stars(s, d).withColumn("star", F.concat(F.lit("star_"), F.col("predicted").cast("string")))
+    every = s.createDataFrame([(i,) for i in range(1, 6)], "actual int")
+    table_ = summaries.crosstab(named, "actual", "star", [f"star_{i}" for i in range(1, 6)])
+    return every.join(table_, "actual", "left").na.fill(0)
+
+
+_HOTEL_STARS = f"SELECT {q_star('reviewer_score / 2')} AS actual, {q_star('average_score / 2')} AS predicted FROM hotel_raw WHERE reviewer_score IS NOT NULL AND average_score IS NOT NULL"
+
+
+@query("evl_star", f"""SELECT * FROM (SELECT round(avg(CASE WHEN g <= 1 THEN 1.0 ELSE 0.0 END), 4) AS within_one, round(avg(g), 4) AS mae, round(avg(CASE WHEN g >= 3 THEN 1.0 ELSE 0.0 END), 4) AS severe, round(avg(CASE WHEN g = 4 THEN 1.0 ELSE 0.0 END), 4) AS four_stars
+    FROM (SELECT abs(actual - predicted) AS g FROM ({_HOTEL_STARS}))) CROSS JOIN ({q_overall(f"SELECT * FROM ({_HOTEL_STARS})", '[1, 2, 3, 4, 5]')})""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """A hotel's own score against its average, as whole stars."""
+    x = table(s, d, "hotel_raw").where("reviewer_score IS NOT NULL AND average_score IS NOT NULL")
+    return summaries.star_agreement(x.select(summaries.whole_star(F.col("reviewer_score") / 2).alias("actual"), summaries.whole_star(F.col("average_score") / 2).alias("predicted")), "actual", "predicted")
+
+
+@query("evl_model_summary", f"""WITH m AS ({q_overall(f"SELECT * FROM {_JUDGED} WHERE actual IS NOT NULL", str(list(X.LABELS)))}), t AS ({q_overall(_STARS, '[1, 2, 3, 4, 5]')})
+    SELECT component, metric, value FROM (SELECT 'sentiment' AS component, accuracy, macro_f1, weighted_f1 FROM m UNION ALL SELECT 'star', accuracy, macro_f1, weighted_f1 FROM t) UNPIVOT (value FOR metric IN (accuracy, macro_f1, weighted_f1))""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """A row per component and metric."""
+    names = ["accuracy", "macro_f1", "weighted_f1"]
+    parts = [("sentiment", summaries.overall(judged(s, d).where("actual IS NOT NULL"), "actual", "predicted", list(X.LABELS))), ("star", summaries.overall(stars(s, d), "actual", "predicted", [1, 2, 3, 4, 5]))]
+    wide = [df.select(F.lit(c).alias("component"), *names) for c, df in parts]
+    return wide[0].unionByName(wide[1]).unpivot("component", names, "metric", "value")
+
+
+@query("evl_percent_scale", f"SELECT row_ord, CASE WHEN abs(v) <= 1.5 THEN v * 100 ELSE v END AS percent FROM (SELECT row_ord, {q_number('rating_original')} AS v FROM {SAMPLE})")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return sample(s, d).select("row_ord", X.as_percent(X.number(F.col("rating_original"))).alias("percent"))
+
+
+@query("lbl_star_sentiment", "SELECT row_ord, CASE WHEN star <= 2 THEN 'negative' WHEN star = 3 THEN 'neutral' ELSE 'positive' END AS value FROM (SELECT row_ord, " + q_star(q_safe("rating_original")) + f" AS star FROM {SAMPLE})")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return sample(s, d).select("row_ord", X.star_label(summaries.whole_star(X.safe_rating(F.col("rating_original")))).alias("value"))
+
+
+_WEIGHTS = "[1 + (row_ord * 10) % 11, 1 + (row_ord * 17) % 11, 1 + (row_ord * 24) % 11, 1 + (row_ord * 31) % 11, 1 + (row_ord * 38) % 11]"
+
+
+def star_weights() -> Column:
+    return F.array(*[1 + (F.col("row_ord") * (7 * i + 3)) % 11 for i in range(1, 6)])
+
+
+@query("num_expected_star", f"SELECT row_ord, round(list_sum(list_transform(w, lambda x, i: x * i)) / list_sum(w), 4) AS value FROM (SELECT row_ord, {_WEIGHTS} AS w FROM {SAMPLE})")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The mean star of a distribution."""
+    return sample(s, d).select("row_ord", F.round(X.expected_star(star_weights()), 4).alias("value"))
+
+
+@query("num_argmax", f"SELECT row_ord, CAST(list_position(w, list_max(w)) AS BIGINT) AS star, round(list_max(w) / list_sum(w), 4) AS confidence FROM (SELECT row_ord, {_WEIGHTS} AS w FROM {SAMPLE})")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The first star of the greatest weight, and its share."""
+    w = star_weights()
+    return sample(s, d).select("row_ord", F.array_position(w, F.array_max(w)).alias("star"), F.round(F.array_max(w) / X.total(w), 4).alias("confidence"))
+
+
+@query("mdl_sentiment_fallback", f"SELECT row_ord, {q_label('rating')} AS predicted_sentiment, 0.60 AS sentiment_confidence, 'rating' AS sentiment_source FROM {SAMPLE}")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Where no model is at hand the rating's label stands in, with a fixed confidence."""
+    return sample(s, d).select("row_ord", X.rating_label(F.col("rating")).alias("predicted_sentiment"), F.lit(0.60).alias("sentiment_confidence"), F.lit("rating").alias("sentiment_source"))
+
+
+@query("json_parse_safe", f"SELECT row_ord, coalesce(json_extract_string(j, '$.score'), '') AS score, coalesce(json_extract_string(j, '$.label'), '') AS label FROM (SELECT row_ord, CASE WHEN json_valid(b) THEN b END AS j FROM (SELECT row_ord, CASE row_ord % 3 WHEN 0 THEN '{{\"score\": ' || row_ord || ', \"label\": \"a\"}}' WHEN 1 THEN '{{\"score\": ' ELSE '{{\"label\": \"b\"}}' END AS b FROM {SAMPLE}))")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return summaries.star_agreement(table(s, d, "hotel_raw"), "reviewer_score", "average_score")
+    """JSON as a model returns it: in a code fence with words round it, whole, or broken; what cannot be read is empty."""
+    fence = F.lit("```")
+    told = F.when(F.col("row_ord") % 3 == 0, F.concat(F.lit("Here: "), fence, F.lit('json {"score": '), F.col("row_ord").cast("string"), F.lit(', "label": "a"} '), fence)).when(F.col("row_ord") % 3 == 1, '{"score": ').otherwise('{"label": "b"}')
+    read = X.parsed_json(told, "score string, label string")
+    return sample(s, d).select("row_ord", read.alias("j")).select("row_ord", F.coalesce("j.score", F.lit("")).alias("score"), F.coalesce("j.label", F.lit("")).alias("label"))
 
 
 # ---- issues, retrieval, latest records
 
-_TAX = ", ".join(f"('{d}', '{i}', {v}, {n}, {k.split()!r})" for n, (d, i, v, k) in enumerate(issues.DEFAULT))
+_TAX = ", ".join(f"('{d}', '{i}', '{label}', {v}, {n}, [{', '.join(chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in k)}])" for d, i, label, v, n, k in TAXONOMY)
+_TAX_ROWS = f"""SELECT *, list_transform(keywords, lambda k: trim(regexp_replace(k, '[^a-z0-9]+', ' ', 'g'))) AS phrases FROM (VALUES {_TAX}) t(domain, issue, label, severity, ord, keywords)"""
 
 
-@query("iss_fallback", f"""WITH tax(domain, issue, severity, ord, keywords) AS (VALUES {_TAX}),
+@query("iss_fallback", f"""WITH tax AS ({_TAX_ROWS}),
     r AS (SELECT row_ord, CASE WHEN domain IN ('mobile_app','hotel','ecommerce','restaurant') THEN domain ELSE 'mobile_app' END AS domain, {q_clean('review_text')} AS t FROM {SAMPLE}),
-    h AS (SELECT row_ord, issue, severity, ord FROM r JOIN tax USING (domain) WHERE len(list_filter(keywords, lambda k: contains(' ' || t || ' ', ' ' || k || ' '))) > 0),
-    g AS (SELECT row_ord, first(issue ORDER BY severity DESC, ord) AS issue, max(severity) AS severity, string_agg(issue, ',' ORDER BY severity DESC, ord) AS issues FROM h GROUP BY 1)
-    SELECT row_ord, coalesce(issue, 'no_issue') AS issue, CAST(coalesce(severity, 0) AS INTEGER) AS severity, coalesce(issues, '') AS issues FROM r LEFT JOIN g USING (row_ord)""")
+    h AS (SELECT row_ord, issue, severity, ord, keywords FROM r JOIN tax USING (domain) WHERE len(list_filter(phrases, lambda k: contains(' ' || t || ' ', ' ' || k || ' '))) > 0),
+    g AS (SELECT row_ord, first(issue ORDER BY severity DESC, ord) AS issue, max(severity) AS severity, string_agg(issue, ',' ORDER BY severity DESC, ord) AS issues, first(array_to_string(keywords[1:5], ', ') ORDER BY severity DESC, ord) AS cues FROM h GROUP BY 1)
+    SELECT row_ord, coalesce(issue, 'no_issue') AS issue, CAST(coalesce(severity, 0) AS INTEGER) AS severity, coalesce(issues, '') AS issues, coalesce(cues, '') AS cues FROM r LEFT JOIN g USING (row_ord)""")
 def _(s: SparkSession, d: str) -> DataFrame:
     return issues.mine(sample(s, d), issues.default_taxonomy(s))
 
@@ -483,6 +657,8 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return latest.select("user_id", "r.event_id", "r.event_type", "r.value")
 
 
-@query("src_play_store", "SELECT app_id, content, min(score) AS score, count(*) AS copies, min(review_at) AS first_at, max(review_at) AS last_at FROM mobile_app_raw WHERE content IS NOT NULL AND score IS NOT NULL GROUP BY app_id, content")
+@query("src_play_store", "SELECT app_id, content, score, count(*) AS copies, min(review_at) AS first_at, max(review_at) AS last_at FROM mobile_app_raw WHERE content IS NOT NULL AND score IS NOT NULL GROUP BY app_id, content, score")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "mobile_app_raw").na.drop(subset=["content", "score"]).groupBy("app_id", "content").agg(F.min("score").alias("score"), F.count("*").alias("copies"), F.min("review_at").alias("first_at"), F.max("review_at").alias("last_at"))
+    """A row for each different text, score and app, with the number of copies and the first and last date."""
+    x = table(s, d, "mobile_app_raw").na.drop(subset=["content", "score"])
+    return x.groupBy("app_id", "content", "score").agg(F.count("*").alias("copies"), F.min("review_at").alias("first_at"), F.max("review_at").alias("last_at"))

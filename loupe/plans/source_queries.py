@@ -34,15 +34,6 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return R.sample(s, d).select("row_ord", readers.input_kind(F.col("entity_id")).alias("kind"))
 
 
-@query("src_maps_parse", """SELECT row_ord, CASE WHEN regexp_extract(coalesce(entity_id, ''), '/biz/([^/?#]+)', 1) <> '' THEN regexp_extract(entity_id, '/biz/([^/?#]+)', 1) ELSE substring(sha256(coalesce(entity_id, '')), 1, 24) END AS place
-    FROM orchestrator_hotel_sample""")
-def _(s: SparkSession, d: str) -> DataFrame:
-    """The place's name in its link, else the beginning of a hash."""
-    e = F.coalesce("entity_id", F.lit(""))
-    named = F.regexp_extract(e, r"/biz/([^/?#]+)", 1)
-    return R.sample(s, d).select("row_ord", F.when(named != "", named).otherwise(F.substring(F.sha2(e, 256), 1, 24)).alias("place"))
-
-
 @query("txt_fingerprint", "SELECT row_ord, sha256(concat_ws('|', coalesce(entity_id, ''), coalesce(review_id, ''), coalesce(rating_original, ''), coalesce(review_date, ''), coalesce(review_text, ''))) AS value FROM orchestrator_hotel_sample")
 def _(s: SparkSession, d: str) -> DataFrame:
     parts = [F.coalesce(c, F.lit("")) for c in ("entity_id", "review_id", "rating_original", "review_date", "review_text")]
@@ -79,20 +70,41 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return dedup.without_conflicts(mobile(s, d).select("k", "label", "review_id"), "k", "label", "review_id")
 
 
+_SIDES = f"""(SELECT *, {R.q_says('negative_review', X.NEGATIVE_PLACEHOLDERS)} AND nw >= 4 AS nv, {R.q_says('positive_review', X.POSITIVE_PLACEHOLDERS)} AND pw >= 4 AS pv FROM (
+    SELECT *, CAST({R.q_words('n')} AS INTEGER) AS nw, CAST({R.q_words('p')} AS INTEGER) AS pw FROM (
+        SELECT *, reviewer_score AS sc, {R.q_markup('negative_review')} AS n, {R.q_markup('positive_review')} AS p FROM hotel_raw)))"""
+_EVEN = "nv AND pv AND sc BETWEEN 5.5 AND 7.5 AND nw * 2 >= pw AND nw <= pw * 2"
+
+
+def sides(s: SparkSession, d: str) -> DataFrame:
+    """Both sides of the hotel reviews, cleaned, whether each is valid, and whether they are even."""
+    x = table(s, d, "hotel_raw").withColumns({"sc": F.col("reviewer_score"), "n": X.without_markup(F.col("negative_review")), "p": X.without_markup(F.col("positive_review"))})
+    x = x.withColumns({"nw": X.word_count(F.col("n")), "pw": X.word_count(F.col("p"))})
+    x = x.withColumns({"nv": X.says_something(F.col("negative_review"), X.NEGATIVE_PLACEHOLDERS) & (F.col("nw") >= 4), "pv": X.says_something(F.col("positive_review"), X.POSITIVE_PLACEHOLDERS) & (F.col("pw") >= 4)})
+    return x.withColumn("even", F.expr(_EVEN))
+
+
 @query("build_hotel", f"""SELECT hotel_name, label, CASE label WHEN 'negative' THEN n WHEN 'positive' THEN p ELSE trim(n || ' ' || p) END AS sentiment_text FROM (
-    SELECT hotel_name, n, p, CASE WHEN nv AND sc <= 5 THEN 'negative' WHEN pv AND sc >= 8 THEN 'positive' WHEN nv AND pv AND sc BETWEEN 5.5 AND 7.5 AND nw * 2 >= pw AND nw <= pw * 2 THEN 'neutral' END AS label FROM (
-        SELECT *, n <> '' AND nw >= 4 AS nv, p <> '' AND pw >= 4 AS pv FROM (
-            SELECT *, CAST({R.q_words('n')} AS INTEGER) AS nw, CAST({R.q_words('p')} AS INTEGER) AS pw FROM (
-                SELECT hotel_name, reviewer_score AS sc, {R._HOTEL_SIDE('negative_review')} AS n, {R._HOTEL_SIDE('positive_review')} AS p FROM hotel_raw)))) WHERE label IS NOT NULL""")
+    SELECT hotel_name, n, p, CASE WHEN nv AND sc <= 5 THEN 'negative' WHEN pv AND sc >= 8 THEN 'positive' WHEN {_EVEN} THEN 'neutral' END AS label FROM {_SIDES}) WHERE label IS NOT NULL""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    """Both sides of a hotel review: the label by score and by which sides are valid, and the text that it stands for."""
-    x = table(s, d, "hotel_raw").select("hotel_name", F.col("reviewer_score").alias("sc"), X.placeholder_to_empty(F.col("negative_review")).alias("n"), X.placeholder_to_empty(F.col("positive_review")).alias("p"))
-    x = x.withColumns({"nw": X.word_count(F.col("n")), "pw": X.word_count(F.col("p"))})
-    nv, pv = (F.col("n") != "") & (F.col("nw") >= 4), (F.col("p") != "") & (F.col("pw") >= 4)
-    even = (F.col("nw") * 2 >= F.col("pw")) & (F.col("nw") <= F.col("pw") * 2)
-    label = F.when(nv & (F.col("sc") <= 5), "negative").when(pv & (F.col("sc") >= 8), "positive").when(nv & pv & F.col("sc").between(5.5, 7.5) & even, "neutral")
+    """The label of a hotel review by score and by which sides are valid, and the text that it stands for."""
+    label = F.when(F.col("nv") & (F.col("sc") <= 5), "negative").when(F.col("pv") & (F.col("sc") >= 8), "positive").when(F.col("even"), "neutral")
     text = F.when(F.col("label") == "negative", F.col("n")).when(F.col("label") == "positive", F.col("p")).otherwise(F.btrim(F.concat_ws(" ", "n", "p")))
-    return x.withColumn("label", label).where("label IS NOT NULL").select("hotel_name", "label", text.alias("sentiment_text"))
+    return sides(s, d).withColumn("label", label).where("label IS NOT NULL").select("hotel_name", "label", text.alias("sentiment_text"))
+
+
+@query("build_hotel_training", f"""WITH x AS (SELECT * FROM {_SIDES}), f AS (
+    SELECT hotel_name, 'negative' AS label, n AS review_text, 'Negative_Review' AS text_source, sc / 2 AS rating FROM x WHERE nv AND sc <= 5
+    UNION ALL SELECT hotel_name, 'neutral', trim(n || ' ' || p), 'Negative_Review + Positive_Review', sc / 2 FROM x WHERE {_EVEN}
+    UNION ALL SELECT hotel_name, 'positive', p, 'Positive_Review', sc / 2 FROM x WHERE pv AND sc >= 8)
+    SELECT {R.q_key('review_text')} AS text_key, min(label) AS label, count(*) AS copies FROM f GROUP BY 1 HAVING min(label) = max(label)""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """A row per label and side, not per review: the three frames together, texts of two labels out, equal texts once."""
+    x = sides(s, d)
+    frame = lambda cond, label, text: x.where(cond).select(F.lit(label).alias("label"), text.alias("review_text"))
+    every = frame("nv AND sc <= 5", "negative", F.col("n")).unionByName(frame("even", "neutral", F.btrim(F.concat_ws(" ", "n", "p")))).unionByName(frame("pv AND sc >= 8", "positive", F.col("p")))
+    keyed = every.groupBy(X.text_key(F.col("review_text")).alias("text_key")).agg(F.min("label").alias("label"), F.max("label").alias("most"), F.count("*").alias("copies"))
+    return keyed.where("label = most").select("text_key", "label", "copies")
 
 
 # ---- further summaries
@@ -118,14 +130,6 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return R.sample(s, d).where("source IS NOT NULL").groupBy(F.col("source").alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(8)
 
 
-@query("win_top1_top2_margin", "SELECT entity_id, max(rating) AS best, max(rating) - coalesce(max(CASE WHEN rn = 2 THEN rating END), max(rating)) AS margin FROM (SELECT entity_id, rating, row_number() OVER (PARTITION BY entity_id ORDER BY rating DESC, row_ord) AS rn FROM orchestrator_hotel_sample WHERE rating IS NOT NULL) WHERE rn <= 2 GROUP BY 1")
-def _(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("entity_id").orderBy(F.desc("rating"), "row_ord")
-    x = R.sample(s, d).where("rating IS NOT NULL").select("entity_id", "rating", F.row_number().over(w).alias("rn")).where("rn <= 2")
-    best, second = F.max("rating"), F.max(F.when(F.col("rn") == 2, F.col("rating")))
-    return x.groupBy("entity_id").agg(best.alias("best"), (best - F.coalesce(second, best)).alias("margin"))
-
-
 @query("ord_riskiest_entity", "SELECT row_ord, entity_id, rating FROM orchestrator_hotel_sample WHERE entity_id = (SELECT entity_id FROM orchestrator_hotel_sample WHERE entity_id IS NOT NULL AND rating IS NOT NULL GROUP BY 1 HAVING count(*) >= 5 ORDER BY avg(rating), entity_id LIMIT 1) ORDER BY rating NULLS LAST, row_ord LIMIT 8")
 def _(s: SparkSession, d: str) -> DataFrame:
     """The entity with the lowest mean rating, and its eight lowest reviews."""
@@ -147,16 +151,6 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select("vec_id", F.round(retrieval.dot(F.col("embedding"), F.col("embedding")), 4).alias("value"))
 
 
-@query("num_argmax", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) AS BIGINT) AS value FROM embeddings")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "embeddings").select("vec_id", F.array_position("embedding", F.array_max("embedding")).alias("value"))
-
-
-@query("evl_multiclass", f"SELECT count(*) AS n, round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 4) AS accuracy FROM {R._JUDGED} WHERE actual IS NOT NULL")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return R.judged(s, d).where("actual IS NOT NULL").agg(F.count("*").alias("n"), F.round(F.avg((F.col("actual") == F.col("predicted")).cast("double")), 4).alias("accuracy"))
-
-
 @query("agg_top_values", "SELECT * FROM (SELECT app_id, review_created_version, count(*) AS n, row_number() OVER (PARTITION BY app_id ORDER BY count(*) DESC, review_created_version) AS rank FROM mobile_app_raw WHERE review_created_version IS NOT NULL GROUP BY 1, 2) WHERE rank <= 5")
 def _(s: SparkSession, d: str) -> DataFrame:
     return summaries.top_values(table(s, d, "mobile_app_raw").where("review_created_version IS NOT NULL"), ["app_id"], "review_created_version", 5)

@@ -58,6 +58,8 @@ def stamps(spark, rows, **policy):
         ("2021-07-01", "none", None, "no_zone"), ("7/1/2021", "none", None, "no_order"), ("7/1/2021", None, None, "no_order"),
         ("2021-07-01", "unknown", None, "no_zone"),
         (None, "ny", None, "missing"), ("  ", "ny", None, "missing"), ("2 weeks ago", "ny", None, "relative"), ("Edited 3 days ago", "ny", None, "relative"),
+        ("2021-07-01 10:00:00+02", "ny", "2021-07-01T08:00:00.000000Z", "ok"), ("2021/07/01 10:00", "ldn", "2021-07-01T09:00:00.000000Z", "ok"),
+        ("-1452223171", None, "1923-12-25T20:40:29.000000Z", "ok"), ("999999999999", None, "2001-09-09T01:46:39.999000Z", "ok"),
         ("March 2021", "ny", None, "partial"), ("n/a", "ny", None, "unknown_format"), ("x" * 100_000, "ny", None, "unknown_format"),
     ],
 )
@@ -94,7 +96,7 @@ def test_text_functions(spark):
     assert values(spark, ["<b>Hi</b> see https://x.y/z  now", None], X.without_markup) == ["Hi see now", ""]
     assert values(spark, ["Room 12, was GREAT!! www.a.b", ""], X.clean_text) == ["room was great", ""]
     assert values(spark, ["a b  c", "", None], X.word_count) == [3, 0, 0]
-    assert values(spark, ["No Negative", "fine", "n/a"], X.placeholder_to_empty) == ["", "fine", ""]
+    assert values(spark, ["No Negative", "fine", "n/a", "nothing", "None"], X.placeholder_to_empty) == ["", "fine", "n/a", "nothing", ""]
     assert values(spark, ["bad app", "an ad here"], lambda c: X.has_phrase(c, F.lit("ad"))) == [False, True]
     assert values(spark, ["Mobile-App", "HOTELS ", "mixed", None], X.known_domain) == ["mobile_app", "hotel", None, None]
 
@@ -106,6 +108,45 @@ def test_ratings_and_labels(spark):
     assert values(spark, [2.5, 3.0, 3.9, 4.0, 1.0], X.strict_rating_label, "double") == [None, "neutral", None, "positive", "negative"]
 
 
+def test_sentences_segments_and_windows(spark):
+    assert values(spark, ["One. Two!  Three\nfour", None], X.sentences) == [["One.", "Two!", "Three", "four"], []]
+    got = values(spark, ["Good food but slow staff. good FOOD, one", ""], X.segments)
+    assert got == [["Good food but slow staff. good FOOD, one", "Good food but slow staff.", "Good food", "slow staff.", "good FOOD, one"], [""]]
+    text = "x" * 100 + " the room was dirty " + "y" * 200
+    window = values(spark, [text], lambda c: X.evidence_window(c, F.array(F.lit("dirty"))))[0]
+    assert "dirty" in window and len(window) == 70 + 5 + 90
+    assert values(spark, ["First one. Second"], lambda c: X.evidence_window(c, F.array().cast("array<string>"))) == ["First one."]
+    names = [("Café Rouge", "cafe rouge"), ("Café Rouge", "CAFÉ, rouge"), ("Rouge", "Café Rouge"), ("a b", "b c"), (None, "a")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(names)], "i int, a string, b string").orderBy("i")
+    assert [r[0] for r in df.select(X.name_match(F.col("a"), F.col("b"))).collect()] == [0.5, 1.0, 0.82, 0.5, 0.0]
+
+
+def test_contexts_and_decisions(spark):
+    rows = ["I want science but not shameful pictures", "this app has no sexual content at all", "please stop the sexual content", "plain"]
+    cues = F.array(F.lit("sexual content"), F.lit("shameful pictures"))
+    assert values(spark, rows, lambda c: issues.complaint_context(c, cues)) == [True, False, True, False]
+    assert values(spark, rows, lambda c: issues.protective_context(c, cues)) == [False, True, False, False]
+    held = "rating double, sentiment string, similarity double, second double, problem boolean, cues array<string>, complaint boolean, protective boolean"
+    cases = [
+        (5.0, "positive", 0.9, 0.1, False, [], False, False, "positive_no_problem_block"), (5.0, "positive", 0.9, 0.1, True, ["ad"], False, True, "protective_absence_context"),
+        (1.0, "negative", 0.27, 0.1, True, [], False, False, "semantic_threshold"), (1.0, "negative", 0.20, 0.1, True, ["ad"], False, False, "semantic_plus_taxonomy_cue"),
+        (1.0, "negative", 0.20, 0.19, True, ["ad"], False, False, "below_threshold"),
+    ]
+    x = spark.createDataFrame([c[:-1] for c in cases], held)
+    x = x.withColumn("standard", issues.threshold(F.lit("mobile_app"), F.col("rating"), F.col("sentiment"), F.col("problem")))
+    assert [r["reason"] for r in issues.decided(x).collect()] == [c[-1] for c in cases]
+
+
+def test_ranks_without_gathering_a_group(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "a") for i in range(100)], "row_ord long, g string")
+    got = {r["row_ord"]: r["i"] for r in sampling.ranked(df, ["g"], ["row_ord"], F.floor(F.col("row_ord") / 7), "i").collect()}
+    assert got == {r: sum(1 for q in range(r + 1) if (q % 3 == 0) == (r % 3 == 0)) for r in range(100)}
+    places = [r["place"] for r in sampling.shuffled(df, "row_ord").orderBy("row_ord").collect()]
+    assert sorted(places) == list(range(1, 101)) and places != sorted(places)
+    with pytest.raises(ValueError):
+        sampling.exactly_per_group(df, "g", "row_ord", 50)
+
+
 # ---- operators
 
 
@@ -115,8 +156,22 @@ def test_standardise(spark):
     assert standardise.conform(df).columns == standardise.COMMON.fieldNames()
     assert standardise.detect_domain(["Content", "Score"]) == "mobile_app"
     assert standardise.detect_domain(["domain"], {"hotel", "ecommerce"}) == "multidomain"
+    # columns that tell nothing are no error: the rows name their domains
+    assert standardise.detect_domain(["a"]) == "multidomain"
     with pytest.raises(ValueError):
-        standardise.detect_domain(["a"])
+        standardise.standardise(df, "books")
+
+
+def test_shops_and_meals(spark):
+    shop = spark.createDataFrame([(1, "9", "Five stars", "good  cream", None, "p"), (2, "x", None, None, "a", None), (3, None, "t", " ", "a", None)], "row_ord long, rating string, title string, text string, asin string, parent_asin string").withColumn("timestamp", F.lit("t"))
+    assert [(r["review_id"], r["entity_id"], r["review_text"], r["rating"]) for r in standardise.shop(shop).collect()] == [("ecommerce_1", "p", "good cream", 4.5)]
+    assert [(r["review_text"], r["rating"]) for r in standardise.shop_joined(shop).collect()] == [("Five stars. good cream", 5.0)]
+    meals = spark.createDataFrame([(1, "u", "2", "d", "cold soup"), (2, None, None, None, None)], ["row_ord", "Yelp URL", "Rating", "Date", "Review Text"])
+    assert [(r["entity_id"], r["rating"]) for r in standardise.restaurant(meals).collect()] == [("u", 2.0)]
+    assert standardise.standardise(meals, "restaurant").columns == standardise.COMMON.fieldNames()
+    common = spark.createDataFrame([(2, "Product", "e", "same"), (1, "ecommerce", "e", "same "), (3, "books", "e", "x")], "row_ord long, domain string, entity_id string, review_text string")
+    kept = standardise.already_common(common).collect()
+    assert [(r["row_ord"], r["domain"], r["rating"]) for r in kept] == [(1, "ecommerce", 3.0)] and set(standardise.COMMON.fieldNames()) < set(kept[0].asDict())
 
 
 def test_dedup(spark):
@@ -145,6 +200,9 @@ def test_issues(spark):
     rows = [(1, "mobile_app", "The app keeps crash on login"), (2, "hotel", "Lovely quiet stay"), (3, "unknown", "payment was charged"), (4, "hotel", None)]
     got = {r["row_ord"]: (r["issue"], r["severity"]) for r in issues.mine(spark.createDataFrame(rows, "row_ord long, domain string, review_text string"), issues.default_taxonomy(spark)).collect()}
     assert got == {1: ("crash", 25), 2: ("no_issue", 0), 3: ("payment", 25), 4: ("no_issue", 0)}
+    rows = [(1, "mobile_app", "It won't open. Force  close!"), (2, "mobile_app", "shows adult content")]
+    got = {r["row_ord"]: (r["issue"], r["issues"]) for r in issues.mine(spark.createDataFrame(rows, "row_ord long, domain string, review_text string"), issues.default_taxonomy(spark)).collect()}
+    assert got == {1: ("crash", "crash"), 2: ("inappropriate_content", "inappropriate_content")}
 
 
 def test_retrieval_excludes_itself_and_equal_texts(spark):
@@ -163,6 +221,9 @@ def test_csv_encodings_and_missing(spark, tmp_path):
     a = readers.read_csv(spark, str(tmp_path / "a.csv"))
     assert a.columns == ["name", "review_text"] and a.collect()[0].asDict() == {"name": "Café", "review_text": "two\nlines"}
     assert readers.read_csv(spark, str(tmp_path / "b.csv")).first()["name"] == "Café"
+    (tmp_path / "c.csv").write_bytes("name,review_text\nCafé \ufffd,x\n".encode())
+    assert readers.read_csv(spark, str(tmp_path / "c.csv"), multi_line=False).first()["name"] == "Café \ufffd"
+    assert {r["name"] for r in readers.read_csv(spark, str(tmp_path / "[bc].csv")).collect()} == {"Café", "Café \ufffd"}
     assert readers.missing_to_null(a).where("name IS NULL").count() == 1
     assert readers.single_review(spark, " fine, really ", 4, "hotel").first()["review_text"] == "fine, really"
 
