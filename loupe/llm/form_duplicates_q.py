@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loupe.llm.form_duplicates import collapse, repeats
+from loupe.llm import sqlforms as Q
 from loupe.session import table
 
 
@@ -23,4 +24,9 @@ def p6_collapsed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_collapsed": p6_collapsed}
-SQL: dict[str, str] = {}
+_CANON = f"(SELECT row_ord, {Q.key('entity_id')} AS e, {Q.canonical('review_text')} AS w FROM {Q.SAMPLE} WHERE {Q.key('entity_id')} IS NOT NULL AND review_text IS NOT NULL)"
+_KEPT = f"(SELECT row_ord, min(row_ord) OVER (PARTITION BY e, w) AS kept_row_ord FROM {_CANON} WHERE w <> '' AND {Q.count('w')} >= 4)"
+SQL: dict[str, str] = {
+    "p6_found": f"SELECT kept_row_ord, row_ord FROM {_KEPT} WHERE row_ord <> kept_row_ord",
+    "p6_collapsed": f"SELECT kept_row_ord, count(*) AS copies FROM {_KEPT} GROUP BY 1",
+}

@@ -95,6 +95,18 @@ class Templates(Words):
         return word if _has(self.ordinary, np.array([xxh3_64_intdigest(word)], np.uint64))[0] else NAME
 
 
+class Kinds(dict):
+    """The template words of words."""
+
+    def __init__(self, templates: Templates):
+        super().__init__()
+        self.templates = templates
+
+    def __missing__(self, word: str) -> str:
+        t = self[word] = self.templates.of(word)
+        return t
+
+
 def _longest_consistent(a: list[str], b: list[str], ta: list[str]) -> int:
     """Words of the longest part, of WIDTH or more, in which every slot filler of one side faces one filler of the other and no more than a quarter of the words are slots; 0 if there is none."""
     slots = [t in (NUM, UNIT, NAME) for t in ta]
@@ -209,7 +221,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     faced = faced.join(sent(entries.select("item_id", F.xxhash64("words").alias("item_name"), F.col("words").alias("item_words"))), ["item_id", "item_name"])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Templates(ordinary.value)
+        kind = Kinds(Templates(ordinary.value)).__getitem__
         for b in batches:
             out = []
             for doc, item, shift, places, mine, theirs in zip(*(b[c].tolist() for c in ("doc_id", "item_id", "shift", "places", "words", "item_words"))):
@@ -217,8 +229,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 exact = template = 0
                 for lo, hi in _runs(list(places)):
                     x, y = mine[lo : hi + WIDTH], theirs[lo - shift : hi - shift + WIDTH]
-                    kinds = [memo.of(w) for w in x]
-                    if kinds != [memo.of(w) for w in y]:
+                    kinds = list(map(kind, x))
+                    if kinds != list(map(kind, y)):
                         continue  # windows that only have the same hash
                     equal = _longest_equal(x, y)
                     if equal >= WIDTH:
