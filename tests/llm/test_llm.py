@@ -316,6 +316,30 @@ def test_many_damaged_places_are_all_restored(spark):
     assert got == {1000: (" ".join(good), False)}
 
 
+@pytest.mark.parametrize(
+    ("language", "written_in", "read_as"),
+    [("fr", "cp1252", "cp1251"), ("de", "cp1252", "mac_roman"), ("fr", "utf-8", "cp437"), ("es", "cp1252", "cp437"), ("fr", "cp1252", "cp1250"), ("ja", "shift_jis", "cp1252")],
+)
+def test_other_pairs_of_encodings(spark, language, written_in, read_as):
+    good = {
+        "fr": ["Le café était très agréable près de l’entrée où le père fêtait à côté", "Après le dîner la crème brûlée était à peine tiède, dès lors très décevant"],
+        "de": ["Das Frühstück war schön und die Größe gut für größere Gäste", "Für fünf Nächte wäre ein schönes Zimmer zu müde Füße nötig"],
+        "es": ["La atención al público llegó mañana también según el señor", "El baño pequeño está más allá del jardín según mi compañía"],
+        "ja": ["部屋は静かで朝食もとても良かったです", "スタッフは親切で駅からも近いです"],
+    }
+    every = [t for k in good for t in good[k]]
+    rows = [(i, every[i % len(every)]) for i in range(400)]
+    spoilt = {}
+    for j, t in enumerate(good[language]):
+        t = t.replace("’", "'")
+        raw = t.encode(written_in)
+        made = "".join(bytes([b]).decode(read_as, "ignore") or chr(b) for b in raw)
+        spoilt[1000 + j] = (made, t)
+    got = {r["row_ord"]: r["restored"] for r in encoding.find_garbled(spark.createDataFrame(rows + [(i, m) for i, (m, _) in spoilt.items()], "row_ord long, text string")).collect()}
+    assert set(got) == set(spoilt)
+    assert sum(got[i] == t for i, (_, t) in spoilt.items()) >= 1
+
+
 # ---- 8
 
 
