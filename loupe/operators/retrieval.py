@@ -15,6 +15,13 @@ def unit(v: Column) -> Column:
     return F.when(length == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / length))
 
 
+def candidate_pool(queries: DataFrame, corpus: DataFrame, group: str, pool: int) -> DataFrame:
+    """The `pool` corpus rows of the same group with the greatest product, for each query; ties by c_id. queries: q_id, group, vec; corpus: c_id, group, vec."""
+    pairs = queries.join(corpus.withColumnRenamed("vec", "c_vec"), group).select("q_id", "c_id", F.round(dot(F.col("vec"), F.col("c_vec")), 4).alias("score"))
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "c_id"))
+    return pairs.withColumn("place", place).where(F.col("place") <= pool)
+
+
 def top_evidence(queries: DataFrame, corpus: DataFrame, group: str, k: int = 3, pool: int = 80, least: float = 0.0) -> DataFrame:
     """The k best corpus rows of the same group for each query row, after a pool of the best `pool`; never itself, never an equal hash.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loupe.functions.text import clipped_rating, placeholder_to_empty, review_id, safe_rating, squeeze, trimmed, upload_domain
+from loupe.functions.text import clipped_rating, known_domain, placeholder_to_empty, review_id, safe_rating, squeeze, trimmed, upload_domain
 from loupe.operators.dedup import first_by
 
 COMMON = T.StructType(
@@ -155,6 +155,19 @@ def final_cleanup(df: DataFrame) -> DataFrame:
     return first_by(x, ["domain", "entity_id", "review_text"], "row_ord")
 
 
+def select_entity(df: DataFrame, domain: str | None = None, entity_id: str | None = None, name: str | None = None) -> DataFrame:
+    """The rows of a domain and an entity, by its id or by a part of its name in any case; all rows if none fits."""
+    fits = F.lit(True)
+    if domain:
+        fits &= F.coalesce(known_domain(F.col("domain")) == domain, F.lit(False))
+    if entity_id:
+        fits &= F.coalesce(F.col("entity_id") == entity_id, F.lit(False))
+    if name:
+        fits &= F.coalesce(F.contains(F.lower("entity_name"), F.lit(name.lower())), F.lit(False))
+    chosen = df.where(fits)
+    return df if chosen.isEmpty() else chosen
+
+
 def detect_domain(columns: list[str], domains: set[str] | None = None) -> str:
     """The domain of a table by its domain values (several make it multidomain), else by its columns; multidomain if these tell nothing."""
     known = {d for d in domains or () if d in SHAPES}

@@ -12,6 +12,12 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(df.agg(F.count("*").alias("total")))).select("value", "n", F.round(F.col("n") * 100 / F.col("total"), 2).alias("percent"))
 
 
+def distribution(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """The keys with a map of value to count; null values are unknown."""
+    counts = df.groupBy(*keys, F.coalesce(column, F.lit("unknown")).alias("__value")).agg(F.count("*").alias("__n"))
+    return counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__value", "__n"))).alias("distribution"))
+
+
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """Zero-filled contingency table over the given values, in one aggregation."""
     return df.groupBy(row).agg(*[F.count_if(F.col(column) == v).alias(v) for v in values])
@@ -32,7 +38,7 @@ def entity_summary(df: DataFrame) -> DataFrame:
     """By domain and entity: rows, mean rating and shares of the labels; null keys stay a group."""
     share = lambda v: F.round(F.avg((F.col("label") == v).cast("double")) * 100, 2)
     return df.groupBy("domain", "entity_id").agg(
-        F.count("*").alias("reviews"), F.round(F.avg("rating"), 2).alias("avg_rating"), F.min("rating").alias("min_rating"), F.max("rating").alias("max_rating"),
+        F.min("entity_name").alias("entity_name"), F.count("*").alias("reviews"), F.round(F.avg("rating"), 2).alias("avg_rating"), F.min("rating").alias("min_rating"), F.max("rating").alias("max_rating"),
         share("negative").alias("negative_pct"), share("positive").alias("positive_pct"),
     )
 
@@ -99,3 +105,12 @@ def by_scale(counts: DataFrame, column: str, scale: list[str]) -> DataFrame:
 def top_items(counts: DataFrame, label: str, n: str, most: int, exclude: tuple[str, ...] = ()) -> DataFrame:
     """The labels with the greatest numbers above zero, without those excluded in any case; ties by label."""
     return counts.where(~F.lower(label).isin(*exclude) & (F.col(n) > 0)).orderBy(F.desc(n), label).limit(most)
+
+
+def normal_distribution(as_map: DataFrame, as_list: DataFrame, as_text: DataFrame) -> DataFrame:
+    """(label, n) of distributions d given as a map, as a list of (label, count) and as JSON of pairs; equal labels are added up."""
+    first = as_map.select(F.explode("d").alias("label", "n"))
+    second = as_list.select(F.inline("d")).toDF("label", "n")
+    pairs = as_text.select(F.explode(F.from_json("d", "array<array<string>>")).alias("p"))
+    third = pairs.select(F.col("p")[0].alias("label"), F.col("p")[1].try_cast("long").alias("n"))
+    return first.unionByName(second).unionByName(third).groupBy("label").agg(F.sum("n").alias("n"))

@@ -164,6 +164,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return joined.select("row_ord", "domain", "issue", "severity", issues.severity_level(F.col("severity")).alias("level"))
 
 
+@query("join_taxonomy_cross", f"""SELECT t.domain, issue, count(*) AS n FROM (SELECT CASE WHEN domain IN ('mobile_app', 'hotel', 'ecommerce', 'restaurant') THEN domain ELSE 'mobile_app' END AS domain FROM orchestrator_hotel_sample) r JOIN ({R._TAX_ROWS}) t USING (domain) GROUP BY 1, 2""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Each review meets every issue of its domain; how often each issue is met."""
+    x = R.sample(s, d).select(issues.mining_domain(F.col("domain")).alias("domain"))
+    return x.join(F.broadcast(issues.default_taxonomy(s).select("domain", "issue")), "domain").groupBy("domain", "issue").agg(F.count("*").alias("n"))
+
+
 @query("flt_human_verified", f"""SELECT row_ord FROM (SELECT row_ord, domain, issue, ['yes', 'true', '1', 'verified', 'no', ' YES '][row_ord % 6 + 1] AS told, CASE WHEN row_ord % 5 = 0 THEN 'no_issue' WHEN row_ord % 7 = 0 THEN 'other' ELSE issue END AS named FROM {_ROWS})
     WHERE lower(trim(told)) NOT IN ('yes', 'true', '1', 'verified') OR (named <> 'no_issue' AND named <> issue)""")
 def _(s: SparkSession, d: str) -> DataFrame:

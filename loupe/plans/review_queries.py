@@ -282,9 +282,16 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "hotel_raw").where(X.says_something(side, X.NEGATIVE_PLACEHOLDERS) & (X.word_count(side) >= 4)).select("hotel_name", X.squeeze(side).alias("side"))
 
 
-@query("flt_entity_select", f"SELECT row_ord, entity_name FROM {SAMPLE} WHERE contains(lower(entity_name), 'café')")
+@query("flt_entity_select", f"SELECT row_ord, entity_name FROM {SAMPLE} WHERE contains(lower(entity_name), 'café') AND {q_domain('domain')} = 'hotel'")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return sample(s, d).where(F.contains(F.lower("entity_name"), F.lit("café"))).select("row_ord", "entity_name")
+    """By domain and part of the name, whatever the case."""
+    return standardise.select_entity(sample(s, d), domain="hotel", name="CAFÉ").select("row_ord", "entity_name")
+
+
+@query("flt_entity_fallback", f"SELECT row_ord FROM {SAMPLE}")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """No row fits: all are taken."""
+    return standardise.select_entity(sample(s, d), entity_id="no such entity").select("row_ord")
 
 
 # ---- duplicates, conflicts, sets
@@ -330,6 +337,19 @@ def both_keys(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return sample(s, d).select(X.text_key(T()).alias("k")), canon(s, d).select(X.text_key(T()).alias("k"))
 
 
+@query("join_conflict_anti", f"SELECT row_ord FROM {_CLEANED} WHERE k NOT IN (SELECT k FROM {_CLEANED} GROUP BY k HAVING min(label) <> max(label))")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Rows whose text carries one label only; repeated texts stay."""
+    x = cleaned(s, d).select("row_ord", "k", "label")
+    blocked = x.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    return x.join(blocked.select("k"), "k", "left_anti").select("row_ord")
+
+
+@query("win_first_per_key", f"SELECT k, min(row_ord) AS row_ord FROM {_CLEANED} GROUP BY k")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return dedup.first_by(cleaned(s, d).select("k", "row_ord"), ["k"], "row_ord")
+
+
 @query("set_union_all", f"SELECT k, count(*) AS n FROM ({_UNION}) GROUP BY k")
 def _(s: SparkSession, d: str) -> DataFrame:
     a, b = both_keys(s, d)
@@ -380,9 +400,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return summaries.value_counts(labelled(s, d), "label")
 
 
-@query("agg_distributions", f"SELECT coalesce(domain, 'unknown') AS value, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM {CANON}), 2) AS percent FROM {_LABELLED} GROUP BY 1")
+@query("agg_distributions", f"""SELECT entity_id, string_agg(label || ': ' || n, ', ' ORDER BY label) AS labels FROM (SELECT entity_id, coalesce(label, 'unknown') AS label, count(*) AS n FROM {_LABELLED} GROUP BY 1, 2) GROUP BY 1""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return summaries.value_counts(labelled(s, d), "domain")
+    """The counts of each entity's labels, as a map in the operator and as text in the query."""
+    x = summaries.distribution(labelled(s, d), ["entity_id"], "label")
+    pairs = F.array_sort(F.map_entries("distribution"))
+    return x.select("entity_id", F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit(": "), p["value"].cast("string"))), ", ").alias("labels"))
 
 
 @query("agg_crosstab", f"SELECT domain, count(*) FILTER (label = 'negative') AS negative, count(*) FILTER (label = 'neutral') AS neutral, count(*) FILTER (label = 'positive') AS positive FROM {_LABELLED} GROUP BY 1")
@@ -395,7 +418,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return labelled(s, d).groupBy("domain", "label").agg(F.count("*").alias("n"))
 
 
-_ENTITY = f"""SELECT domain, entity_id, count(*) AS reviews, round(avg(rating), 2) AS avg_rating, min(rating) AS min_rating, max(rating) AS max_rating,
+_ENTITY = f"""SELECT domain, entity_id, min(entity_name) AS entity_name, count(*) AS reviews, round(avg(rating), 2) AS avg_rating, min(rating) AS min_rating, max(rating) AS max_rating,
     round(avg(CASE WHEN label = 'negative' THEN 1.0 ELSE 0.0 END) * 100, 2) AS negative_pct, round(avg(CASE WHEN label = 'positive' THEN 1.0 ELSE 0.0 END) * 100, 2) AS positive_pct FROM {_LABELLED} GROUP BY 1, 2"""
 
 
@@ -414,9 +437,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return labelled(s, d).groupBy("entity_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity_id").limit(6)
 
 
-@query("agg_evidence_examples", f"SELECT row_ord, entity_id, rating, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY rating, row_ord) AS rank FROM {_LABELLED}) WHERE rank <= 3")
+@query("agg_evidence_examples", f"""SELECT entity_id, string_agg(substring(t, 1, 220), ' || ' ORDER BY standing, row_ord) AS examples FROM (
+    SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY standing, row_ord) AS rn FROM (SELECT row_ord, entity_id, {q_squeeze('review_text')} AS t, coalesce(rating, 100.0) AS standing FROM {SAMPLE}) WHERE t <> '') WHERE rn <= 3 GROUP BY 1""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return summaries.lowest_per_group(labelled(s, d).select("row_ord", "entity_id", "rating"), ["entity_id"], [F.asc_nulls_last("rating"), F.col("row_ord")], 3)
+    """The three worst reviews of each entity that say something, 220 characters of each; reviews without a rating come last."""
+    x = sample(s, d).select("row_ord", "entity_id", X.squeeze(T()).alias("t"), F.coalesce("rating", F.lit(100.0)).alias("standing")).where("t <> ''")
+    three = summaries.lowest_per_group(x, ["entity_id"], [F.col("standing"), F.col("row_ord")], 3)
+    items = F.sort_array(F.collect_list(F.struct("rank", F.substring("t", 1, 220).alias("t"))))
+    return three.groupBy("entity_id").agg(F.array_join(F.transform(items, lambda i: i["t"]), " || ").alias("examples"))
 
 
 @query("agg_class_weights", f"SELECT label, count(*) AS n, round((SELECT count(*) FROM {CANON}) / ((SELECT count(DISTINCT label) FROM {_LABELLED}) * count(*)), 6) AS weight FROM {_LABELLED} GROUP BY 1")
@@ -424,9 +452,15 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return summaries.class_weights(labelled(s, d), "label")
 
 
-@query("agg_domain_performance", f"SELECT domain, count(*) AS n, round(avg(rating), 2) AS avg_rating, count(DISTINCT entity_id) AS entities FROM {_LABELLED} GROUP BY 1")
+@query("agg_domain_performance", f"""SELECT p.*, m.label AS modal_label FROM (SELECT coalesce(domain, 'unknown') AS domain, count(*) AS reviews, round(avg(rating), 2) AS avg_rating, min(rating) AS min_rating, max(rating) AS max_rating, count(DISTINCT entity_id) AS entities,
+        round(avg(CASE WHEN label = 'negative' THEN 1.0 ELSE 0.0 END) * 100, 2) AS negative_pct, round(avg(CASE WHEN label = 'neutral' THEN 1.0 ELSE 0.0 END) * 100, 2) AS neutral_pct, round(avg(CASE WHEN label = 'positive' THEN 1.0 ELSE 0.0 END) * 100, 2) AS positive_pct FROM {_LABELLED} GROUP BY 1) p
+    JOIN (SELECT coalesce(domain, 'unknown') AS domain, label, row_number() OVER (PARTITION BY coalesce(domain, 'unknown') ORDER BY count(*) DESC, label) AS rn FROM {_LABELLED} GROUP BY 1, 2) m ON p.domain = m.domain AND m.rn = 1""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return labelled(s, d).groupBy("domain").agg(F.count("*").alias("n"), F.round(F.avg("rating"), 2).alias("avg_rating"), F.count_distinct("entity_id").alias("entities"))
+    x = labelled(s, d).withColumn("domain", F.coalesce("domain", F.lit("unknown")))
+    share = lambda v: F.round(F.avg((F.col("label") == v).cast("double")) * 100, 2).alias(f"{v}_pct")
+    numbers = [F.count("*").alias("reviews"), F.round(F.avg("rating"), 2).alias("avg_rating"), F.min("rating").alias("min_rating"), F.max("rating").alias("max_rating"), F.count_distinct("entity_id").alias("entities")]
+    modal = summaries.top_values(x, ["domain"], "label", 1).select("domain", F.col("label").alias("modal_label"))
+    return x.groupBy("domain").agg(*numbers, *[share(v) for v in X.LABELS]).join(modal, "domain")
 
 
 @query("agg_min_max_date", f"SELECT source, min(review_date) AS first, max(review_date) AS last FROM {SAMPLE} GROUP BY 1")
@@ -644,10 +678,15 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return retrieval.top_evidence(v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "q_id"), v.withColumnRenamed("vec_id", "c_id"), "g")
 
 
-@query("num_l2_normalise", "SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS length FROM (SELECT vec_id, list_transform(x, lambda e: e / sqrt(list_dot_product(x, x))) AS v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings))")
+_TWICE = "list_transform(CAST(embedding AS DOUBLE[]), lambda e: e * (1 + vec_id % 5))"
+
+
+@query("num_l2_normalise", f"SELECT vec_id, array_to_string(list_transform(list_transform(x, lambda e: e / sqrt(list_dot_product(x, x)))[1:4], lambda e: CAST(CAST(round(e * 10000) AS BIGINT) AS VARCHAR)), ' ') AS first_four FROM (SELECT vec_id, {_TWICE} AS x FROM embeddings)")
 def _(s: SparkSession, d: str) -> DataFrame:
-    u = table(s, d, "embeddings").select("vec_id", retrieval.unit(F.col("embedding")).alias("v"))
-    return u.select("vec_id", F.round(F.sqrt(retrieval.dot(F.col("v"), F.col("v"))), 6).alias("length"))
+    """Vectors of any length made unit vectors: the first four numbers in ten thousandths."""
+    long = F.transform("embedding", lambda e: e.cast("double") * (1 + F.col("vec_id") % 5))
+    u = table(s, d, "embeddings").select("vec_id", retrieval.unit(long).alias("v"))
+    return u.select("vec_id", F.array_join(F.transform(F.slice("v", 1, 4), lambda e: F.round(e * 10000).cast("long").cast("string")), " ").alias("first_four"))
 
 
 @query("src_maps", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")

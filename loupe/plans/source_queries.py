@@ -122,7 +122,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("dash_distribution_norm", "SELECT lower(trim(domain)) AS label, count(*) AS n FROM orchestrator_hotel_sample WHERE domain IS NOT NULL GROUP BY 1")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return R.sample(s, d).where("domain IS NOT NULL").groupBy(F.lower(F.trim("domain")).alias("label")).agg(F.count("*").alias("n"))
+    """Distributions in three forms (a map, a list of labels and counts, pairs as text) as one: equal labels are added up."""
+    x = R.sample(s, d).where("domain IS NOT NULL").select("row_ord", F.lower(F.trim("domain")).alias("label"))
+    part = lambda k: x.where(F.col("row_ord") % 3 == k).groupBy("label").agg(F.count("*").alias("n"))
+    as_map = part(0).agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("d"))
+    as_list = part(1).agg(F.collect_list(F.struct("label", F.col("n").alias("count"))).alias("d"))
+    as_text = part(2).agg(F.to_json(F.collect_list(F.array("label", F.col("n").cast("string")))).alias("d"))
+    return summaries.normal_distribution(as_map, as_list, as_text)
 
 
 @query("agg_dashboard_dist", "SELECT source AS label, count(*) AS n FROM orchestrator_hotel_sample WHERE source IS NOT NULL GROUP BY 1 ORDER BY n DESC, label LIMIT 8")
@@ -146,9 +152,43 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return texts.groupBy("domain").agg(F.count("*").alias("texts"), F.sum("n").alias("rows"))
 
 
-@query("num_dot", "SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 4) AS value FROM embeddings")
+_PAIR = "(SELECT vec_id, label % 4 AS g, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+@query("num_dot", f"SELECT a.vec_id, round(list_dot_product(a.v, b.v), 4) AS value FROM {_PAIR} a JOIN {_PAIR} b ON b.vec_id = a.vec_id + 1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The product of each vector with the next one."""
+    v = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    return v.join(after, "vec_id").select("vec_id", F.round(retrieval.dot(F.col("v"), F.col("w")), 4).alias("value"))
+
+
+@query("join_retrieval_theta", f"SELECT q.vec_id AS q_id, count(*) AS n, round(max(list_dot_product(q.v, c.v)), 4) AS best FROM {_PAIR} q JOIN {_PAIR} c ON q.g = c.g AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Every query (ids divisible by 50) against all rows of its group but itself: how many there are, and the best product."""
+    v = table(s, d, "embeddings").select("vec_id", (F.col("label") % 4).alias("g"), F.col("embedding").alias("v"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "g", F.col("v").alias("w"))
+    pairs = q.join(v, "g").where("q_id <> vec_id")
+    return pairs.groupBy("q_id").agg(F.count("*").alias("n"), F.round(F.max(retrieval.dot(F.col("v"), F.col("w"))), 4).alias("best"))
+
+
+@query("win_candidate_pool", f"SELECT q_id, c_id, place FROM (SELECT q.vec_id AS q_id, c.vec_id AS c_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, c.v), 4) DESC, c.vec_id) AS place FROM {_PAIR} q JOIN {_PAIR} c ON q.g = c.g WHERE q.vec_id % 50 = 0) WHERE place <= 80")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The eighty likeliest rows of a query's group, itself among them, before anything is ranked again or left out."""
+    v = table(s, d, "embeddings").select("vec_id", (F.col("label") % 4).alias("g"), F.col("embedding").alias("vec"))
+    return retrieval.candidate_pool(v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "q_id"), v.withColumnRenamed("vec_id", "c_id"), "g", 80).select("q_id", "c_id", "place")
+
+
+@query("lbl_hotel", f"""SELECT coalesce(label, 'none') AS label, count(*) AS n FROM (SELECT CASE WHEN nv AND sc <= 5 THEN 'negative' WHEN pv AND sc >= 8 THEN 'positive' WHEN {_EVEN} THEN 'neutral' END AS label FROM {_SIDES}) GROUP BY 1""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """How many hotel reviews get which label, and how many get none."""
+    label = F.when(F.col("nv") & (F.col("sc") <= 5), "negative").when(F.col("pv") & (F.col("sc") >= 8), "positive").when(F.col("even"), "neutral").otherwise("none")
+    return sides(s, d).groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("num_mean_pct", "SELECT source, round(avg(CASE WHEN rating >= 4 THEN 1.0 ELSE 0.0 END) * 100, 2) AS good_pct FROM orchestrator_hotel_sample WHERE rating IS NOT NULL GROUP BY 1")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "embeddings").select("vec_id", F.round(retrieval.dot(F.col("embedding"), F.col("embedding")), 4).alias("value"))
+    return R.sample(s, d).where("rating IS NOT NULL").groupBy("source").agg(F.round(F.avg((F.col("rating") >= 4).cast("double")) * 100, 2).alias("good_pct"))
 
 
 @query("agg_top_values", "SELECT * FROM (SELECT app_id, review_created_version, count(*) AS n, row_number() OVER (PARTITION BY app_id ORDER BY count(*) DESC, review_created_version) AS rank FROM mobile_app_raw WHERE review_created_version IS NOT NULL GROUP BY 1, 2) WHERE rank <= 5")
