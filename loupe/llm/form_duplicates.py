@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loupe.llm.keys import entity_key
 from loupe.llm.text import MIN_WORDS, canonical, enough
-from loupe.session import cut
+from loupe.session import cut, stored
 
 
 def canonical_records(rows: DataFrame) -> DataFrame:
@@ -64,7 +64,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def runs(rows: DataFrame) -> DataFrame:
     """The scanned runs of all partitions, see _scan()."""
-    records = canonical_records(rows)
+    # written once: finding the ranges reads the records as well
+    records = stored(canonical_records(rows))
     spark = records.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = records.repartitionByRange(parts, "canon", "row_ord").sortWithinPartitions("canon", "row_ord")

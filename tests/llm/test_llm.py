@@ -269,6 +269,38 @@ def test_hot_family_with_edits_over_the_whole_text_is_whole(spark, monkeypatch):
     assert len(got) == 144 and set(got) == {(a, b) for a in range(1, 24, 2) for b in range(0, 24, 2)}
 
 
+def test_pairs_and_coverage_come_from_the_automata(spark, monkeypatch):
+    rng = random.Random(15)
+    base = text(rng, 40).split()
+    changed = [*base[:20], "other", *base[21:]]
+    texts = [" ".join(base), " ".join(changed), " ".join(base).upper(), text(rng, 30), " ".join(base[:20] + text(rng, 20).split())]
+    body = spark.createDataFrame([(i, "s", t, "x") for i, t in enumerate(texts)], "row_ord long, source string, text string, id string")
+    splits = spark.createDataFrame([(0, "train"), (1, "test"), (2, "test"), (3, "test"), (4, "holdout")], "row_ord long, split string")
+    pairs, coverage = overlap.overlaps_and_coverage(splits, body)
+    assert {(r["train_row_ord"], r["row_ord"], r["edits"]) for r in pairs.collect()} == {(0, 1, 1), (0, 2, 0)}
+    covered = {r["row_ord"]: r["covered"] / r["words"] for r in coverage.collect()}
+    assert covered[2] == 1 and 0.8 < covered[1] < 1 and covered[3] == 0 and 0.3 < covered[4] <= 0.5
+    monkeypatch.setattr(overlap, "_scanner", lambda number, shared: lambda batches: (b.iloc[:0].assign(a_id=0, b_id=0, edits=0, longer=0, covered=0, shard=0, seen=None)[[f.split()[0] for f in overlap._FOUND.split(", ")]] for b in batches))
+    assert overlap.cross_split_overlaps(splits, body).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_borders_leave_enough_passages_whole(share):
+    rng = random.Random(2)
+    memo = overlap.Words()
+    counts = np.zeros((overlap.WIDE + 1, overlap.SLOTS), np.uint32)
+    for n in [*range(4, 60), 200, 1000]:
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+        starts, ends = overlap.borders(np.array([n]), overlap.word_hashes(base, memo), counts)
+        assert len(starts) == n // 4 + 1 and starts[0] >= 0 and ends[-1] <= n
+        assert (starts[1:] >= ends[:-1]).all() and set(ends - starts) <= set(range(overlap.NARROW, overlap.WIDE + 1))
+        spoilt = list(base)
+        for at in rng.sample(range(n), int(n * share)):
+            spoilt[at] = "other"
+        shard = overlap.Shard(np.array([7]), [" ".join(base)], starts, ends).build()
+        assert [(t, r, e) for t, r, e, _, _ in shard.scan([" ".join(spoilt)])] == [(0, 0, int(n * share))]
+
+
 # ---- 6
 
 
@@ -366,6 +398,16 @@ def test_corpus_ids(spark):
     assert tokens.encode_corpus(x.where("false")).count() == 0
 
 
+def test_long_unsplit_pieces_in_a_table(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (2_100, 9_000, 20_000) for letters in ("etaoin", "абвг", "_-=", "0123456789")]
+    texts += ["word " + texts[1] + " more\n\n" + " " * 5_000 + texts[2], "再" * 3_000]
+    x = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    code = tokens.encoder(tokens.VOCABULARY)
+    got = {r["doc_id"]: r["ids"] for r in tokens.encode_corpus(x).collect()}
+    assert all(got[i] == code._coder.encode_ordinary(t) for i, t in enumerate(texts))
+
+
 # ---- 9
 
 
