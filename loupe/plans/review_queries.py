@@ -669,13 +669,13 @@ _VEC = "(SELECT vec_id, label % 4 AS g, md5(CAST(vec_id // 2 AS VARCHAR)) AS has
 
 @query("win_topk_per_query", f"""WITH q AS (SELECT vec_id AS q_id, g, hash, vec FROM {_VEC} WHERE vec_id % 50 = 0), c AS (SELECT vec_id AS c_id, g, hash AS c_hash, vec AS c_vec FROM {_VEC}),
     s AS (SELECT q_id, c_id, hash, c_hash, round(list_dot_product(vec, c_vec), 4) AS score FROM q JOIN c USING (g)),
-    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, c_id) AS place FROM s) WHERE place <= 80 AND c_id <> q_id AND hash <> c_hash AND score >= 0),
+    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, c_id) AS place FROM s) WHERE place <= 80 AND c_id <> q_id AND hash <> c_hash AND score >= 0.30),
     o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id, c_hash ORDER BY score DESC, c_id) AS again FROM p) WHERE again = 1)
     SELECT q_id, c_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, c_id) AS rank FROM o) WHERE rank <= 3""")
 def _(s: SparkSession, d: str) -> DataFrame:
     """Queries: every row whose id is divisible by 50, against all rows."""
     v = table(s, d, "embeddings").select("vec_id", (F.col("label") % 4).alias("g"), F.md5(F.floor(F.col("vec_id") / 2).cast("string")).alias("hash"), F.col("embedding").alias("vec"))
-    return retrieval.top_evidence(v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "q_id"), v.withColumnRenamed("vec_id", "c_id"), "g")
+    return retrieval.top_evidence(v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "q_id"), v.withColumnRenamed("vec_id", "c_id"), "g", least=0.30)
 
 
 _TWICE = "list_transform(CAST(embedding AS DOUBLE[]), lambda e: e * (1 + vec_id % 5))"

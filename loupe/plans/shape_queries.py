@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loupe.functions import text as X
 from loupe.operators import dedup, standardise, summaries
 from loupe.plans import review_queries as R
-from loupe.session import checkpoint_dir, table
+from loupe.session import scratch, table
 from loupe.sources import readers, writers
 from loupe.streaming import reviews as streaming
 
@@ -166,15 +164,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
 # ---- files: written into the checkpoint folder and read again
 
 
-def _scratch(s: SparkSession) -> str:
-    return f"{checkpoint_dir(s)}/files-{uuid.uuid4().hex}"
-
-
 @query("src_csv_multi_encoding", f"SELECT row_ord, {R.q_squeeze('review_text')} AS review_text FROM {R.SAMPLE}")
 def _(s: SparkSession, d: str) -> DataFrame:
     """A CSV in Latin-1 and one in UTF-8, told apart by their bytes."""
     x = R.sample(s, d).select("row_ord", X.squeeze(R.T()).alias("review_text"))
-    folder = _scratch(s)
+    folder = scratch(s)
     # what Latin-1 can hold, and the rest
     narrow = ~F.col("review_text").rlike(r"[^\x00-\x{FF}]")
     x.where(narrow).write.option("header", True).option("escape", '"').option("quoteAll", True).option("encoding", "ISO-8859-1").csv(f"{folder}/narrow")
@@ -186,7 +180,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("src_csv_plain", f"SELECT row_ord, rating FROM {R.SAMPLE}")
 def _(s: SparkSession, d: str) -> DataFrame:
-    folder = _scratch(s)
+    folder = scratch(s)
     writers.write_table(R.sample(s, d).select("row_ord", "rating"), folder, kind="csv")
     return readers.read_csv(s, folder, "row_ord long, rating double", multi_line=False)
 
@@ -199,7 +193,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("snk_dataset", f"SELECT {R.q_domain('domain')} AS domain, count(*) AS n, sum(rating) AS ratings FROM {R.CANON} WHERE {R.q_domain('domain')} IS NOT NULL GROUP BY 1")
 def _(s: SparkSession, d: str) -> DataFrame:
     """The dataset in a folder per domain, read again by domain."""
-    folder = _scratch(s)
+    folder = scratch(s)
     x = R.canon(s, d).withColumn("domain", X.known_domain(F.col("domain"))).where("domain IS NOT NULL")
     writers.write_table(x, folder, partition_by="domain")
     return s.read.parquet(folder).groupBy("domain").agg(F.count("*").alias("n"), F.sum("rating").alias("ratings"))
@@ -208,7 +202,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("snk_eval", f"SELECT label, support, f1 FROM ({R.SQL['evl_sentiment']})")
 def _(s: SparkSession, d: str) -> DataFrame:
     """Evaluation tables of a run with their manifest, the newest run read again."""
-    folder = _scratch(s)
+    folder = scratch(s)
     judged = R.judged(s, d)
     tables = {"labels": summaries.precision_recall(judged, "actual", "predicted", list(X.LABELS)), "overall": summaries.overall(judged, "actual", "predicted", list(X.LABELS))}
     writers.write_run(tables, f"{folder}/run_1", {"kind": "evaluation"})
@@ -218,7 +212,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("src_latest_run", "SELECT 'run_2' AS name, 'second' AS note")
 def _(s: SparkSession, d: str) -> DataFrame:
     """The newest finished run below a folder."""
-    folder = _scratch(s)
+    folder = scratch(s)
     one = s.createDataFrame([(1,)], "n int")
     for name, note in (("run_1", "first"), ("run_2", "second")):
         writers.write_run({"t": one}, f"{folder}/{name}", {"note": note})
@@ -233,7 +227,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("str_label_counts", f"SELECT {R.q_label('score')} AS label, count(*) AS n FROM mobile_app_raw GROUP BY 1")
 def _(s: SparkSession, d: str) -> DataFrame:
     """The row-wise operators on a stream of files, run until what is there has been read, written as a table."""
-    folder = _scratch(s)
+    folder = scratch(s)
     table(s, d, "mobile_app_raw").select("content", F.col("score").cast("string").alias("score"), "review_at").write.parquet(f"{folder}/in")
     stream = s.readStream.schema("content string, score string, review_at timestamp").parquet(f"{folder}/in")
     labelled = streaming.scored(stream).withColumn("label", X.rating_label(X.number(F.col("score")))).select("label")

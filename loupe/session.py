@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -45,6 +46,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="loupe-checkpoints-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return named
 
@@ -66,13 +68,19 @@ def _remove_tables() -> None:
             return
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table written into the checkpoint folder: compressed, and read by columns. It goes at the end of the process."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the checkpoint folder, which goes at the end of the process."""
     folder = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     if not _TABLES:
         atexit.register(_remove_tables)
     _TABLES.append((spark._jvm.org.apache.hadoop.fs.Path(folder), spark._jsc.hadoopConfiguration()))
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table written into the checkpoint folder: compressed, and read by columns."""
+    spark = df.sparkSession
+    folder = scratch(spark)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
