@@ -51,29 +51,38 @@ def star_edges(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tied, tied.where("entity_key <> least").select(F.col("least").alias("u"), F.col("entity_key").alias("v")).distinct()
 
 
+def _jumped(hooks: DataFrame) -> DataFrame:
+    """Every hook under what its target is hooked under, and whether it moved."""
+    up = hooks.select(F.col("root").alias("under"), F.col("under").alias("above"))
+    return hooks.join(up, "under", "left").select("root", F.coalesce("above", "under").alias("under"), F.col("above").isNotNull().alias("moved"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node that has an edge; root is the component's smallest node."""
-    edges = cut(edges.select("u", "v"))
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    parent = nodes.select("node", F.col("node").alias("root"))
-    live = edges
+    """(node, root) of every node that has an edge; root is the component's smallest node.
+
+    Edges are kept between roots only, so a round works on what is still unsettled; the parent table takes the hooks of all rounds at the end.
+    """
+    ordered = lambda u, v: [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
+    every = cut(edges.select(*ordered("u", "v")).distinct())
+    parent = every.select(F.col("u").alias("node")).union(every.select("v")).distinct().withColumn("root", F.col("node"))
+    live = every.where("u <> v")
     for _ in range(rounds):
-        # hook: the roots of both ends, and of each larger root the smallest one it meets
-        ends = live.join(parent.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u").join(parent.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v")
-        live = cut(ends.where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
         if live.isEmpty():
             return parent
+        # hook: each larger root under the smallest root that it meets
         hooks = live.groupBy(F.col("v").alias("root")).agg(F.min("u").alias("under"))
-        # shortcut the hooks among themselves until they point at roots, then move all nodes below them
         while True:
-            up = hooks.select(F.col("root").alias("under"), F.col("under").alias("above"))
-            jumped = cut(hooks.join(up, "under", "left").select("root", F.coalesce("above", "under").alias("under"), F.col("above").isNotNull().alias("moved")))
-            hooks = jumped.select("root", "under")
-            if jumped.where("moved").isEmpty():
+            # shortcut: twice in one job, until all hooks point at roots
+            hooks = cut(_jumped(_jumped(hooks).drop("moved")))
+            if hooks.where("moved").isEmpty():
                 break
-        parent = cut(parent.join(hooks, "root", "left").select("node", F.coalesce("under", "root").alias("root")))
-        # edges between roots of the last round are now between their new roots
-        live = live.select("u", "v")
+            hooks = hooks.drop("moved")
+        hooks = hooks.select("root", "under")
+        parent = parent.join(hooks, "root", "left").select("node", F.coalesce("under", "root").alias("root"))
+        # edges go between the new roots
+        left, right = hooks.toDF("u", "ru"), hooks.toDF("v", "rv")
+        ends = live.join(left, "u", "left").join(right, "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+        live = cut(ends.where("u <> v").select(*ordered("u", "v")).distinct())
     raise RuntimeError("components did not settle")
 
 

@@ -237,7 +237,7 @@ class Codes(dict):
 class Shard:
     """Some evaluation texts and the automaton of their passages."""
 
-    #: Meetings of a passage with its evaluation texts that are looked at together.
+    #: Meetings of passages with their evaluation texts that are looked at together, about.
     BLOCK = 1 << 20
 
     def __init__(self, ids: np.ndarray, texts: list[str], starts: np.ndarray, ends: np.ndarray):
@@ -306,26 +306,30 @@ class Shard:
         end, passage = np.array(hits, np.int64).T
         self.seen[passage] = True
         picture = np.packbits(picture, axis=1).view(np.uint64)
-        text = np.repeat(np.arange(len(texts)), size)
         at = (end + 1) // 3 - self.passage_width[passage]
+        # texts are taken together up to BLOCK meetings, so a hot passage fills no memory
+        first = np.r_[0, np.cumsum(size)]
+        upto = np.r_[0, np.cumsum(self.holders[passage])][first]
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + self.BLOCK, "right")) - 1)
+            hit = slice(first[i], first[j])
+            yield from self._near(texts, length, picture, np.repeat(np.arange(i, j), size[i:j]), at[hit], passage[hit])
+            i = j
+
+    def _near(self, texts: list[str], length: np.ndarray, picture: np.ndarray, text: np.ndarray, at: np.ndarray, passage: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """scan() of passages that were hit: the number of the text and the place of each."""
         meets = self.holders[passage]
-        upto = np.cumsum(meets)
-        total = len(self.owner)
-        keys, start = [], 0
-        while start < len(passage):
-            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + self.BLOCK, "right")))
-            m = meets[start:stop]
-            hit = np.repeat(np.arange(start, stop), m)
-            slot = np.arange(len(hit)) + np.repeat(self.first[passage[start:stop]] - (np.cumsum(m) - m), m)
-            piece = self.by_passage[slot]
-            n, other = self.n[self.owner[piece]], length[text[hit]]
-            most = np.maximum(n, other) // 5
-            # what is left whole has moved by no more than the edits before it
-            keep = (np.abs(n - other) <= most) & (np.abs(self.place[slot] - at[hit]) <= most)
-            keys.append(text[hit[keep]] * total + piece[keep])
-            start = stop
+        hit = np.repeat(np.arange(len(passage)), meets)
+        slot = np.arange(len(hit)) + np.repeat(self.first[passage] - (np.cumsum(meets) - meets), meets)
+        piece = self.by_passage[slot]
+        n, other = self.n[self.owner[piece]], length[text[hit]]
+        most = np.maximum(n, other) // 5
+        # what is left whole has moved by no more than the edits before it
+        keep = (np.abs(n - other) <= most) & (np.abs(self.place[slot] - at[hit]) <= most)
         # intervals of one evaluation text in one training text, merged
-        key = np.unique(np.concatenate(keys))
+        total = len(self.owner)
+        key = np.unique(text[hit[keep]] * total + piece[keep])
         if not len(key):
             return
         t, piece = key // total, key % total

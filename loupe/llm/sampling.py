@@ -175,12 +175,12 @@ def balanced_sample(rows: DataFrame, targets: DataFrame, n: int | None = None, s
     sample: (row_ord, domain, sentiment_label), each row at most once. report: a row per target cell with available, wanted
     (target percent of n), min_rows, expected, taken, residual (taken - wanted) and unmet: the first flight took all its rows, and they are below wanted or min_rows.
     Where the minimums need more than n, what they drew flies once more, down to n.
-    Rows without a domain or label, or outside the target cells, are never drawn. A cell without rows is reported with 0. Empty tables give an
+    Rows without a domain, a label or a row_ord are left out; those outside the target cells are never drawn. A cell without rows is reported with 0. Empty tables give an
     empty sample and a report of unmet cells; an empty target table gives neither.
     """
     spark = rows.sparkSession
     x = rows.select(F.col("row_ord").cast("long").alias("row_id"), domain(F.col("domain").cast("string")).alias("domain"), label(F.col("sentiment_label").cast("string")).alias("label"))
-    x = x.where("domain IS NOT NULL AND label IS NOT NULL")
+    x = x.where("row_id IS NOT NULL AND domain IS NOT NULL AND label IS NOT NULL")
     available, wanted = cell_counts(x), targets_of(targets)
     n = sum(available.values()) // 10 if n is None else n
     sizes = expected_sizes(available, wanted, n)
@@ -188,7 +188,7 @@ def balanced_sample(rows: DataFrame, targets: DataFrame, n: int | None = None, s
     parts = max(1, -(-sum(available.values()) // PART))
     named = F.broadcast(spark.createDataFrame([(*c, i) for i, c in enumerate(cells)], "domain string, label string, cell int"))
     # a row per target cell: twelve here, bounded by the table of targets
-    celled = x.where("row_id IS NOT NULL").join(named, ["domain", "label"]).select("row_id", "cell")
+    celled = x.join(named, ["domain", "label"]).select("row_id", "cell")
     drawn = _draw(celled, {i: sizes[c] / available[c] for i, c in enumerate(cells) if available.get(c)}, parts, seed)
     full = taken = _taken(drawn)
     if sum(sizes.values()) > n + 1e-6:

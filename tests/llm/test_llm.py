@@ -284,6 +284,26 @@ def test_pairs_and_coverage_come_from_the_automata(spark, monkeypatch):
     assert overlap.cross_split_overlaps(splits, body).count() == 0
 
 
+def test_meetings_are_looked_at_in_blocks():
+    rng = random.Random(21)
+    memo = overlap.Words()
+    base = text(rng, 30).split()
+    family = []
+    for i in range(40):
+        w = list(base)
+        for at in rng.sample(range(30), 2):
+            w[at] = f"own{i}"
+        family.append(" ".join(w))
+    lengths = np.full(40, 30)
+    starts, ends = overlap.borders(lengths, overlap.word_hashes([w for t in family for w in t.split()], memo), np.zeros((overlap.WIDE + 1, overlap.SLOTS), np.uint32))
+    shard = overlap.Shard(np.arange(40), family, starts, ends).build()
+    whole = sorted(shard.scan(family))
+    assert len(whole) == 1600
+    shard.BLOCK = 50
+    assert sorted(shard.scan(family)) == whole
+    assert list(shard.scan([])) == [] and list(shard.scan(["nothing that is known here"])) == []
+
+
 @pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
 def test_borders_leave_enough_passages_whole(share):
     rng = random.Random(2)
