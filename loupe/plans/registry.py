@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("loupe.plans.review_queries", "loupe.plans.source_queries", "loupe.plans.issue_queries", "loupe.plans.shape_queries", "loupe.plans.timestamp_queries")
+MODULES = ("loupe.plans.review_queries", "loupe.plans.source_queries", "loupe.plans.issue_queries", "loupe.plans.shape_queries", "loupe.plans.scoring_queries", "loupe.plans.timestamp_queries")
 
 
 def core_queries() -> dict[str, Query]:

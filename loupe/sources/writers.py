@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,31 @@ def latest_run(spark: SparkSession, parent: str) -> str | None:
         return None
     runs = [s for s in fs.listStatus(path) if s.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "manifest/_SUCCESS"))]
     return str(max(runs, key=lambda s: (s.getModificationTime(), str(s.getPath()))).getPath()) if runs else None
+
+
+def load_or_build(spark: SparkSession, folder: str, signature: str, build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """The table below a folder, and whether it had to be built: it is built where there is none or its manifest has another signature."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest/_SUCCESS")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    fresh = there and read_manifest(spark, folder).get("signature") == signature
+    if not fresh:
+        write_run({"table": build()}, folder, {"signature": signature})
+    return spark.read.parquet(f"{folder}/table"), not fresh
+
+
+def write_state(spark: SparkSession, folder: str, state: dict) -> None:
+    """A run's state as one line of JSON."""
+    spark.createDataFrame([(json.dumps(state, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(folder)
+
+
+def read_state(spark: SparkSession, folder: str) -> dict:
+    return json.loads(spark.read.text(folder).first()[0])
+
+
+def contract_fault(df: DataFrame, columns: list[str]) -> str:
+    """What a delivered table lacks, or nothing."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        return "missing columns: " + ", ".join(missing)
+    return "the table is empty" if df.isEmpty() else ""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loupe.functions import text as X
 from loupe.functions.timestamps import normalise_timestamps
-from loupe.operators import dedup, issues, retrieval, sampling, standardise, summaries
+from loupe.operators import dedup, issues, retrieval, sampling, scoring, standardise, summaries
 from loupe.sources import readers, writers
 from loupe.streaming import reviews as streaming
 
@@ -212,6 +212,34 @@ def test_retrieval_excludes_itself_and_equal_texts(spark):
     assert len(got) == 20 and all(r["q_id"] // 2 != r["c_id"] // 2 for r in got)
 
 
+def test_scorers(spark):
+    rows = [(i, ("good lovely stay" if i % 2 else "bad dirty room") + f" w{i % 7}", "positive" if i % 2 else "negative") for i in range(60)] + [(90, None, None), (91, "", None)]
+    x = spark.createDataFrame(rows, "id long, text string, label string")
+    model, labels = scoring.train_labels(x)
+    got = {r["id"]: r for r in scoring.label_scorer(model, labels)(x).collect()}
+    assert labels == ["negative", "positive"] and len(got) == len(rows)
+    assert all(got[i]["label"] == label and got[i]["confidence"] > 0.5 for i, _, label in rows[:60])
+    vectors = {r["id"]: r["vec"] for r in scoring.vector_scorer(32)(x).collect()}
+    assert abs(sum(v * v for v in vectors[1]) - 1) < 1e-5 and set(vectors[91]) == {0.0}
+    registry = scoring.Registry()
+    registry.add("embed", scoring.vector_scorer(8))
+    assert registry.missing(["star", "embed"]) == ["star"]
+    with pytest.raises(KeyError):
+        registry.get("star", fallback=scoring.vector_scorer(8))
+    assert scoring.Registry(strict=False).get("star", fallback=len) is len
+
+
+def test_tables_are_built_once(spark, tmp_path):
+    folder, built = str(tmp_path / "corpus"), []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    assert [writers.load_or_build(spark, folder, sign, build)[1] for sign in ("a", "a", "b")] == [True, False, True] and len(built) == 2
+    assert writers.contract_fault(spark.range(1), ["id", "x"]) == "missing columns: x" and writers.contract_fault(spark.range(1), ["id"]) == ""
+
+
 # ---- sources, sinks, streams
 
 
