@@ -59,9 +59,12 @@ def mine(reviews: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
     A taxonomy is a lookup of a few rows for each domain. Ties go by the taxonomy's order.
     """
-    per_domain = taxonomy.groupBy("domain").agg(F.collect_list(F.struct((-F.col("severity")).alias("neg"), "ord", "issue", "phrases", "keywords")).alias("tax"))
-    x = reviews.select("row_ord", mining_domain(F.col("domain")).alias("domain"), clean_text(F.col("review_text")).alias("t")).join(F.broadcast(per_domain), "domain", "left")
-    hit = F.filter(F.coalesce("tax", F.array().cast(per_domain.schema["tax"].dataType)), lambda i: F.exists(i["phrases"], lambda k: has_phrase(F.col("t"), k)))
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    tax = taxonomy.withColumn("phrases", F.transform("phrases", padded))
+    per_domain = tax.groupBy("domain").agg(F.collect_list(F.struct((-F.col("severity")).alias("neg"), "ord", "issue", "phrases", "keywords")).alias("tax"))
+    # the text is cleaned and padded once, not for every phrase
+    x = reviews.select("row_ord", mining_domain(F.col("domain")).alias("domain"), padded(clean_text(F.col("review_text"))).alias("t")).join(F.broadcast(per_domain), "domain", "left")
+    hit = F.filter(F.coalesce("tax", F.array().cast(per_domain.schema["tax"].dataType)), lambda i: F.exists(i["phrases"], lambda k: F.contains(F.col("t"), k)))
     kept = F.transform(hit, lambda i: F.struct(i["neg"].alias("neg"), i["ord"].alias("ord"), i["issue"].alias("issue"), i["keywords"].alias("keywords")))
     x = x.select("row_ord", F.sort_array(kept).alias("hits"))
     first = F.try_element_at("hits", F.lit(1))
