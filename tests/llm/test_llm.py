@@ -304,6 +304,40 @@ def test_meetings_are_looked_at_in_blocks():
     assert list(shard.scan([])) == [] and list(shard.scan(["nothing that is known here"])) == []
 
 
+def test_automaton_in_step_matches_brute_force(monkeypatch):
+    rng = random.Random(31)
+    rows = np.array([[rng.randrange(4) for _ in range(overlap.WIDE)] for _ in range(300)])
+    widths = np.array([rng.randint(1, overlap.WIDE) for _ in rows])
+    texts = [[rng.randrange(6) for _ in range(rng.randint(0, 40))] for _ in range(50)]
+    flat, length = np.array([w for t in texts for w in t]), np.array([len(t) for t in texts])
+    want = {(t, e, tuple(words[e - w + 1 : e + 1])) for t, words in enumerate(texts) for e in range(len(words)) for w in range(1, min(e + 1, overlap.WIDE) + 1)}
+    patterns = {tuple(r[:w]) for r, w in zip(rows.tolist(), widths.tolist())}
+    # words 4 and 5 are none of the automaton's; a memo of four steps is overwritten all the time
+    for memo in (2, 12):
+        monkeypatch.setattr(overlap.Automaton, "MEMO", memo)
+        automaton = overlap.Automaton(rows, widths, 4)
+        named = {int(p): tuple(r[:w]) for p, r, w in zip(automaton.passage, rows.tolist(), widths.tolist())}
+        automaton.build()
+        text, end, passage = automaton.run(flat, np.cumsum(length) - length, length)
+        got = list(zip(text.tolist(), end.tolist(), (named[p] for p in passage.tolist())))
+        assert len(got) == len(set(got)) and set(got) == {x for x in want if x[2] in patterns}
+
+
+def test_work_does_not_grow_with_the_commonest_passages(spark, monkeypatch):
+    # every text has the same four words at its end, and the rest is its own
+    texts = [" ".join([f"w{i}x{j}" for j in range(16)] + ["in", "our", "own", "view"]) for i in range(60)]
+    lengths, memo = np.full(60, 20), overlap.Words()
+    starts, ends = overlap.borders(lengths, overlap.word_hashes([w for t in texts for w in t.split()], memo), np.zeros((overlap.WIDE + 1, overlap.SLOTS), np.uint32))
+    shard = overlap.Shard(np.arange(60), texts, starts, ends).build()
+    met, near = [], shard._near
+    monkeypatch.setattr(shard, "_near", lambda *a: met.append(int(a[-1].sum())) or near(*a))
+    assert sorted((t, r) for t, r, *_ in shard.scan(texts)) == [(i, i) for i in range(60)]
+    entered = int(((shard.least <= 20) & (20 <= shard.most)).sum())
+    assert entered <= 60 * 5 and sum(met) >= 60
+    # the evaluation texts of 0.17 GB are one shard: its automaton reads each training text once
+    assert len(overlap._sharded(spark.createDataFrame([(i, 1_000_000, "") for i in range(7)], "id long, n int, words string"))[1]) == 1
+
+
 @pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
 def test_borders_leave_enough_passages_whole(share):
     rng = random.Random(2)
