@@ -284,6 +284,14 @@ def test_pairs_and_coverage_come_from_the_automata(spark, monkeypatch):
     assert overlap.cross_split_overlaps(splits, body).count() == 0
 
 
+def test_every_training_text_is_counted(spark):
+    texts = spark.range(45_000).selectExpr("id", "concat('a', id % 3, ' b c d', id) AS words")
+    counts = overlap._counts(texts)
+    assert [int(counts[w].sum()) for w in range(overlap.NARROW, overlap.WIDE + 1)] == [135_000, 90_000, 45_000, 0, 0]
+    at = lambda passage: int(overlap._slots(overlap.word_hashes(passage.split(), overlap.Words()), len(passage.split()))[0])
+    assert 45_000 <= counts[2][at("b c")] < 46_000 and 15_000 <= counts[3][at("a1 b c")] < 16_000
+
+
 def test_meetings_are_looked_at_in_blocks():
     rng = random.Random(21)
     memo = overlap.Words()
