@@ -4,7 +4,7 @@ Words with characters beyond ASCII are scored by character trigrams, smoothed an
 they stand, and after each encode-decode chain that they survive, which is every pair of the encodings listed below. For every chain the
 stretches of words with the greatest total gain count, any number of them in a text, and the text is repaired there if the gain is beyond a
 margin; where stretches of several chains meet, the likeliest has its words first. A stretch may be one word or the whole text, so text that is
-damaged in places only is found as well. The margin is validated on clean words, VALIDATION_WORDS of them, that are garbled on purpose: clean words stay as
+damaged in places only is found as well. The margin is validated on all clean words, as they are and garbled on purpose by every chain: clean words stay as
 they are. A replacement character always marks damage that cannot be undone.
 
 The model is of fixed size (BUCKETS hashed trigram counts and a count for each of 65,536 characters), whatever the corpus.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from loupe.session import cut
 
 BUCKETS = 1 << 18
-#: Clean words, the least by hash, on which the margin is validated.
-VALIDATION_WORDS = 4_000
+#: Gains are counted in so many steps to 1, up to so much on either side of 0.
+STEPS, MOST_GAIN = 1000, 200
 #: Of each hundred clean words this many at most may be taken for garbled.
 MOST_FALSE_PERCENT = 0.05
 REPLACEMENT = chr(0xFFFD)
@@ -240,18 +240,16 @@ def train(texts: DataFrame) -> tuple[TrigramModel, tuple[float, float]]:
         sums = np.zeros(TrigramModel.SIZE, np.int64)
         seen: dict[str, int] = {}
         judged: dict[str, bool] = {}
-        best: dict[int, str] = {}
-
-        def add(word: str, n: int) -> None:
-            for a, b in _slots(word):
-                sums[[a, b]] += n
-            for a in _single(word):
-                sums[a] += n
-            h = xxh3_64_intdigest(word) - 2**63
-            best[h] = word
-            if len(best) > 4 * VALIDATION_WORDS:
-                for k in sorted(best)[VALIDATION_WORDS:]:
-                    del best[k]
+
+        def add() -> pd.DataFrame:
+            for word, n in seen.items():
+                for a, b in _slots(word):
+                    sums[[a, b]] += n
+                for a in _single(word):
+                    sums[a] += n
+            words = pd.DataFrame({"slot": np.full(len(seen), -1), "n": np.fromiter(seen.values(), np.int64, len(seen)), "word": pd.Series(list(seen), dtype=object)})
+            seen.clear()
+            return words
 
         for b in batches:
             for t in b["text"]:
@@ -259,25 +257,19 @@ def train(texts: DataFrame) -> tuple[TrigramModel, tuple[float, float]]:
                     for w in _WORD.findall(t):
                         seen[w] = seen.get(w, 0) + 1
             if len(seen) > 200_000:
-                for w, n in seen.items():
-                    add(w, n)
-                seen.clear()
-        for w, n in seen.items():
-            add(w, n)
+                yield add()
+        yield add()
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"slot": at, "n": sums[at], "word": pd.Series([""] * len(at), dtype=object)})
-        chosen = sorted(best)[:VALIDATION_WORDS]
-        yield pd.DataFrame({"slot": np.array([-1] * len(chosen), np.int64), "n": np.array(chosen, np.int64), "word": pd.Series([best[k] for k in chosen], dtype=object)})
 
     counted = texts.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "slot long, n long, word string")
-    summed = cut(counted.groupBy("slot", "word", F.when(F.col("slot") < 0, F.col("n")).alias("rank")).agg(F.sum(F.when(F.col("slot") >= 0, F.col("n")).otherwise(1)).alias("n")))
-    # at most BUCKETS sums and VALIDATION_WORDS words reach the driver
+    summed = cut(counted.groupBy("slot", "word").agg(F.sum("n").alias("n")))
+    # at most SIZE sums reach the driver
     sums = np.zeros(TrigramModel.SIZE, np.int64)
     frame = summed.where("slot >= 0").select("slot", "n").toPandas()
     sums[frame["slot"].to_numpy(np.int64)] = frame["n"].to_numpy(np.int64)
-    words = [r["word"] for r in summed.where("slot < 0").orderBy("rank").limit(VALIDATION_WORDS).collect()]
     model = TrigramModel(sums)
-    return model, validated_margin(model, words)
+    return model, validated_margin(model, summed.where("slot < 0").select("word"))
 
 
 def family(chains: tuple[str, ...]) -> int:
@@ -293,27 +285,65 @@ def gains(model: TrigramModel, word: str) -> dict[tuple[str, ...], tuple[float,
     return out | {(name,): (0.0, word) for name in unchanged(word)}
 
 
-def validated_margin(model: TrigramModel, words: list[str]) -> tuple[float, float]:
-    """For each family: above the gains of all but few clean words, and as far below those of garbled words as these allow."""
-    clean: list[list[float]] = [[], []]
-    spoilt: list[list[float]] = [[], []]
-    for i, w in enumerate(words):
-        best = [-np.inf, -np.inf]
-        for names, (g, _) in gains(model, w).items():
-            best[family(names)] = max(best[family(names)], g)
-        for f in (0, 1):
-            clean[f].append(best[f])
-        name = CHAINS[i % len(CHAINS)][0]
-        made = garble(w, name)
-        if made:
-            g = gains(model, made).get((name,))
-            if g:
-                spoilt[family((name,))].append(g[0])
+def trials(model: TrigramModel, word: str) -> tuple[tuple[float, float], list[tuple[int, float]]]:
+    """Of a clean word, for each family the greatest gain of any reading; of the word garbled by each chain, (family, gain of the word)."""
+    best = [-float(MOST_GAIN)] * 2
+    for names, (g, _) in gains(model, word).items():
+        best[family(names)] = max(best[family(names)], g)
+    own, spoilt = model.score(word), []
+    for name, read_as, written_in in CHAINS:
+        made = garble(word, name)
+        raw = _encode(made, read_as) if made else None
+        if raw is not None:
+            try:
+                undone = raw.decode(written_in)
+            except UnicodeDecodeError:
+                continue
+            if undone == word and _legible(read_as, written_in, word):
+                spoilt.append((family((name,)), own - model.score(made)))
+    return (best[0], best[1]), spoilt
+
+
+def _quantile(steps: np.ndarray, n: np.ndarray, share: float) -> float:
+    """The least gain that at least `share` of all have at most. steps: gains in order, in steps; n: how many of each."""
+    upto = np.cumsum(n)
+    return float(steps[min(int(np.searchsorted(upto, share * upto[-1])), len(steps) - 1)]) / STEPS
+
+
+def validated_margin(model: TrigramModel, words: DataFrame) -> tuple[float, float]:
+    """For each family: above the gains of all but few clean words, and as far below those of garbled words as these allow.
+
+    words: every different clean word (word). Their gains are counted where they are; the counts alone reach the driver, at most two for each step.
+    """
+    shared = words.sparkSession.sparkContext.broadcast(model.counts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = TrigramModel(shared.value)
+        counts: dict[tuple[bool, int, int], int] = {}
+
+        def count(clean: bool, of: int, gain: float) -> None:
+            # a clean word's gain is rounded up, a garbled one's down
+            step = round(max(-MOST_GAIN, min(gain, MOST_GAIN)) * STEPS + (0.5 if clean else -0.5))
+            counts[clean, of, step] = counts.get((clean, of, step), 0) + 1
+
+        for b in batches:
+            for w in b["word"]:
+                best, spoilt = trials(judge, w)
+                for of in (0, 1):
+                    count(True, of, best[of])
+                for of, g in spoilt:
+                    count(False, of, g)
+        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["clean", "family", "step", "n"])
+
+    parts = max(12, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counted = words.repartition(parts, "word").mapInPandas(run, "clean boolean, family int, step int, n long")
+    every = counted.groupBy("clean", "family", "step").agg(F.sum("n").alias("n")).toPandas().sort_values("step")
     out = []
     for f in (0, 1):
-        low = float(np.quantile(clean[f], 1 - MOST_FALSE_PERCENT / 100, method="higher")) if clean[f] else 0.0
+        clean, spoilt = (every[(every["clean"] == c) & (every["family"] == f)] for c in (True, False))
+        low = _quantile(clean["step"].to_numpy(), clean["n"].to_numpy(), 1 - MOST_FALSE_PERCENT / 100) if len(clean) else 0.0
         low = max(low, 0.0)
-        high = float(np.quantile(spoilt[f], 0.02)) if spoilt[f] else low + 8.0
+        high = _quantile(spoilt["step"].to_numpy(), spoilt["n"].to_numpy(), 0.02) if len(spoilt) else low + 8.0
         out.append(max(LEAST_MARGIN[f], low + 1.0, min((low + high) / 2, 10.0)))
     return out[0], out[1]
 

@@ -399,6 +399,24 @@ def test_garbled_words_are_restored(spark):
     assert encoding.find_garbled(x.where("false")).count() == 0
 
 
+def test_margin_comes_from_every_clean_word(spark):
+    rng = random.Random(17)
+    letters = "абвгдежзийклмнопрстуфхцчшщыэюя"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(6_000)]
+    x = spark.createDataFrame([(" ".join(words[i : i + 20]),) for i in range(0, 6_000, 20)], "text string")
+    model, margins = encoding.train(x)
+    every = [encoding.trials(model, w) for w in sorted(set(words))]
+    assert len(every) > 5_000
+    want = []
+    for f in (0, 1):
+        clean = sorted(best[f] for best, _ in every)
+        low = max(0.0, clean[int(np.ceil(len(clean) * (1 - encoding.MOST_FALSE_PERCENT / 100))) - 1])
+        spoilt = sorted(g for _, s in every for of, g in s if of == f)
+        high = spoilt[int(np.ceil(len(spoilt) * 0.02)) - 1] if spoilt else low + 8.0
+        want.append(max(encoding.LEAST_MARGIN[f], low + 1.0, min((low + high) / 2, 10.0)))
+    assert np.allclose(margins, want, atol=2 / encoding.STEPS)
+
+
 def test_many_damaged_places_are_all_restored(spark):
     rng = random.Random(8)
     words = "лифт шумит ночью возле рынка номер чистый завтрак вкусный персонал вежливый очень хорошо было тихо окна выходят парк рядом станция".split()
