@@ -42,6 +42,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         k *= 2
 
 
+#: The lowest 0 to 63 bits of a word.
+_LOWEST = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Bits:
     """A packed sequence of bits with ranks."""
 
@@ -52,8 +56,10 @@ class Bits:
     def ones(self, at: np.ndarray) -> np.ndarray:
         """How many of the first at[i] bits are set."""
         word = at >> 6
-        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.sums[word] + np.bitwise_count(self.words[word] & mask).astype(np.int64)
+        # take() and a table of masks: few passes over arrays that are short but many
+        inside = self.words.take(word)
+        inside &= _LOWEST.take(at & 63)
+        return self.sums.take(word) + np.bitwise_count(inside)
 
 
 class WaveletMatrix:
@@ -76,7 +82,7 @@ class WaveletMatrix:
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for i in range(self.levels):
             ones = self.bits[i].ones(at)
-            at = np.where((symbol >> (self.levels - 1 - i)) & 1, self.zeros[i] + ones, at - ones)
+            at = np.where(symbol & (1 << (self.levels - 1 - i)), self.zeros[i] + ones, at - ones)
         return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:

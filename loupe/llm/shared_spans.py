@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loupe.llm.fm_index import Bits, FMIndex
+from loupe.llm.fm_index import FMIndex
 from loupe.session import cut, stored
 
 LEAST = 200
@@ -158,13 +158,16 @@ class Marked:
         self.index = FMIndex(flat, alphabet)
         owner = np.r_[of, of[-1]][self.index.suffix]
         # a range of suffixes belongs to more than one document if neighbours differ in it or a passage in it has two documents
-        self.differ = Bits(np.r_[False, low[owner][1:] != low[owner][:-1]])
-        self.double = Bits(low[owner] != high[owner])
+        lows = low[owner]
+        differ, double = np.r_[False, lows[1:] != lows[:-1]], lows != high[owner]
+        # counts of both before each place: of neighbours that differ from lo + 1 on, of passages with two documents from lo on
+        upto = np.r_[0, np.cumsum(differ.astype(np.int32) + double, dtype=np.int32)]
+        self.upto, self.from_lo = upto, upto[:-1] + differ
         self.index.compress()
 
     def shared(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        there = np.maximum(hi, lo + 1)
-        return (hi > lo) & ((self.differ.ones(there) > self.differ.ones(lo + 1)) | (self.double.ones(there) > self.double.ones(lo)))
+        there = hi > lo
+        return there & (self.upto.take(hi) > self.from_lo.take(np.where(there, lo, 0)))
 
 
 def _search(least: int):

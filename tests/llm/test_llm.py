@@ -544,6 +544,21 @@ def test_suffix_array_and_ranks():
         assert hi[0] - lo[0] == sum(t[k : k + len(p)] == p for k in range(len(t)))
 
 
+def test_marks_of_ranges_match_brute_force():
+    rng = np.random.default_rng(6)
+    flat, of = rng.integers(1, 4, 300), np.repeat(np.arange(30), 10)
+    low = rng.integers(0, 3, 30)
+    high = np.where(rng.random(30) < 0.1, low + 1, low)
+    marked = shared_spans.Marked(flat, of, 3, low, high)
+    owner = np.r_[of, of[-1]][fm_index.suffix_array(np.r_[flat, 0])]
+    lo, hi = (x.ravel() for x in np.meshgrid(np.arange(302), np.arange(302)))
+    lo, hi = lo[hi <= 301], hi[hi <= 301]
+    want = [len({d for o in owner[a:b] for d in (low[o], high[o])}) > 1 for a, b in zip(lo.tolist(), hi.tolist())]
+    assert marked.shared(lo, hi).tolist() == want
+    # two tables of counts in place of four ranks on packed bits
+    assert not any(isinstance(x, fm_index.Bits) for x in vars(marked).values())
+
+
 def test_shared_spans_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(shared_spans, "INDEX_CHARS", 4_000)
     rng = random.Random(8)
